@@ -60,13 +60,14 @@ def _contract(with_paths: bool, names: list[str]):
     def contract(t: pa.Table) -> pa.Table:
         t = t.sort_by("id")
         ids = t.column("id").to_numpy()
-        up = t.column("up").to_pandas()
-        has = up.notna().to_numpy()
+        has = t.column("up").is_valid().to_numpy()
         named = t.column("up").fill_null(0).to_numpy()
         parent = np.where(has, _local(ids, named), -1)
         steps = t.column("steps").to_numpy()
         exit_, far, least, ends = _climb(parent, steps, t.column("low").to_numpy())
         tops = t.column("top").to_numpy()
+        # an entry whose chain never ends, as a finer level found, ends its chain here and hands its cycle on
+        known, lost = t.column("cycle").fill_null(0).to_numpy(), t.column("cycle").is_valid().to_numpy()
         on = np.zeros(len(ids), bool)
         on[exit_[~ends]] = True
         away = ends & has[exit_]
@@ -77,7 +78,7 @@ def _contract(with_paths: bool, names: list[str]):
             "steps": pa.array(far),
             "low": pa.array(least),
             "top": pa.array(tops[exit_]),
-            "cycle": pa.array(least, mask=ends),
+            "cycle": pa.array(np.where(ends, known[exit_], least), mask=ends & ~lost[exit_]),
             "on": pa.array(on),
             "inner": pa.array(np.where(parent < 0, 0, ids[parent]), mask=parent < 0),
         }
@@ -129,14 +130,14 @@ def hierarchy(links: DataFrame, with_paths: bool = True, block_bits: int = BLOCK
         fields.append(T.StructField("path", T.ArrayType(bigint)))
     schema = T.StructType(fields)
     own = F.col("task_id").cast("bigint")
-    now = links.select("trace_id", own.alias("id"), F.col("parent_id").cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("steps"), own.alias("low"), own.alias("top"), *([F.array(own).alias("path")] if with_paths else []))
+    now = links.select("trace_id", own.alias("id"), F.col("parent_id").cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("steps"), own.alias("low"), own.alias("top"), F.lit(None).cast("bigint").alias("cycle"), *([F.array(own).alias("path")] if with_paths else []))
     levels, bits = [], block_bits
     while True:
         block = F.shiftright("id", bits) if bits < 64 else F.lit(0)
         done = durable(now.groupBy("trace_id", block.alias("_block")).applyInArrow(_contract(with_paths, schema.names), schema))
         levels.append((done, bits))
         entries = done.where("up is not null").select(F.col("trace_id").alias("_t"), F.col("up").alias("_id")).distinct()
-        now = durable(done.join(entries, done.trace_id.eqNullSafe(entries._t) & (done.id == entries._id), "left_semi").drop("cycle", "on", "inner"))
+        now = durable(done.join(entries, done.trace_id.eqNullSafe(entries._t) & (done.id == entries._id), "left_semi").drop("on", "inner"))
         if now.isEmpty():
             break
         bits = min(64, bits + WIDER_BITS)

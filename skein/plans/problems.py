@@ -148,7 +148,7 @@ SQL = {
     "p1_found": """
 WITH bound AS (SELECT trace_id, min(ts) AS lo, max(ts) AS hi FROM trace_events GROUP BY trace_id),
 iv AS (SELECT r.trace_id, g, coalesce(start_ts, lo) AS s, coalesce(end_ts, hi) AS e FROM regions r LEFT JOIN bound b ON r.trace_id = b.trace_id WHERE g IS NOT NULL),
-ok AS (SELECT * FROM iv WHERE s <= e),
+ok AS (SELECT DISTINCT * FROM iv WHERE s <= e),
 mark AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY trace_id, g ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ok),
 grp AS (SELECT *, sum(fresh) OVER (PARTITION BY trace_id, g ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM mark),
 per AS (SELECT trace_id, g, min(s) AS start_ts, max(e) AS end_ts FROM grp GROUP BY trace_id, g, k)
