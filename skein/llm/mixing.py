@@ -182,7 +182,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     listed = spark.createDataFrame([(q["index"], q["source"], q["weight"], q["max_repeats"], q["tokens"], q["target"]) for q in quota], kinds)
     names = F.create_map(*(F.lit(x) for q in quota for x in (q["index"], q["source"]))) if quota else F.lit(None).cast("map<int,string>")
     if quota:
-        filled = slots(sized, quota, seed, shard_slots).join(block_pieces(sized, quota, block_tokens), ["source_index", "block"])
+        # the slots are made from a range of shards, whose size says nothing about theirs: not to be broadcast on its account
+        filled = slots(sized, quota, seed, shard_slots).hint("merge").join(block_pieces(sized, quota, block_tokens), ["source_index", "block"])
     else:
         filled = spark.createDataFrame([], "shard bigint, slot bigint, source_index bigint, repetition bigint, block bigint, doc_id bigint, first_token bigint, n_tokens bigint")
     result = filled.select("shard", "slot", F.try_element_at(names, F.col("source_index").cast("int")).alias("source"), "repetition", "block", "doc_id", "first_token", "n_tokens")
