@@ -25,7 +25,7 @@ def state_intervals(ev: DataFrame) -> DataFrame:
 
     ``state`` is ``exec, sched_wait, io, block, syscall`` or null. An interval is counted if the event that ends it fits: a
     start is ended by a stop, a wait for the scheduler by a start, a block by an unblock, a blocked system call by its
-    exit. The last one goes on to the end of the trace (``end_ts`` null).
+    exit. The goroutine's end closes whatever is open. The last one goes on to the end of the trace (``end_ts`` null).
     """
     acted = ev.where(F.col("type_id").isin(*_SUBJECTS)).select("trace_id", subject(F.col("type_id"), F.col("g"), F.col("a0")).alias("g"), "ord", "rec_offset", "type_id", "ts", "p").where("g is not null")
     kind = F.col("type_id")
@@ -33,7 +33,7 @@ def state_intervals(ev: DataFrame) -> DataFrame:
     nxt = lead_over(acted, ["trace_id", "g"], ["ord", "rec_offset"], F.struct("type_id", "ts", "rec_offset"), "_next", bits=BLOCK_BITS)
     then = F.col("_next.type_id")
     fits = F.when(F.col("state") == "exec", then.isin(*STOPS)).when(F.col("state") == "sched_wait", then.isin(*STARTS)).when(F.col("state").isin("io", "block"), then == ID["GoUnblock"]).when(F.col("state") == "syscall", then == ID["GoSysExit"]).otherwise(F.lit(False))
-    return nxt.withColumn("state", state).select("trace_id", "g", "ord", "rec_offset", "type_id", "ts", "p", "state", F.col("_next.ts").alias("end_ts"), F.col("_next.rec_offset").alias("end_offset"), F.when(then.isNull(), F.col("state").isNotNull()).otherwise(fits).alias("counted"))
+    return nxt.withColumn("state", state).select("trace_id", "g", "ord", "rec_offset", "type_id", "ts", "p", "state", F.col("_next.ts").alias("end_ts"), F.col("_next.rec_offset").alias("end_offset"), F.when(then.isNull() | then.isin(*ENDS), F.col("state").isNotNull()).otherwise(fits).alias("counted"))
 
 
 def pair_intervals(ev: DataFrame, what: str) -> DataFrame:

@@ -20,7 +20,8 @@ KEYS = {"goroutines": "g", "stacks": "stack_id", "tasks": "task_id", "strings":
 def references(events: DataFrame, event_types: DataFrame) -> DataFrame:
     """``trace_id, rec_offset, loaded_at, field, target, key``: one row per row of ``events`` and reference in it.
 
-    0 and null refer to nothing, nor do arguments whose name is no reference or whose type is unknown.
+    0 and null refer to nothing, nor do arguments whose name is no reference or whose type is unknown. Rows without trace_id or
+    rec_offset are no events and are left out.
     """
     kinds: dict[int, dict[int, str]] = {0: {}, 1: {}, 2: {}}
     for r in event_types.select("type_id", "args").collect():  # the fixed catalogue
@@ -40,7 +41,8 @@ def references(events: DataFrame, event_types: DataFrame) -> DataFrame:
 
     every = F.array(one("stack_id", F.lit("stacks")), one("link_offset", F.lit("trace_events")), *(one(f"a{i}", named(i)) for i in range(3)))
     held = F.filter(every, lambda x: x["target"].isNotNull() & (x["key"] != 0))
-    return events.select("trace_id", "rec_offset", "loaded_at", F.inline(held))
+    keyed = events.where("trace_id is not null and rec_offset is not null")
+    return keyed.select("trace_id", "rec_offset", "loaded_at", F.inline(held))
 
 
 def parents(tables: dict[str, DataFrame]) -> DataFrame:

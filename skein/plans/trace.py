@@ -290,7 +290,7 @@ def _bracket_sql() -> str:
 
 _WAITS = _in(G._WAITS)
 _SPANS = f"""spans AS (
-  SELECT *, CASE WHEN nt IS NULL THEN state IS NOT NULL WHEN state = 'exec' THEN nt IN {_in(STOPS)} WHEN state = 'sched_wait' THEN nt IN {_in(STARTS)}
+  SELECT *, CASE WHEN nt IS NULL OR nt IN {_in(catalog.ENDS)} THEN state IS NOT NULL WHEN state = 'exec' THEN nt IN {_in(STOPS)} WHEN state = 'sched_wait' THEN nt IN {_in(STARTS)}
             WHEN state IN ('io', 'block') THEN nt = {ID['GoUnblock']} WHEN state = 'syscall' THEN nt = {ID['GoSysExit']} ELSE false END AS counted FROM (
     SELECT trace_id, k AS g, ord, rec_offset, type_id, ts, lead(type_id) OVER w AS nt, lead(ts) OVER w AS nts, lead(ord) OVER w AS no,
            CASE WHEN type_id IN {_in(STARTS)} THEN 'exec' WHEN type_id IN {_WAITS} THEN 'sched_wait' WHEN type_id = {ID['GoBlockNet']} THEN 'io'
