@@ -84,9 +84,9 @@ def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def looks(documents: DataFrame) -> DataFrame:
     """``doc_id, look, exact``: 128-bit fingerprints of each text's skeleton and of the text itself.
 
-    Null, empty and blank texts and those of invisible characters only are left out.
+    Null, empty and blank texts and those of invisible characters only are left out, as are rows without a doc_id.
     """
-    texts = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return texts.mapInArrow(_looks, "doc_id bigint, look binary, exact binary")
 
 
@@ -94,7 +94,8 @@ def same_look_pairs(documents: DataFrame) -> DataFrame:
     """``doc_id_a, doc_id_b``: each pair of documents, a < b, whose texts differ but look the same.
 
     Equal texts are reduced to one variant first and variants are paired by their skeleton, so a group of exact copies, of
-    whatever size, costs nothing unless something else looks like it; then only pairs of different texts are made.
+    whatever size, costs nothing unless something else looks like it; then only pairs of different texts are made. Repeated
+    rows of a doc_id give a pair once; a document is no pair with itself.
     """
     made = durable(looks(documents))
     several = made.groupBy("look").agg(F.min("exact").alias("_a"), F.max("exact").alias("_b")).where("_a <> _b").select("look")
@@ -103,17 +104,18 @@ def same_look_pairs(documents: DataFrame) -> DataFrame:
     pairs = one.join(two, "look").where("_one < _two").select("_one", "_two")
     a = made.select(F.col("exact").alias("_one"), F.col("doc_id").alias("_x"))
     b = made.select(F.col("exact").alias("_two"), F.col("doc_id").alias("_y"))
-    return pairs.join(a, "_one").join(b, "_two").select(F.least("_x", "_y").alias("doc_id_a"), F.greatest("_x", "_y").alias("doc_id_b"))
+    return pairs.join(a, "_one").join(b, "_two").select(F.least("_x", "_y").alias("doc_id_a"), F.greatest("_x", "_y").alias("doc_id_b")).where("doc_id_a < doc_id_b").distinct()
 
 
 def look_groups(documents: DataFrame) -> DataFrame:
     """``doc_id, group_id, variants``: the smallest doc_id whose text looks the same and how many different texts do.
 
-    One row per document; both are null where the text has no visible character.
+    One row per row of ``documents``; both are null where the text has no visible character. A doc_id that stands with
+    several texts has the smaller group.
     """
     made = durable(looks(documents))
     groups = made.groupBy("look", "exact").agg(F.min("doc_id").alias("_least")).groupBy("look").agg(F.min("_least").alias("group_id"), F.count(F.lit(1)).alias("variants"))
-    named = made.join(groups, "look").select("doc_id", "group_id", "variants")
+    named = made.join(groups, "look").groupBy("doc_id").agg(F.min(F.struct("group_id", "variants")).alias("_g")).select("doc_id", "_g.group_id", "_g.variants")
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(named, "doc_id", "left")
 
 

@@ -89,7 +89,7 @@ def quotas(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None
     """For each target source its tokens there are, its target and its number of slots; one entry per row of ``targets``.
 
     The whole mix has ``total_tokens``, by default as many as all documents have. A source gives its weight of them as far
-    as ``max_repeats`` of what it has allow. Null weights and repeats count as 0. Source names that differ only in spelling are one
+    as ``max_repeats`` of what it has allow. Weights and repeats that are null, negative or no number count as 0. Source names that differ only in spelling are one
     source; the table of targets has a fixed size and at most ``MAX_SOURCES`` rows.
     """
     rows = targets.withColumn("source_key", source_key(F.col("source"))).limit(MAX_SOURCES + 1).collect()
@@ -106,7 +106,8 @@ def quotas(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None
     for i, r in enumerate(rows):
         there = have.get(r.source_key) or 0
         blocks = -(-there // block_tokens)
-        target = (r.weight or 0.0) * total_tokens
+        weight = r.weight if r.weight is not None and 0 < r.weight < float("inf") else 0.0
+        target = weight * total_tokens
         per_block = there / blocks if blocks else 1.0
         slots = min(round(target / per_block), blocks * max(0, r.max_repeats or 0))
         out.append({"index": i, "source": r.source, "key": r.source_key, "weight": r.weight, "max_repeats": r.max_repeats, "tokens": there, "blocks": blocks, "target": target, "slots": slots})
@@ -157,7 +158,7 @@ def block_pieces(sized: DataFrame, quota: list[dict], block_tokens: int) -> Data
     sums = docs.groupBy("source_index", "_bucket").agg(F.sum("n_tokens").alias("_n"))
     before = Window.partitionBy("source_index").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_index", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("source_index", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source_index", "_bucket").orderBy("_h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     docs = docs.withColumn("_end", F.sum("n_tokens").over(inside)).join(sums, ["source_index", "_bucket"])
     docs = docs.select("source_index", "doc_id", (F.col("_base") + F.col("_end") - F.col("n_tokens")).alias("_from"), (F.col("_base") + F.col("_end")).alias("_to"))
     size = F.lit(block_tokens)
