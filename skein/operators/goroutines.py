@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions.catalog import ENDS, ID, STARTS, STOPS, SYNC_BLOCKS, YIELDS
 from skein.functions.stepfn import as_of, integral_at
+from skein.functions.tables import durable
 from skein.functions.windows import last_over, lead_over, sum_over
 from skein.operators.brackets import match
 from skein.operators.events import latest, world
@@ -185,7 +186,7 @@ def region_stats(ev: DataFrame) -> DataFrame:
 
     Without a start nothing is subtracted; an open region is measured at the last event of the trace.
     """
-    spans = regions(ev).withColumn("_id", F.monotonically_increasing_id())
+    spans = durable(regions(ev))
     keyed = spans.select("trace_id", "g", F.coalesce("start_offset", F.lit(-1)).alias("start_offset"), F.coalesce("end_offset", F.lit(-1)).alias("end_offset"), "start_ord", "start_ts", "end_ord", "end_ts")
     last = ev.groupBy("trace_id").agg(F.max("ord").alias("_ord"), F.max("ts").alias("_ts"))
     ends = keyed.join(last, "trace_id").select("trace_id", "g", "start_offset", "end_offset", F.lit(1).alias("_sign"), F.coalesce("end_ord", "_ord").alias("ord"), F.coalesce("end_ts", "_ts").alias("ts"))
@@ -193,6 +194,6 @@ def region_stats(ev: DataFrame) -> DataFrame:
     shot = snapshots(ev, starts.unionByName(ends))
     keys = ["trace_id", "g", "start_offset", "end_offset"]
     diff = shot.groupBy(*keys).agg(*(F.sum(F.col("_sign") * F.col(c)).cast("bigint").alias(c) for c in TIMES))
-    named = regions(ev).withColumn("_s", F.coalesce("start_offset", F.lit(-1))).withColumn("_e", F.coalesce("end_offset", F.lit(-1)))
+    named = spans.withColumn("_s", F.coalesce("start_offset", F.lit(-1))).withColumn("_e", F.coalesce("end_offset", F.lit(-1)))
     d = diff.select("trace_id", "g", F.col("start_offset").alias("_s"), F.col("end_offset").alias("_e"), *TIMES)
     return named.join(d, ["trace_id", "g", "_s", "_e"]).drop("_s", "_e", "start_ord", "end_ord", "depth")

@@ -26,7 +26,9 @@ def _pairs(ev: DataFrame, kind: str, keys: list[str], types: list[int], allowed:
     """Links of one kind: an event to the next one of the same keys among ``types``, where the pair of types is allowed."""
     some = ev.where(F.col("type_id").isin(*types))
     some = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, some)
-    nxt = lead_over(some, keys, ["ord", "rec_offset"], F.struct("type_id", "rec_offset", "ts", "g"), "_next", bits=16)
+    # a goroutine may have a large share of all events; collector, sweep and task events are few per key
+    bits = 16 if kind in ("run", "wake") else None
+    nxt = lead_over(some, keys, ["ord", "rec_offset"], F.struct("type_id", "rec_offset", "ts", "g"), "_next", bits=bits)
     fits = reduce(lambda c, ab: c | (F.col("type_id").isin(*ab[0]) & F.col("_next.type_id").isin(*ab[1])), allowed, F.lit(False))
     return nxt.where(fits).select("trace_id", "rec_offset", F.lit(kind).alias("kind"), F.col("_next.rec_offset").alias("link_offset"), F.col("_next.ts").alias("link_ts"), F.col("_next.g").alias("link_g"))
 

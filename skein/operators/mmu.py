@@ -12,6 +12,7 @@ from collections.abc import Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from skein.functions.tables import durable
 from skein.functions.stepfn import as_of, prefix_integral
 
 NEAR = 1e-5
@@ -24,7 +25,7 @@ def windowed(series: DataFrame, windows: Sequence[int]) -> DataFrame:
     ``window`` is the wanted length; a longer one than the series is cut to it. Lengths of 0 or less and series without duration
     give no rows.
     """
-    summed = prefix_integral(series.select(*_KEYS, "time", "util"), _KEYS, "time", "util")
+    summed = durable(prefix_integral(series.select(*_KEYS, "time", "util"), _KEYS, "time", "util"))  # read four times
     bounds = summed.groupBy(*_KEYS).agg(F.min("time").alias("_t0"), F.max("time").alias("_t1")).where("_t1 > _t0")
     lengths = F.array(*(F.lit(int(w)).cast("bigint") for w in windows if w > 0)) if any(w > 0 for w in windows) else F.array().cast("array<bigint>")
     spans = bounds.select(*_KEYS, "_t0", "_t1", F.explode(lengths).alias("window")).withColumn("_w", F.least("window", F.col("_t1") - F.col("_t0")))
@@ -79,7 +80,7 @@ def mud(series: DataFrame, window: int, quantiles: Sequence[float], compat: bool
     is the time for which windows begin. A trace that is not longer than the window has its minimum utilisation throughout, as
     has every trace with ``compat``.
     """
-    means = windowed(series, [window])
+    means = durable(windowed(series, [window]))
     nxt = Window.partitionBy(*_KEYS).orderBy("time")
     parts = means.withColumn("_u2", F.lead("util").over(nxt)).withColumn("_dt", F.lead("time").over(nxt) - F.col("time")).where("_dt > 0")
     lo, hi = F.least("util", "_u2"), F.greatest("util", "_u2")
@@ -92,7 +93,9 @@ def mud(series: DataFrame, window: int, quantiles: Sequence[float], compat: bool
     run = edges.withColumn("_rate", F.coalesce(F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, -1)), none)).withColumn("_gap", F.coalesce(F.col("x") - F.lag("x").over(w), none))
     run = run.withColumn("_grown", F.sum(F.col("_rate") * F.col("_gap")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_jump", F.coalesce(F.sum("dirac").over(w.rowsBetween(Window.unboundedPreceding, -1)), none))
     run = run.withColumn("_cum", F.col("_grown") + F.col("_jump"))  # mass up to x, without what sits at x
-    least = mmu(series, [window]).select("trace_id", "mmu")
+    least = means.groupBy("trace_id").agg(F.min("util").alias("mmu"))
+    if window <= 0:
+        least = mmu(series, [window]).select("trace_id", "mmu")
     if not quantiles:
         return least.where("false").select("trace_id", F.lit(0.0).alias("q"), F.col("mmu").alias("util"))
     mass = parts.groupBy("trace_id").agg(F.sum("_dt").cast("double").alias("_mass"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skein.functions import catalog, scalars
 from skein.functions.catalog import ID, STARTS, STOPS, SYNC_BLOCKS, YIELDS
-from skein.functions.tables import table
+from skein.functions.tables import durable, table
 from skein.functions.windows import number_over
 from skein.operators import events as E, futile, goroutines as G, linking, mmu as M, mutator as U, ordering, projection, tasks as K
 
@@ -18,6 +18,11 @@ def _ev(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return E.clean(table(spark, d, "trace_events"), extra)
 
 
+def _stored(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    """Clean events written once, for queries that pass over them several times."""
+    return durable(_ev(spark, d, *extra))
+
+
 def event_catalog(spark, d):
     return E.with_catalog(_ev(spark, d), table(spark, d, "event_types")).groupBy("type_id", "type_name", "min_version", "has_stack").agg(F.count(F.lit(1)).alias("n"))
 
@@ -68,7 +73,7 @@ def without_futile(spark, d):
 
 
 def links(spark, d):
-    return linking.links(_ev(spark, d), table(spark, d, "trace_meta"))
+    return linking.links(_stored(spark, d), table(spark, d, "trace_meta"))
 
 
 def netpoll_unblocks(spark, d):
@@ -80,7 +85,7 @@ def state_violations(spark, d):
 
 
 def bracket_violations(spark, d):
-    return linking.bracket_violations(_ev(spark, d))
+    return linking.bracket_violations(_stored(spark, d))
 
 
 def string_violations(spark, d):
@@ -94,7 +99,7 @@ def stack_frames(spark, d):
 
 
 def goroutines(spark, d):
-    return G.goroutines(_ev(spark, d), table(spark, d, "stacks"))
+    return G.goroutines(_stored(spark, d), table(spark, d, "stacks"))
 
 
 def goroutine_states(spark, d):
@@ -107,65 +112,62 @@ def gc_cycles(spark, d):
 
 
 def regions(spark, d):
-    return G.regions(_ev(spark, d)).drop("depth", "start_ord", "end_ord")
+    return G.regions(_stored(spark, d)).drop("depth", "start_ord", "end_ord")
 
 
 def region_times(spark, d):
-    return G.region_stats(_ev(spark, d)).select("trace_id", "g", "start_offset", "end_offset", "exec_time", "sched_wait_time", "io_time", "block_time", "syscall_time", "total_time")
+    return G.region_stats(_stored(spark, d)).select("trace_id", "g", "start_offset", "end_offset", "exec_time", "sched_wait_time", "io_time", "block_time", "syscall_time", "total_time")
 
 
 def region_stats(spark, d):
-    return G.region_stats(_ev(spark, d))
+    return G.region_stats(_stored(spark, d))
 
 
 def inherited_tasks(spark, d):
-    return G.inherited_tasks(_ev(spark, d))
+    return G.inherited_tasks(_stored(spark, d))
 
 
 def tasks(spark, d):
-    out = K.tasks(_ev(spark, d), table(spark, d, "regions"))
+    out = K.tasks(_stored(spark, d), table(spark, d, "regions"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select(*(c for c in out.columns if c not in ("goroutines", "children")), text("goroutines"), text("children"))
 
 
 def overlap_instants(spark, d):
-    ev, reg = _ev(spark, d), table(spark, d, "regions")
+    ev, reg = _stored(spark, d, "link_ts", "link_g"), table(spark, d, "regions")
     return K.overlapping_instants(ev, K.tasks(ev, reg), reg).groupBy("trace_id", "task_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _own_links(spark, d):
-    return _ev(spark, d, "link_ts", "link_g").where("link_ts is not null").select("trace_id", "rec_offset", "link_ts", "link_g")
-
-
 def overlap_durations(spark, d):
-    ev, reg = _ev(spark, d), table(spark, d, "regions").distinct()
-    return K.overlapping_durations(ev, K.tasks(ev, reg), reg, _own_links(spark, d))
+    ev, reg = _stored(spark, d, "link_ts", "link_g"), table(spark, d, "regions").distinct()
+    own = ev.where("link_ts is not null").select("trace_id", "rec_offset", "link_ts", "link_g")
+    return K.overlapping_durations(ev.drop("link_ts", "link_g"), K.tasks(ev, reg), reg, own)
 
 
 def related_goroutines(spark, d):
-    ev = _ev(spark, d)
+    ev = _stored(spark, d)
     return K.related_goroutines(ev, K.tasks(ev, table(spark, d, "regions")), 2)
 
 
 def mu_contributions(spark, d):
-    return U.contributions(_ev(spark, d))
+    return U.contributions(_stored(spark, d))
 
 
 def mu_raw(spark, d):
-    return U.raw_utilisation(_ev(spark, d)).select("trace_id", "ord", "rec_offset", "time", F.round("util", 9).alias("util"))
+    return U.raw_utilisation(_stored(spark, d)).select("trace_id", "ord", "rec_offset", "time", F.round("util", 9).alias("util"))
 
 
 def mu_series(spark, d):
-    return U.mutator_utilisation(_ev(spark, d))
+    return U.mutator_utilisation(_stored(spark, d))
 
 
 def mu_series_per_proc(spark, d):
-    return U.mutator_utilisation(_ev(spark, d), per_proc=True)
+    return U.mutator_utilisation(_stored(spark, d), per_proc=True)
 
 
 def _steps(spark, d):
     """Utilisation with one value, the least, per time."""
-    return U.raw_utilisation(_ev(spark, d)).groupBy("trace_id", F.lit(0).alias("series"), "time").agg(F.min("util").alias("util"))
+    return U.raw_utilisation(_stored(spark, d)).groupBy("trace_id", F.lit(0).alias("series"), "time").agg(F.min("util").alias("util"))
 
 
 def mmu(spark, d):
