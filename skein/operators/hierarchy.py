@@ -1,9 +1,10 @@
 """Paths, depths, roots, descendants and cycles of parent-child links of unknown depth.
 
-Nodes are cut into fragments by blocks of their id, so a fragment has a bounded number of nodes whatever the size of a
-forest. Inside a fragment every chain of parents is contracted to its exit, the last node inside. What remains to be
-solved is the quotient forest of the nodes that some other fragment names as parent; it is contracted in the same way
-with blocks 16 times as wide, until no link leaves a fragment. Then the answers are carried back, level by level. A
+Nodes are cut into blocks of neighbouring ids, which keeps most parents near, and blocks are spread by hash over
+fragments of about ``GROUP_ROWS`` nodes, whatever the size of a forest. Inside a fragment every chain of parents is
+contracted to its exit, the last node inside. What remains to be solved is the quotient forest of the nodes that some
+other fragment names as parent; it is contracted in the same way, in fewer fragments and with blocks 16 times as wide,
+until no link leaves a fragment. Then the answers are carried back, level by level. A
 cycle inside a fragment shows in its contraction; one that runs through several fragments is a cycle inside a fragment
 of some quotient.
 """
@@ -14,10 +15,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skein.functions.tables import durable
 
+GROUP_ROWS = 20_000
 BLOCK_BITS = 14
 WIDER_BITS = 4
 
@@ -50,19 +52,31 @@ def _climb(parent: np.ndarray, weight: np.ndarray, low: np.ndarray):
     return up, np.where(ends, far + weight[up], 0), np.where(ends, np.minimum(least, low[up]), least[up]), ends
 
 
-def _local(ids: np.ndarray, named: np.ndarray) -> np.ndarray:
-    """Position of each named parent among the sorted ids, -1 where it is not there."""
-    at = np.minimum(np.searchsorted(ids, named), len(ids) - 1)
-    return np.where(ids[at] == named, at, -1)
+def _group(bits: int, groups: int) -> Column:
+    """The fragment of a node."""
+    block = F.shiftright("id", bits) if bits < 64 else F.lit(0)
+    return F.pmod(F.xxhash64("trace_id", block), F.lit(groups))
+
+
+def _placed(t: pa.Table, named: str) -> tuple[pa.Table, np.ndarray]:
+    """The rows in order of trace and id, and the position of each row's named parent, -1 where it is not among them."""
+    codes = t.column("trace_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids, up = t.column("id").to_numpy(), t.column(named).fill_null(0).to_numpy()
+    every = np.unique(np.concatenate([ids, up]))
+    key = codes * len(every) + np.searchsorted(every, ids)
+    wanted = codes * len(every) + np.searchsorted(every, up)
+    order = np.argsort(key)
+    key, wanted = key[order], wanted[order]
+    t = t.take(pa.array(order))
+    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    return t, np.where(t.column(named).is_valid().to_numpy() & (key[at] == wanted), at, -1)
 
 
 def _contract(with_paths: bool, names: list[str]):
     def contract(t: pa.Table) -> pa.Table:
-        t = t.sort_by("id")
-        ids = t.column("id").to_numpy()
+        t, parent = _placed(t, "up")
+        ids, named = t.column("id").to_numpy(), t.column("up").fill_null(0).to_numpy()
         has = t.column("up").is_valid().to_numpy()
-        named = t.column("up").fill_null(0).to_numpy()
-        parent = np.where(has, _local(ids, named), -1)
         steps = t.column("steps").to_numpy()
         exit_, far, least, ends = _climb(parent, steps, t.column("low").to_numpy())
         tops = t.column("top").to_numpy()
@@ -104,20 +118,17 @@ def _contract(with_paths: bool, names: list[str]):
 
 def _mark(t: pa.Table) -> pa.Table:
     """Nodes on a cycle that runs through this fragment: what lies above its entries that are on it."""
-    t = t.sort_by("id")
-    ids = t.column("id").to_numpy()
-    inner = t.column("inner").fill_null(0).to_numpy()
-    parent = np.where(t.column("inner").is_valid().to_numpy(), _local(ids, inner), -1)
+    t, parent = _placed(t, "inner")
     on = t.column("on").to_numpy().copy()
     for start in np.flatnonzero(on):
         at = parent[start]
         while at >= 0 and not on[at]:
             on[at] = True
             at = parent[at]
-    return pa.table({"trace_id": t.column("trace_id"), "id": pa.array(ids), "on": pa.array(on)})
+    return pa.table({"trace_id": t.column("trace_id"), "id": t.column("id"), "on": pa.array(on)})
 
 
-def hierarchy(links: DataFrame, with_paths: bool = True, block_bits: int = BLOCK_BITS) -> DataFrame:
+def hierarchy(links: DataFrame, with_paths: bool = True, block_bits: int = BLOCK_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Solves ``trace_id, task_id, parent_id`` (one row per node): ``trace_id, task_id, root_id, depth, cycle_id, place[, path]``.
 
     ``root_id`` and ``depth`` (0 for a root) are null for nodes whose chain of parents never ends; these have ``place`` ``on``
@@ -130,26 +141,26 @@ def hierarchy(links: DataFrame, with_paths: bool = True, block_bits: int = BLOCK
         fields.append(T.StructField("path", T.ArrayType(bigint)))
     schema = T.StructType(fields)
     own = F.col("task_id").cast("bigint")
-    now = links.select("trace_id", own.alias("id"), F.col("parent_id").cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("steps"), own.alias("low"), own.alias("top"), F.lit(None).cast("bigint").alias("cycle"), *([F.array(own).alias("path")] if with_paths else []))
+    now = durable(links.select("trace_id", own.alias("id"), F.col("parent_id").cast("bigint").alias("up"), F.lit(1).cast("bigint").alias("steps"), own.alias("low"), own.alias("top"), F.lit(None).cast("bigint").alias("cycle"), *([F.array(own).alias("path")] if with_paths else [])))
     levels, bits = [], block_bits
     while True:
-        block = F.shiftright("id", bits) if bits < 64 else F.lit(0)
-        done = durable(now.groupBy("trace_id", block.alias("_block")).applyInArrow(_contract(with_paths, schema.names), schema))
-        levels.append((done, bits))
+        group = _group(bits, max(1, now.count() // group_rows))
+        done = durable(now.groupBy(group.alias("_fragment")).applyInArrow(_contract(with_paths, schema.names), schema))
+        levels.append((done, group))
         entries = done.where("up is not null").select(F.col("trace_id").alias("_t"), F.col("up").alias("_id")).distinct()
         now = durable(done.join(entries, done.trace_id.eqNullSafe(entries._t) & (done.id == entries._id), "left_semi").drop("on", "inner"))
         if now.isEmpty():
             break
         bits = min(64, bits + WIDER_BITS)
     solved = None
-    for done, bits in reversed(levels):
-        solved = _answers(done, bits, solved, with_paths)
+    for done, group in reversed(levels):
+        solved = _answers(done, group, solved, with_paths)
     place = F.when(F.col("cycle").isNotNull(), F.when(F.col("on"), "on").otherwise("below"))
     out = solved.select("trace_id", F.col("id").alias("task_id"), F.col("root").alias("root_id"), "depth", F.col("cycle").alias("cycle_id"), place.alias("place"), *(["path"] if with_paths else []))
     return out
 
 
-def _answers(done: DataFrame, bits: int, above: DataFrame | None, with_paths: bool) -> DataFrame:
+def _answers(done: DataFrame, group: Column, above: DataFrame | None, with_paths: bool) -> DataFrame:
     """Answers for the nodes of one level, given those of the quotient above it."""
     ends = F.col("cycle").isNull()
     path = F.when(ends, F.reverse("path")) if with_paths else None
@@ -167,8 +178,7 @@ def _answers(done: DataFrame, bits: int, above: DataFrame | None, with_paths: bo
     far = got.where("_far").select("trace_id", "id", "inner")
     seeds = above.where("on").select(F.col("trace_id").alias("_t"), F.col("id").alias("_id"))
     far = far.join(seeds, far.trace_id.eqNullSafe(seeds._t) & (far.id == seeds._id), "left").select(far.trace_id, "id", "inner", F.col("_id").isNotNull().alias("on"))
-    block = F.shiftright("id", bits) if bits < 64 else F.lit(0)
-    marks = far.groupBy("trace_id", block.alias("_block")).applyInArrow(_mark, T.StructType([done.schema["trace_id"], done.schema["id"], done.schema["on"]]))
+    marks = far.groupBy(group.alias("_fragment")).applyInArrow(_mark, T.StructType([done.schema["trace_id"], done.schema["id"], done.schema["on"]]))
     marks = marks.where("on").select(F.col("trace_id").alias("_mt"), F.col("id").alias("_mid"))
     cyclic = got.where("_far").join(marks, got.trace_id.eqNullSafe(marks._mt) & (got.id == marks._mid), "left").withColumn("on", F.col("_mid").isNotNull()).drop("_mt", "_mid", "inner", "_far")
     return durable(got.where("not _far").drop("inner", "_far").unionByName(cyclic))

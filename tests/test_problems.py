@@ -132,8 +132,8 @@ def solve(parents, t, i):
         at = up
 
 
-@pytest.mark.parametrize("bits", [1, 4, 14])
-def test_hierarchy(spark, bits):
+@pytest.mark.parametrize("bits,rows", [(1, 3), (4, 40), (14, 20_000)])
+def test_hierarchy(spark, bits, rows):
     rng = random.Random(bits)
     parents = {}
     for t in ("a", None):
@@ -143,12 +143,12 @@ def test_hierarchy(spark, bits):
     df = spark.createDataFrame([(t, i, p) for (t, i), p in parents.items()], "trace_id string, task_id long, parent_id long")
     for c in ("id", "up", "low", "top", "cycle", "_block", "path"):
         df = df.withColumn(c, F.lit("clash"))
-    got = {(r.trace_id, r.task_id): (r.root_id, r.depth, r.cycle_id, r.place, None if r.path is None else tuple(r.path)) for r in hierarchy.hierarchy(df, block_bits=bits).collect()}
+    got = {(r.trace_id, r.task_id): (r.root_id, r.depth, r.cycle_id, r.place, None if r.path is None else tuple(r.path)) for r in hierarchy.hierarchy(df, block_bits=bits, group_rows=rows).collect()}
     assert got == {k: solve(parents, *k) for k in parents}
-    short = {(r.trace_id, r.task_id): (r.cycle_id, r.place) for r in hierarchy.endless(hierarchy.hierarchy(df, False, bits)).collect()}
+    short = {(r.trace_id, r.task_id): (r.cycle_id, r.place) for r in hierarchy.endless(hierarchy.hierarchy(df, False, bits, rows)).collect()}
     assert short == {k: v[2:4] for k, v in got.items() if v[2] is not None}
     if bits == 4:
-        pairs = {(r.trace_id, r.ancestor_id, r.task_id, r.distance) for r in hierarchy.closure(hierarchy.hierarchy(df, block_bits=bits)).collect()}
+        pairs = {(r.trace_id, r.ancestor_id, r.task_id, r.distance) for r in hierarchy.closure(hierarchy.hierarchy(df, block_bits=bits, group_rows=rows)).collect()}
         assert pairs == {(t, a, i, len(v[4]) - 1 - k) for (t, i), v in got.items() if v[4] for k, a in enumerate(v[4])}
 
 
