@@ -55,7 +55,7 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     names = F.create_map(*(F.lit(x) for pair in NAME.items() for x in pair))
     ev = ev.withColumn("type", F.try_element_at(names, F.col("type_id")))
     ev = durable(ev.select("trace_id", "rec_offset", "ord", "type", "type_id", "raw_type_id", "ts", "seq", "p", "g", "a0", "a1", "a2", "string_args", "stack_id", "link_offset", "link_ts", "link_g"))
-    bad = projection.record_violations(raw, projected).unionByName(early).unionByName(ordering.order_violations(ordered)).unionByName(linking.state_violations(kept)).unionByName(linking.bracket_violations(kept))
+    bad = projection.record_violations(raw, projected).unionByName(early).unionByName(ordering.order_violations(ordered)).unionByName(linking.state_violations(kept)).unionByName(linking.bracket_violations(kept)).unionByName(linking.processor_violations(kept)).unionByName(linking.region_violations(kept))
     exits = ordering.exit_repair(ordered).where("rule_id is not null").select("trace_id", "rec_offset", "rule_id", F.lit("system call exit").alias("message"))
     bad = bad.unionByName(exits)
     if strict:
@@ -80,6 +80,27 @@ def tasks(trace: Trace) -> DataFrame:
     return K.tasks(trace.events, G.regions(trace.events))
 
 
+def descendants(tasks: DataFrame) -> DataFrame:
+    """Each task with all its descendants."""
+    return K.descendants(tasks)
+
+
+def related_goroutines(trace: Trace, tasks: DataFrame, depth: int) -> DataFrame:
+    """Goroutines of each task and those that woke them, ``depth`` levels deep."""
+    return K.related_goroutines(trace.events, tasks, depth)
+
+
+def overlapping_instants(trace: Trace, tasks: DataFrame) -> DataFrame:
+    """Events that happen during a task."""
+    return K.overlapping_instants(trace.events, tasks, G.regions(trace.events))
+
+
+def overlapping_durations(trace: Trace, tasks: DataFrame) -> DataFrame:
+    """For how long linked events overlap with a task."""
+    own = trace.events.where("link_ts is not null").select("trace_id", "rec_offset", "link_ts", "link_g")
+    return K.overlapping_durations(trace.events.drop("link_ts", "link_g"), tasks, G.regions(trace.events), own)
+
+
 def mutator_util(trace: Trace, stw: bool = False, background: bool = False, assist: bool = False, sweep: bool = False, per_proc: bool = False) -> DataFrame:
     """The mutator utilisation as a step function; without flags all contributions count."""
     return mutator.mutator_utilisation(trace.events, stw, background, assist, sweep, per_proc)

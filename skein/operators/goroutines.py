@@ -46,6 +46,15 @@ def pair_intervals(ev: DataFrame, what: str) -> DataFrame:
     return nxt.where((F.col("type_id") == first) & (F.col("_next").isNull() | (F.col("_next.type_id") == last))).select("trace_id", "g", "ord", "ts", F.col("_next.ts").alias("end_ts"))
 
 
+def _stray_ends(ev: DataFrame, what: str) -> DataFrame:
+    """What older tools added for ends without a start: the time since the trace began."""
+    first, last = PAIRS[what]
+    some = ev.where(F.col("type_id").isin(first, last) & F.col("g").isNotNull())
+    was = last_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.col("type_id"), "_was")
+    lost = was.where((F.col("type_id") == last) & (F.col("_was").isNull() | (F.col("_was") == last)))
+    return lost.groupBy("trace_id", "g").agg(F.sum("ts").alias(f"{what}_time"))
+
+
 def gc_cycles(ev: DataFrame) -> DataFrame:
     """``trace_id, ts, done_ts``: collector cycles; an unfinished one has no end."""
     first, last = ID["GcStart"], ID["GcDone"]
@@ -75,7 +84,8 @@ def goroutines(ev: DataFrame, stacks: DataFrame | None = None, compat: bool = Fa
 
     Open states count up to the end of the trace. ``gc_time`` is the time collector cycles ran while the goroutine lived. Events of
     goroutines without a GoCreate are left out. Name and pc are those of the first frame of the stack it was created with, once it
-    has started. ``compat`` hides end times and keeps only the last cycle's ``gc_time``, as older tools did.
+    has started. ``compat`` hides end times, keeps only the last cycle's ``gc_time`` and lets stray ends of sweeps and mark
+    assists count from the trace's beginning, as older tools did.
     """
     lives = lifetimes(ev)
     ends = world(ev)
@@ -84,8 +94,11 @@ def goroutines(ev: DataFrame, stacks: DataFrame | None = None, compat: bool = Fa
     out = lives.join(ends, "trace_id").join(sums, ["trace_id", "g"], "left")
     upto = F.coalesce("end_ts", "world_end")
     for what in PAIRS:
+        stray = _stray_ends(ev, what) if compat else None
         pairs = pair_intervals(ev, what).join(lives.select("trace_id", "g", F.col("end_ts").alias("_end")), ["trace_id", "g"]).join(ends, "trace_id")
         spent = pairs.groupBy("trace_id", "g").agg(F.sum(F.coalesce("end_ts", "_end", "world_end") - F.col("ts")).alias(f"{what}_time"))
+        if stray is not None:
+            spent = spent.unionByName(stray).groupBy("trace_id", "g").agg(F.sum(f"{what}_time").alias(f"{what}_time"))
         out = out.join(spent, ["trace_id", "g"], "left")
     if compat:
         done = gc_cycles(ev).where("done_ts is not null")

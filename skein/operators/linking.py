@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skein.functions.catalog import ENDS, ID, SILENT_BLOCKS, STARTS, STOPS, SYNC_BLOCKS, TIMER_P, YIELDS
 from skein.functions.windows import last_over, lead_over
+from skein.operators.brackets import match
 
 BLOCKS = sorted([*SYNC_BLOCKS, *SILENT_BLOCKS, ID["GoBlockNet"]])
 _BY_ARGUMENT = [ID["GoCreate"], ID["GoUnblock"]]
@@ -123,6 +124,32 @@ def bracket_violations(ev: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def processor_violations(ev: DataFrame) -> DataFrame:
+    """``trace_id, rec_offset, rule_id, message``: events that a processor cannot have had, given what ran on it.
+
+    A start needs a free processor, as does a ProcStop; creations, stops, system calls and unblocks must come from the
+    goroutine that runs there, and only creations and unblocks from goroutine 0. Pseudo-processors run nothing.
+    """
+    kind = F.col("type_id")
+    needs = [ID["GoCreate"], ID["GoSysCall"], ID["GoUnblock"], *STOPS]
+    some = ev.where(kind.isin(*needs, *STARTS, ID["ProcStop"]) & F.col("p").isNotNull() & F.col("g").isNotNull() & (F.col("p") < TIMER_P - 1))
+    was = last_over(some, ["trace_id", "p"], ["ord", "rec_offset"], F.when(kind.isin(*STARTS), F.col("g")).when(kind.isin(*STOPS), F.lit(0)), "_was").withColumn("_was", F.coalesce("_was", F.lit(0)))
+    bad = (
+        F.when((kind.isin(*STARTS) | (kind == ID["ProcStop"])) & (F.col("_was") != 0), "processor is busy")
+        .when(kind.isin(*needs) & (F.col("_was") != F.col("g")), "goroutine does not run here")
+        .when(kind.isin(ID["GoSysCall"], *STOPS) & (F.col("g") == 0), "goroutine 0 did this")
+    )
+    return was.select("trace_id", "rec_offset", F.lit("processor").alias("rule_id"), bad.alias("message")).where("message is not null")
+
+
+def region_violations(ev: DataFrame) -> DataFrame:
+    """``trace_id, rec_offset, rule_id, message``: region starts whose end has another name or task."""
+    marks = ev.where((F.col("type_id") == ID["UserRegion"]) & F.col("a1").isin(0, 1) & F.col("g").isNotNull()).withColumn("name", F.try_element_at("string_args", F.lit(1)))
+    pairs = match(marks, ["trace_id", "g"], ["ord", "rec_offset", "a0", "name"], F.col("a1") == 0)
+    odd = ~(F.col("other.a0").eqNullSafe(F.col("a0")) & F.col("other.name").eqNullSafe(F.col("name")))
+    return pairs.where(F.col("other").isNotNull() & odd).select("trace_id", "rec_offset", F.lit("region").alias("rule_id"), F.lit("ended by a region of another name or task").alias("message"))
+
+
 def dictionary_violations(strings: DataFrame) -> DataFrame:
     """``trace_id, string_id, rule_id``: string ids of 0, empty strings, and ids with several different values."""
     by = strings.groupBy("trace_id", "string_id").agg(F.min("val").alias("_a"), F.max("val").alias("_b"), F.max((F.col("val") == "").cast("int")).alias("_empty"))

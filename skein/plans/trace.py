@@ -88,6 +88,14 @@ def bracket_violations(spark, d):
     return linking.bracket_violations(_stored(spark, d))
 
 
+def processor_violations(spark, d):
+    return linking.processor_violations(_ev(spark, d))
+
+
+def region_violations(spark, d):
+    return linking.region_violations(_ev(spark, d))
+
+
 def string_violations(spark, d):
     return linking.dictionary_violations(table(spark, d, "strings"))
 
@@ -133,6 +141,10 @@ def tasks(spark, d):
     return out.select(*(c for c in out.columns if c not in ("goroutines", "children")), text("goroutines"), text("children"))
 
 
+def task_descendants(spark, d):
+    return K.descendants(K.tasks(_stored(spark, d), table(spark, d, "regions")))
+
+
 def overlap_instants(spark, d):
     ev, reg = _stored(spark, d, "link_ts", "link_g"), table(spark, d, "regions")
     return K.overlapping_instants(ev, K.tasks(ev, reg), reg).groupBy("trace_id", "task_id").agg(F.count(F.lit(1)).alias("n"))
@@ -225,8 +237,8 @@ def worker_labels(spark, d):
 
 _ALL = (
     goroutines, goroutine_states, event_catalog, catalog_table, ts_rescale, delta_decode, carry_forward_g, pseudo_processors, local_rename, total_order, order_violations, exit_repair,
-    futile_events, without_futile, links, netpoll_unblocks, state_violations, bracket_violations, string_violations, stack_frames, gc_cycles, regions, region_times, region_stats, inherited_tasks,
-    tasks, overlap_instants, overlap_durations, related_goroutines, mu_contributions, mu_raw, mu_series, mu_series_per_proc, mmu, mmu_per_proc, mmu_windows, worst_windows, mud_quantiles,
+    futile_events, without_futile, links, netpoll_unblocks, state_violations, bracket_violations, processor_violations, region_violations, string_violations, stack_frames, gc_cycles, regions, region_times, region_stats, inherited_tasks,
+    tasks, task_descendants, overlap_instants, overlap_durations, related_goroutines, mu_contributions, mu_raw, mu_series, mu_series_per_proc, mmu, mmu_per_proc, mmu_windows, worst_windows, mud_quantiles,
     longest_tasks, named_goroutines, unused_strings, traced_goroutines, worker_labels,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -423,6 +435,22 @@ SELECT trace_id, rec_offset, ts, blocked_ts, repaired_ts, CASE WHEN blocked_ts I
 SELECT trace_id, rec_offset FROM (SELECT *, lag(type_id) OVER (PARTITION BY trace_id, k ORDER BY ord, rec_offset) AS was FROM s WHERE k IS NOT NULL) WHERE type_id = {ID['GoUnblock']} AND was = {ID['GoBlockNet']} AND p IS DISTINCT FROM 1000001""",
     "state_violations": _state_sql(),
     "bracket_violations": _bracket_sql(),
+    "processor_violations": f"""{_WITH},
+w AS (SELECT *, coalesce(last_value(CASE WHEN type_id IN {_in(STARTS)} THEN g WHEN type_id IN {_in(STOPS)} THEN 0 END IGNORE NULLS) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_BEFORE}), 0) AS was
+      FROM ev WHERE type_id IN {_in([*STARTS, *STOPS, ID['GoCreate'], ID['GoSysCall'], ID['GoUnblock'], ID['ProcStop']])} AND p IS NOT NULL AND g IS NOT NULL AND p < 1000000)
+SELECT * FROM (SELECT trace_id, rec_offset, 'processor' AS rule_id, CASE WHEN type_id IN {_in([*STARTS, ID['ProcStop']])} AND was <> 0 THEN 'processor is busy'
+  WHEN type_id IN {_in([*STOPS, ID['GoCreate'], ID['GoSysCall'], ID['GoUnblock']])} AND was <> g THEN 'goroutine does not run here' WHEN type_id IN {_in([*STOPS, ID['GoSysCall']])} AND g = 0 THEN 'goroutine 0 did this' END AS message FROM w) WHERE message IS NOT NULL""",
+    "region_violations": f"""{_WITH},
+m AS (SELECT *, sum(CASE WHEN a1 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_UP}) AS s FROM ev WHERE type_id = {ID['UserRegion']} AND a1 IN (0, 1) AND g IS NOT NULL),
+l AS (SELECT *, least(0, min(s) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_UP})) AS low, least(0, coalesce(min(s) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_BEFORE}), 0)) AS was FROM m),
+v AS (SELECT *, s - low + CASE WHEN a1 = 0 THEN 0 ELSE 1 END AS lev FROM l WHERE NOT (a1 = 1 AND s < was)),
+n AS (SELECT *, lead(a1) OVER w AS na, lead(a0) OVER w AS nt, lead(string_args[1]) OVER w AS nn FROM v WINDOW w AS (PARTITION BY trace_id, g, lev ORDER BY ord, rec_offset))
+SELECT trace_id, rec_offset, 'region' AS rule_id, 'ended by a region of another name or task' AS message FROM n WHERE a1 = 0 AND na = 1 AND (nt IS DISTINCT FROM a0 OR nn IS DISTINCT FROM string_args[1])""",
+    "task_descendants": f"""{_WITH.replace('WITH', 'WITH RECURSIVE')}, {_TASKS},
+up AS (SELECT c.trace_id, c.task_id, p.task_id AS parent_id FROM task c LEFT JOIN task p ON p.trace_id = c.trace_id AND p.task_id = c.parent_id),
+tre AS (SELECT trace_id, task_id, [task_id] AS path FROM up WHERE parent_id IS NULL
+  UNION ALL SELECT u.trace_id, u.task_id, list_append(t.path, u.task_id) FROM tre t JOIN up u ON u.trace_id = t.trace_id AND u.parent_id = t.task_id)
+SELECT trace_id, a AS ancestor_id, task_id, n - i AS distance FROM (SELECT trace_id, task_id, len(path) AS n, unnest(path) AS a, unnest(range(1, len(path) + 1)) AS i FROM tre)""",
     "string_violations": """SELECT trace_id, string_id, rule_id FROM (
   SELECT trace_id, string_id, CASE WHEN string_id = 0 THEN 'zero id' WHEN bool_or(val = '') THEN 'empty string' WHEN min(val) <> max(val) THEN 'several values' END AS rule_id FROM strings GROUP BY trace_id, string_id) WHERE rule_id IS NOT NULL""",
     "stack_frames": f"""{_WITH}, {_STACKS}

@@ -35,6 +35,7 @@ def test_goroutine_times(spark):
     assert (got["t2", 1].gc_time, got["t2", 2].gc_time) == (80, 70)
     assert (got["t3", 1].sweep_time, got["t3", 1].assist_mark_time) == (9, 60)
     old = {(r.trace_id, r.g): r for r in G.goroutines(ev, compat=True).collect()}
+    assert (old["t3", 1].sweep_time, got["t3", 1].sweep_time) == (24, 9)
     assert old["t0", 1].end_ts is None and (old["t2", 1].gc_time, old["t2", 2].gc_time) == (50, 50)
 
 
@@ -247,6 +248,23 @@ def test_state_violations(spark):
     assert {(r.string_id, r.rule_id) for r in linking.dictionary_violations(strings).collect()} == {(0, "zero id"), (1, "empty string"), (2, "several values")}
 
 
+def test_processor_and_region_violations(spark):
+    bad = [
+        [e(1, "GoStart", g=1), e(2, "GoStart", g=2)], [e(1, "GoStart", g=1), e(2, "ProcStop")], [e(1, "GoStart", g=1), e(2, "GoSched", g=2)], [e(1, "GoSched", g=0)],
+        [e(1, "GoStart", g=1), e(2, "GoUnblock", g=3, a=(9,))], [e(1, "GoStart", g=1), e(2, "GoUnblock", g=3, p=1000001, a=(9,)), e(3, "GoEnd", g=1), e(4, "GoCreate", a=(5,)), e(5, "ProcStop")],
+    ]
+    got = [(r.trace_id, r.rec_offset) for r in linking.processor_violations(table(spark, *bad)).collect()]
+    assert sorted(got) == [("t0", 11), ("t1", 11), ("t2", 11), ("t3", 10), ("t4", 11)]
+    region = lambda ts, mode, task, name: e(ts, "UserRegion", g=1, a=(task, mode), s=[name])
+    rows = [[region(1, 0, 1, "a"), region(2, 1, 1, "a")], [region(1, 0, 1, "a"), region(2, 1, 2, "a")], [region(1, 0, 1, "a"), region(2, 1, 1, "b")], [region(1, 1, 1, "x"), region(2, 0, 1, "a")]]
+    assert sorted(r.trace_id for r in linking.region_violations(table(spark, *rows)).collect()) == ["t1", "t2"]
+
+
+def test_task_descendants(spark):
+    got = {(r.ancestor_id, r.task_id, r.distance) for r in K.descendants(K.tasks(table(spark, C10))).collect()}
+    assert got == {(1, 1, 0), (1, 2, 1), (2, 2, 0), (3, 3, 0), (3, 4, 1), (4, 4, 0)}
+
+
 def test_dictionaries_and_pseudo_processors(spark):
     ev = table(spark, [e(1, "GoUnblock", g=7, a=(1,), stack=4), e(2, "GoSysExit", g=1, a=(1,)), e(3, "GcStart", stack=5), e(4, "GoUnblock", g=8, a=(1,))])
     got = E.with_pseudo_processors(ev, meta(spark, timers=[7])).orderBy("ord").collect()
