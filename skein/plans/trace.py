@@ -199,14 +199,14 @@ def worst_windows(spark, d):
 
 
 def mud_quantiles(spark, d):
-    return M.mud(mu_series(spark, d), WINDOWS[1], QUANTILES)
+    return M.mud(mu_series(spark, d), WINDOWS[1], QUANTILES).select("trace_id", "q", F.round("util", 6).alias("util"))
 
 
 def longest_tasks(spark, d):
     """The three longest tasks of each trace."""
     rank = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.desc_nulls_last("duration"), "task_id", F.asc_nulls_last("loaded_at")))
     rows = table(spark, d, "tasks").select("trace_id", "task_id", "duration", "loaded_at").distinct().withColumn("place", rank)
-    return rows.where("place <= 3").select("trace_id", "task_id", "duration", "place")
+    return rows.where("place <= 3").select("trace_id", "task_id", "duration", F.col("place").cast("bigint").alias("place"))
 
 
 def named_goroutines(spark, d):
@@ -398,7 +398,7 @@ parts AS (
 contrib AS (SELECT trace_id, ord, rec_offset, ts, p, CAST(sum(d) AS INTEGER) AS d FROM parts WHERE d IS NOT NULL AND p IS NOT NULL GROUP BY ALL)"""
 _RAW = f"""cnt AS (SELECT *, sum(d) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_UP}) AS c FROM contrib),
 bus AS (SELECT *, CASE WHEN c > 0 THEN 1 ELSE 0 END - coalesce(lag(CASE WHEN c > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset), 0) AS ch FROM cnt),
-mix AS (SELECT trace_id, ord, rec_offset, ts, ch, 0 AS stw, NULL AS n FROM bus
+mix AS (SELECT trace_id, ord, rec_offset, ts, ch, 0 AS stw, NULL::BIGINT AS n FROM bus
   UNION ALL SELECT trace_id, ord, rec_offset, ts, 0, CASE type_id WHEN {ID['GcStwStart']} THEN 1 WHEN {ID['GcStwDone']} THEN -1 ELSE 0 END, CASE WHEN type_id = {ID['Gomaxprocs']} THEN a0 END FROM ev WHERE type_id IN {_in([ID['Gomaxprocs'], ID['GcStwStart'], ID['GcStwDone']])}),
 one AS (SELECT trace_id, ord, rec_offset, ts, sum(ch) AS ch, sum(stw) AS stw, max(n) AS n FROM mix GROUP BY ALL),
 acc AS (SELECT trace_id, ord, rec_offset, ts, sum(ch) OVER w AS b, sum(stw) OVER w AS s, last_value(n IGNORE NULLS) OVER w AS n FROM one WINDOW w AS (PARTITION BY trace_id ORDER BY ord, rec_offset {_UP})),
@@ -414,7 +414,29 @@ kno AS (SELECT DISTINCT trace_id, w, len, t FROM (
 lo AS (SELECT k.*, a.area + a.util * (k.t - a.time) AS f0 FROM kno k ASOF JOIN arr a ON a.trace_id = k.trace_id AND a.time <= k.t),
 win AS (SELECT k.trace_id, k.w, k.t, (a.area + a.util * (k.t + k.len - a.time) - k.f0) / k.len AS util FROM lo k ASOF JOIN arr a ON a.trace_id = k.trace_id AND a.time <= k.t + k.len)"""
 
+_FOLDED = """num AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ord, rec_offset) AS rn FROM raw),
+fold AS (
+  SELECT trace_id, rn, time AS t, util AS u, NULL::BIGINT AS et, NULL::DOUBLE AS eu FROM num WHERE rn = 1
+  UNION ALL
+  SELECT f.trace_id, n.rn, CASE WHEN abs(u - util) < 1e-5 THEN t ELSE time END, CASE WHEN abs(u - util) < 1e-5 THEN u WHEN t = time THEN least(u, util) ELSE util END,
+         CASE WHEN abs(u - util) >= 1e-5 AND t <> time THEN t END, CASE WHEN abs(u - util) >= 1e-5 AND t <> time THEN u END
+  FROM fold f JOIN num n ON n.trace_id = f.trace_id AND n.rn = f.rn + 1),
+folded AS (SELECT trace_id, et AS time, eu AS util FROM fold WHERE et IS NOT NULL UNION ALL SELECT trace_id, arg_max(t, rn), arg_max(u, rn) FROM fold GROUP BY trace_id)"""
+_RECURSIVE = _WITH.replace("WITH", "WITH RECURSIVE")
+_MUD = f"""par AS (SELECT trace_id, util, lead(util) OVER v AS u2, lead(t) OVER v - t AS dt FROM win WHERE w = {WINDOWS[1]} WINDOW v AS (PARTITION BY trace_id ORDER BY t)),
+seg AS (SELECT trace_id, least(util, u2) AS lo, greatest(util, u2) AS hi, dt::DOUBLE AS dt FROM par WHERE dt > 0),
+edg AS (SELECT trace_id, lo AS x, 0.0::DOUBLE AS delta, dt AS dirac FROM seg WHERE hi - lo < 1e-5
+  UNION ALL SELECT trace_id, lo, dt / (hi - lo), 0.0 FROM seg WHERE hi - lo >= 1e-5 UNION ALL SELECT trace_id, hi, -dt / (hi - lo), 0.0 FROM seg WHERE hi - lo >= 1e-5),
+edx AS (SELECT trace_id, x, sum(delta) AS delta, sum(dirac) AS dirac FROM edg GROUP BY ALL),
+rat AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY trace_id ORDER BY x {_BEFORE}), 0) AS rate, coalesce(x - lag(x) OVER (PARTITION BY trace_id ORDER BY x), 0) AS gap, coalesce(sum(dirac) OVER (PARTITION BY trace_id ORDER BY x {_BEFORE}), 0) AS jump FROM edx),
+cum AS (SELECT *, sum(rate * gap) OVER (PARTITION BY trace_id ORDER BY x {_UP}) + jump AS c FROM rat),
+ask AS (SELECT trace_id, m.mass * q AS y, q, low FROM (SELECT trace_id, min(util) AS low FROM win WHERE w = {WINDOWS[1]} GROUP BY trace_id) LEFT JOIN (SELECT trace_id, sum(dt) AS mass FROM seg GROUP BY trace_id) m USING (trace_id), (SELECT unnest([{', '.join(map(str, QUANTILES))}]::DOUBLE[]) AS q)),
+hit AS (SELECT a.trace_id, q, arg_min(struct_pack(x := x, c := c, rate := rate, y := y), x) AS f FROM ask a JOIN cum k ON k.trace_id = a.trace_id AND c + dirac >= y * (1 - 1e-12) GROUP BY ALL)
+SELECT a.trace_id, a.q, round(coalesce(CASE WHEN f.c > f.y AND f.rate > 1e-9 THEN f.x - (f.c - f.y) / f.rate ELSE f.x END, low), 6) AS util FROM ask a LEFT JOIN hit h ON h.trace_id = a.trace_id AND h.q = a.q"""
+
 SQL = {
+    "mu_series": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED} SELECT trace_id, 0 AS series, time, util FROM folded",
+    "mud_quantiles": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_WINDOWED.replace('SELECT trace_id, time, min(util) AS util FROM raw GROUP BY ALL', 'SELECT * FROM folded')}, {_MUD}",
     "event_catalog": f"{_WITH} SELECT type_id, t.type AS type_name, min_version, has_stack, count(*) AS n FROM ev LEFT JOIN event_types t USING (type_id) GROUP BY ALL",
     "catalog_table": "SELECT type_id, type, min_version, has_stack, array_to_string(args, ',') AS args, coalesce(array_to_string(string_args, ','), '') AS string_args FROM event_types",
     "ts_rescale": f"{_WITH}, f AS (SELECT trace_id, max(frequency) AS freq FROM trace_meta WHERE frequency > 0 GROUP BY trace_id) SELECT trace_id, rec_offset, CAST(trunc((1e9 / freq) * (ts - min(ts) OVER (PARTITION BY trace_id))) AS BIGINT) AS ns FROM ev LEFT JOIN f USING (trace_id)",
