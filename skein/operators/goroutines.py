@@ -150,13 +150,11 @@ def inherited_tasks(ev: DataFrame) -> DataFrame:
     It is the task of the creator's inner-most open region at the creation, or, where none is open, the task the creator
     itself has taken over, and so on up. Task 0 is none.
     """
-    from skein.functions.catalog import ID as ids
-
     rows = regions(ev).where("start_ord is not null")
     marks = rows.select("trace_id", "g", F.col("start_ord").alias("ord"), F.col("depth").alias("level"), F.col("task_id").alias("_task"), F.lit(True).alias("_on")).unionByName(rows.where("end_ord is not null").select("trace_id", "g", F.col("end_ord").alias("ord"), (F.col("depth") - 1).alias("level"), F.lit(None).cast("bigint").alias("_task"), F.lit(False).alias("_on")))
     top = Window.partitionBy("trace_id", "g", "level").orderBy("ord", "_on").rowsBetween(Window.unboundedPreceding, 0)
     tops = marks.withColumn("_top", F.when(F.col("level") > 0, F.last(F.when(F.col("_on"), F.struct("_task")), ignorenulls=True).over(top))).groupBy("trace_id", "g", "ord").agg(F.min_by("_top", "level").alias("_top"), F.min("level").alias("level"))
-    made = ev.where((F.col("type_id") == ids["GoCreate"]) & F.col("g").isNotNull() & F.col("a0").isNotNull()).select("trace_id", "g", F.col("a0").alias("child"), "ord", "rec_offset", "ts")
+    made = ev.where((F.col("type_id") == ID["GoCreate"]) & F.col("g").isNotNull() & F.col("a0").isNotNull()).select("trace_id", "g", F.col("a0").alias("child"), "ord", "rec_offset", "ts")
     seen = as_of(tops, made, ["trace_id", "g"], "ord", F.struct("level", "_top"), "_at", strict=True)
     first = seen.groupBy("trace_id", "child").agg(F.min_by(F.struct(F.col("g"), F.col("ord"), F.col("rec_offset"), F.col("ts"), F.col("_at")), F.struct("ord", "rec_offset")).alias("x"))
     own = F.coalesce(F.col("x._at.level"), F.lit(0)) > 0
