@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.functions.catalog import ID, NAME, NETPOLL_P
-from skein.functions.ship import ship
 from skein.functions.tables import durable
 from skein.operators import events as E, futile, goroutines as G, linking, mmu as M, mutator, ordering, projection, tasks as K
 from skein.sources import trace_file
@@ -32,7 +31,6 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     link_offset, link_ts, link_g``. Times are nanoseconds since the first event. Violations of the format and of the states are
     rows of ``violations``; with ``strict`` the first one is raised instead.
     """
-    ship(spark)
     raw = durable(trace_file.read_raw(spark, path, mode))
     meta = projection.meta(raw)
     projected = projection.project(raw)

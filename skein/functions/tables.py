@@ -14,12 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named in ``spark.checkpoint.dir``.
+    """The folder all executors share, named in ``spark.checkpoint.dir`` or set as the context's checkpoint folder.
 
-    Where the setting is absent, a local session gets a temporary folder of its own; on a cluster that
+    Where neither is set, a local session gets a temporary folder of its own; on a cluster that
     is an error, since executors could not read each other's local files.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skein.functions.catalog import ID, STARTS, STOPS
+from skein.functions.stepfn import as_of
 from skein.functions.windows import last_over, sum_over
 
 TOLERANCE = 1e-5
@@ -117,7 +118,7 @@ def raw_utilisation_per_proc(ev: DataFrame, stw: bool = True, background: bool =
     rows = busy.select("trace_id", "p", "ord", "rec_offset", "ts", F.col("busy"), F.lit(None).cast("bigint").alias("stopped")).unionByName(spread.select("trace_id", "p", "ord", "rec_offset", "ts", F.lit(None).cast("int").alias("busy"), F.col("stopped").cast("bigint")))
     rows = last_over(rows, ["trace_id", "p"], _ORDER, F.col("busy"), "_b", inclusive=True)
     rows = last_over(rows, ["trace_id", "p"], _ORDER, F.col("stopped"), "_s", inclusive=True)
-    procs = last_over(rows.unionByName(n.select("trace_id", "ord", "rec_offset", "ts").withColumn("p", F.lit(-1)), allowMissingColumns=True).join(n.select("trace_id", F.col("ord").alias("_no"), F.col("rec_offset").alias("_nr"), "procs"), (F.col("p") == -1) & (F.col("ord") == F.col("_no")) & (F.col("rec_offset") == F.col("_nr")), "left").select(rows.trace_id, "p", "ord", "rec_offset", "ts", "_b", "_s", "procs"), ["trace_id"], _ORDER, F.col("procs"), "_n", inclusive=True).where("p >= 0 and p < _n")
+    procs = as_of(n, rows, ["trace_id"], "ord", F.col("procs"), "_n").where("p < _n")
     util = F.when((F.coalesce("_b", F.lit(0)) > 0) | (F.coalesce("_s", F.lit(0)) > 0), 0.0).otherwise(1.0)
     points = procs.select("trace_id", "p", "ord", "rec_offset", F.col("ts").alias("time"), util.alias("util")).unionByName(added).unionByName(dropped)
     last = n.groupBy("trace_id").agg(F.max_by("procs", F.struct(*_ORDER)).alias("_n"))

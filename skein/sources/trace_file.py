@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from skein.functions.catalog import ID, TYPES, VERSIONS, arity
+from skein.functions.ship import ship
 
 SCHEMA = "trace_id string, version int, rec_offset bigint, type_id int, args array<bigint>, str_arg string, corrupt_reason string"
 MOST_TEXT = 1_000_000  # bytes of a string
@@ -176,6 +177,7 @@ def read_raw(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFram
 
     Files without a byte are skipped, as Spark skips them; ``exectrace`` says that their header is bad.
     """
+    ship(spark)
     permissive = mode.upper() == "PERMISSIVE"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,4 +229,5 @@ class ExecTrace(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Makes the format ``exectrace`` known to a session."""
+    ship(spark)
     spark.dataSource.register(ExecTrace)
