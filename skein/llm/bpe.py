@@ -260,19 +260,23 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.pieces, self.find = vocab, _Pieces(vocab), _automata()[0].findall
 
-    def encode(self, text: str) -> list[int]:
+    def parts(self, text: str) -> Iterator[Iterable[int]]:
+        """The ids of a text, in parts of bounded size."""
         if len(text) <= LONG_TEXT:
-            return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
-        stream, ids = StreamEncoder(self.vocab, self.pieces), []
+            yield chain.from_iterable(map(self.pieces.__getitem__, self.find(text)))
+            return
+        stream = StreamEncoder(self.vocab, self.pieces)
         for at in range(0, len(text), LONG_TEXT):
-            ids.extend(stream.feed(text[at : at + LONG_TEXT]))
-        return ids + stream.finish()
+            yield stream.feed(text[at : at + LONG_TEXT])
+        yield stream.finish()
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.parts(text)))
 
     def count(self, text: str) -> int:
         if len(text) <= LONG_TEXT:
             return sum(map(len, map(self.pieces.__getitem__, self.find(text))))
-        stream = StreamEncoder(self.vocab, self.pieces)
-        return sum(len(stream.feed(text[at : at + LONG_TEXT])) for at in range(0, len(text), LONG_TEXT)) + len(stream.finish())
+        return sum(map(len, self.parts(text)))
 
 
 @lru_cache(maxsize=4)
@@ -294,12 +298,12 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path).encode
+        parts = _encoder(path).parts
         for b in _parts(batches):
             ids, offsets = array("i"), np.zeros(b.num_rows + 1, np.int32)
             for i, text in enumerate(b.column(1).to_pylist()):
-                if text:
-                    ids.extend(encode(text))
+                for part in parts(text) if text else ():
+                    ids.extend(part)
                 offsets[i + 1] = len(ids)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), lists], ["doc_id", "ids"])
