@@ -133,7 +133,7 @@ def consistent_forms(documents: DataFrame) -> DataFrame:
 def sql_form(column: str) -> str:
     """The composed skeleton as a DuckDB expression, over the characters of the scripts named above."""
     one, gone, more = {}, [], {}
-    ranges = [(0x80, 0x250), (0x250, 0x300), (0x34F, 0x350), (0x370, 0x590), (0x2000, 0x2070), (0x3000, 0x3001), (0xFB00, 0xFB18), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFF01, 0xFF5F)]
+    ranges = [(0x80, 0x250), (0x250, 0x300), (0x34F, 0x350), (0x370, 0x590), (0x1F00, 0x2000), (0x2000, 0x2070), (0x3000, 0x3001), (0xFB00, 0xFB18), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFF01, 0xFF5F)]
     for code in [*range(1, 32), 127, *(c for a, b in ranges for c in range(a, b))]:
         char = chr(code)
         form = unicodedata.normalize("NFC", skeleton(char)) if unicodedata.normalize("NFC", char) == char else char
