@@ -45,7 +45,7 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     kept = durable(kept.join(polled, ["trace_id", "rec_offset"], "left").withColumn("p", F.when(F.col("_polled"), NETPOLL_P).otherwise(F.col("p"))).drop("_polled"))
     linked = linking.links(kept, meta)
     starts = linked.groupBy("trace_id", "rec_offset").agg(F.min("link_offset").alias("link_offset"), F.min_by("link_ts", "link_offset").alias("link_ts"), F.min_by("link_g", "link_offset").alias("link_g"))
-    closes = G.regions(kept).where("start_offset is not null and end_offset is not null").select("trace_id", F.col("start_offset").alias("rec_offset"), F.col("end_offset").alias("_ro"), F.col("end_ts").alias("_rt"), F.col("g").alias("_rg"))
+    closes = G.user_regions(kept).where("start_offset is not null and end_offset is not null").select("trace_id", F.col("start_offset").alias("rec_offset"), F.col("end_offset").alias("_ro"), F.col("end_ts").alias("_rt"), F.col("g").alias("_rg"))
     ev = kept.join(starts, ["trace_id", "rec_offset"], "left").join(closes, ["trace_id", "rec_offset"], "left")
     ev = ev.withColumn("link_offset", F.coalesce("link_offset", "_ro")).withColumn("link_ts", F.coalesce("link_ts", "_rt")).withColumn("link_g", F.coalesce("link_g", "_rg"))
     # a goroutine's first start shows the stack it was created with

@@ -123,8 +123,8 @@ def goroutines(ev: DataFrame, stacks: DataFrame | None = None, compat: bool = Fa
     return out.select("trace_id", "g", F.when(started, F.col("_top.fn")).alias("name"), F.when(started, F.col("_top.pc")).alias("pc"), "creation_ts", "start_ts", end.alias("end_ts"), *(v.alias(c) for c, v in zero.items()), (upto - F.col("creation_ts")).alias("total_time"))
 
 
-def regions(ev: DataFrame) -> DataFrame:
-    """``trace_id, task_id, g, name, start_offset, start_ts, start_ord, end_offset, end_ts, end_ord``: user regions of goroutines.
+def user_regions(ev: DataFrame) -> DataFrame:
+    """``trace_id, task_id, g, name, start_offset, start_ts, start_ord, end_offset, end_ts, end_ord, depth``: what UserRegion events open and close.
 
     An end closes the inner-most open region, a stray end makes a region without a start, the goroutine's GoEnd closes
     all that are open, and what is open at the end of the trace has no end. Other modes than 0 and 1 are left out.
@@ -144,26 +144,49 @@ def regions(ev: DataFrame) -> DataFrame:
     return whole.unionByName(stray)
 
 
-def inherited_tasks(ev: DataFrame) -> DataFrame:
-    """``trace_id, g, task_id, start_offset, start_ts, start_ord``: the task each goroutine takes over from its creator, if any.
+def _inherited(ev: DataFrame, own: DataFrame) -> DataFrame:
+    """The nameless regions goroutines take over from their creators, with the columns of :func:`user_regions`, their ``depth`` 0.
 
-    It is the task of the creator's inner-most open region at the creation, or, where none is open, the task the creator
-    itself has taken over, and so on up. Task 0 is none.
+    Such a region starts at the goroutine's creation and lies below all of its ``own`` regions, so the first end that is stray
+    among these closes it, or the goroutine's GoEnd, if that comes first. Its task is that of the creator's inner-most open
+    region or, where the creator has none of its own open, of the region the creator itself has taken over, as long as
+    that is open, and so on up. Task 0 is none.
     """
-    rows = regions(ev).where("start_ord is not null")
+    rows = own.where("start_ord is not null")
     marks = rows.select("trace_id", "g", F.col("start_ord").alias("ord"), F.col("depth").alias("level"), F.col("task_id").alias("_task"), F.lit(True).alias("_on")).unionByName(rows.where("end_ord is not null").select("trace_id", "g", F.col("end_ord").alias("ord"), (F.col("depth") - 1).alias("level"), F.lit(None).cast("bigint").alias("_task"), F.lit(False).alias("_on")))
     top = Window.partitionBy("trace_id", "g", "level").orderBy("ord", "_on").rowsBetween(Window.unboundedPreceding, 0)
     tops = marks.withColumn("_top", F.when(F.col("level") > 0, F.last(F.when(F.col("_on"), F.struct("_task")), ignorenulls=True).over(top))).groupBy("trace_id", "g", "ord").agg(F.min_by("_top", "level").alias("_top"), F.min("level").alias("level"))
     made = ev.where((F.col("type_id") == ID["GoCreate"]) & F.col("g").isNotNull() & F.col("a0").isNotNull()).select("trace_id", "g", F.col("a0").alias("child"), "ord", "rec_offset", "ts")
     seen = as_of(tops, made, ["trace_id", "g"], "ord", F.struct("level", "_top"), "_at", strict=True)
-    first = seen.groupBy("trace_id", "child").agg(F.min_by(F.struct(F.col("g"), F.col("ord"), F.col("rec_offset"), F.col("ts"), F.col("_at")), F.struct("ord", "rec_offset")).alias("x"))
-    own = F.coalesce(F.col("x._at.level"), F.lit(0)) > 0
-    links = first.select("trace_id", F.col("child").alias("task_id"), F.when(~own, F.col("x.g")).alias("parent_id"), F.when(own, F.col("x._at._top._task")).alias("_own"), "x")
+    first = durable(seen.groupBy("trace_id", "child").agg(F.min_by(F.struct(F.col("g"), F.col("ord"), F.col("rec_offset"), F.col("ts"), F.col("_at")), F.struct("ord", "rec_offset")).alias("x")))
+    strays = own.where("start_ord is null").select("trace_id", "g", F.struct(F.col("end_ord").alias("ord"), F.col("end_offset").alias("rec_offset"), F.col("end_ts").alias("ts")).alias("_shut"))
+    closes = strays.unionByName(ev.where((F.col("type_id") == ID["GoEnd"]) & F.col("g").isNotNull()).select("trace_id", "g", F.struct("ord", "rec_offset", "ts").alias("_shut")))
+    born = first.select("trace_id", F.col("child").alias("g"), F.struct("x.ord", "x.rec_offset", "x.ts").alias("_born"))
+    shut = durable(closes.join(born, ["trace_id", "g"]).where("_shut > _born").groupBy("trace_id", "g").agg(F.min("_shut").alias("_shut")))
+    by = first.join(shut.select("trace_id", F.col("g").alias("_by"), F.col("_shut.ord").alias("_gone")), (first.trace_id == shut.trace_id) & (F.col("x.g") == F.col("_by")), "left").select(first.trace_id, "child", "x", "_gone")
+    level = F.coalesce(F.col("x._at.level"), F.lit(0)) > 0
+    held = ~level & (F.col("_gone").isNull() | (F.col("_gone") >= F.col("x.ord")))
+    links = by.select("trace_id", F.col("child").alias("task_id"), F.when(held, F.col("x.g")).alias("parent_id"), F.when(level, F.col("x._at._top._task")).alias("_own"), "x")
     roots = hierarchy(links.select("trace_id", "task_id", "parent_id"), with_paths=False).where("root_id is not null").select("trace_id", F.col("task_id").alias("g"), "root_id")
     given = links.select("trace_id", F.col("task_id").alias("root_id"), F.col("_own").alias("task_id"))
     got = roots.join(given, ["trace_id", "root_id"]).where("task_id is not null and task_id <> 0")
     at = links.select("trace_id", F.col("task_id").alias("g"), F.col("x.rec_offset").alias("start_offset"), F.col("x.ts").alias("start_ts"), F.col("x.ord").alias("start_ord"))
-    return got.select("trace_id", "g", "task_id").join(at, ["trace_id", "g"])
+    whole = got.select("trace_id", "g", "task_id").join(at, ["trace_id", "g"]).join(shut, ["trace_id", "g"], "left")
+    return whole.select("trace_id", "task_id", "g", F.lit(None).cast("string").alias("name"), "start_offset", "start_ts", "start_ord", F.col("_shut.rec_offset").alias("end_offset"), F.col("_shut.ts").alias("end_ts"), F.col("_shut.ord").alias("end_ord"), F.lit(0).alias("depth"))
+
+
+def regions(ev: DataFrame) -> DataFrame:
+    """``user_regions`` and the nameless regions goroutines take over from their creators; ends that close one of these are not stray."""
+    own = durable(user_regions(ev))
+    taken = durable(_inherited(ev, own))
+    used = taken.where("end_offset is not null").select("trace_id", "g", "end_offset")
+    stray = own.where("start_ord is null").join(used, ["trace_id", "g", "end_offset"], "left_anti")
+    return own.where("start_ord is not null").unionByName(stray).unionByName(taken)
+
+
+def inherited_tasks(ev: DataFrame) -> DataFrame:
+    """``trace_id, g, task_id, start_offset, start_ts, start_ord``: the task each goroutine takes over from its creator, if any."""
+    return _inherited(ev, durable(user_regions(ev))).select("trace_id", "g", "task_id", "start_offset", "start_ts", "start_ord")
 
 
 def snapshots(ev: DataFrame, probes: DataFrame) -> DataFrame:
@@ -192,12 +215,13 @@ def snapshots(ev: DataFrame, probes: DataFrame) -> DataFrame:
     return got.drop("_now", "_then", "_born")
 
 
-def region_stats(ev: DataFrame) -> DataFrame:
+def region_stats(ev: DataFrame, inherited: bool = True) -> DataFrame:
     """``regions`` with the nine times spent inside each: the snapshot at its end minus that at its start.
 
-    Without a start nothing is subtracted; an open region is measured at the last event of the trace.
+    Without a start nothing is subtracted; an open region is measured at the last event of the trace. Without ``inherited``
+    those of ``user_regions``.
     """
-    spans = durable(regions(ev))
+    spans = durable(regions(ev) if inherited else user_regions(ev))
     keyed = spans.select("trace_id", "g", F.coalesce("start_offset", F.lit(-1)).alias("start_offset"), F.coalesce("end_offset", F.lit(-1)).alias("end_offset"), "start_ord", "start_ts", "end_ord", "end_ts")
     last = ev.groupBy("trace_id").agg(F.max("ord").alias("_ord"), F.max("ts").alias("_ts"))
     ends = keyed.join(last, "trace_id").select("trace_id", "g", "start_offset", "end_offset", F.lit(1).alias("_sign"), F.coalesce("end_ord", "_ord").alias("ord"), F.coalesce("end_ts", "_ts").alias("ts"))

@@ -120,11 +120,11 @@ def gc_cycles(spark, d):
 
 
 def regions(spark, d):
-    return G.regions(_stored(spark, d)).drop("depth", "start_ord", "end_ord")
+    return G.user_regions(_stored(spark, d)).drop("depth", "start_ord", "end_ord")
 
 
 def region_times(spark, d):
-    return G.region_stats(_stored(spark, d)).select("trace_id", "g", "start_offset", "end_offset", "exec_time", "sched_wait_time", "io_time", "block_time", "syscall_time", "total_time")
+    return G.region_stats(_stored(spark, d), inherited=False).select("trace_id", "g", "start_offset", "end_offset", "exec_time", "sched_wait_time", "io_time", "block_time", "syscall_time", "total_time")
 
 
 def region_stats(spark, d):

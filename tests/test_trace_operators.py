@@ -85,6 +85,27 @@ def test_inherited_tasks(spark):
     assert {(r.g, r.task_id) for r in G.inherited_tasks(table(spark, rows)).collect()} == {(2, 8), (3, 7), (5, 8), (6, 8)}
 
 
+def test_inherited_regions_take_part(spark):
+    rows = [
+        e(0, "GoCreate", a=(1,)), e(1, "GoStart", g=1), e(2, "UserRegion", g=1, a=(7, 0), s=["a"]), e(3, "GoCreate", g=1, a=(2,)), e(4, "GoCreate", g=1, a=(3,)), e(5, "GoCreate", g=1, a=(4,)),
+        e(6, "UserRegion", g=1, a=(7, 1), s=["a"]), e(10, "GoStart", g=2, p=1), e(12, "UserRegion", g=2, a=(0, 0), s=["b"]), e(14, "UserRegion", g=2, a=(0, 1), s=["b"]), e(15, "GoCreate", g=2, a=(5,), p=1),
+        e(20, "UserRegion", g=2, a=(9, 1), s=["stray"]), e(21, "GoCreate", g=2, a=(6,), p=1), e(22, "UserRegion", g=2, a=(9, 1), s=["again"]), e(30, "GoStart", g=3, p=2), e(33, "GoEnd", g=3, p=2), e(40, "GoSched", g=2, p=1),
+    ]
+    ev = table(spark, rows)
+    got = {(r.g, r.task_id, r.name, r.start_ts, r.end_ts) for r in G.regions(ev).collect()}
+    assert got == {(1, 7, "a", 2, 6), (2, 7, None, 3, 20), (3, 7, None, 4, 33), (4, 7, None, 5, None), (5, 7, None, 15, None), (2, 0, "b", 12, 14), (2, 9, "again", None, 22)}
+    times = {r.g: (r.exec_time, r.sched_wait_time, r.total_time) for r in G.region_stats(ev).where("name is null").collect()}
+    assert times == {2: (10, 7, 17), 3: (3, 26, 29), 4: (0, 35, 35), 5: (0, 25, 25)}
+    tasks = K.tasks(ev, G.regions(ev))
+    assert {r.task_id: r.goroutines for r in tasks.collect()} == {7: [1, 2, 3, 4, 5], 9: [2]}
+    assert {r.g for r in K.related_goroutines(ev, tasks, 0).where("task_id = 7").collect()} == {1, 2, 3, 4, 5}
+    hits = K.overlapping_instants(ev, tasks, G.regions(ev)).where("task_id = 7").join(ev, ["trace_id", "rec_offset"])
+    assert {(r.g, r.ts) for r in hits.collect()} >= {(2, 10), (2, 15), (3, 30), (3, 33)}
+    links = spark.createDataFrame([("t0", 10 + 14, 33, 3)], "trace_id string, rec_offset long, link_ts long, link_g long")
+    assert [(r.task_id, r.overlap) for r in K.overlapping_durations(ev, tasks, G.regions(ev), links).collect()] == [(7, 3)]
+    assert {(r.g, r.task_id) for r in G.inherited_tasks(ev).collect()} == {(2, 7), (3, 7), (4, 7), (5, 7)}
+
+
 C6 = [
     e(1, "GoCreate", a=(1,)), e(2, "GoStart", g=1), e(3, "GoBlockRecv", g=1), e(4, "GoUnblock", a=(1,)), e(5, "GoStart", g=1), e(6, "FutileWakeup", g=1),
     e(7, "GoBlockRecv", g=1), e(8, "GoUnblock", a=(1,)), e(9, "GoStart", g=1),
