@@ -82,7 +82,7 @@ def tasks(trace: Trace) -> DataFrame:
 
 def descendants(tasks: DataFrame) -> DataFrame:
     """Each task with all its descendants."""
-    return K.descendants(tasks)
+    return K.all_descendants(tasks)
 
 
 def related_goroutines(trace: Trace, tasks: DataFrame, depth: int) -> DataFrame:

@@ -185,11 +185,38 @@ def _answers(done: DataFrame, group: Column, above: DataFrame | None, with_paths
 def closure(solved: DataFrame) -> DataFrame:
     """``trace_id, ancestor_id, task_id, distance``: every node with each of its descendants, itself at distance 0.
 
-    From :func:`hierarchy` with paths. Nodes whose chain never ends have no finite set of ancestors and are left out.
+    From :func:`hierarchy` with paths. Nodes whose chain never ends have no path and are left out; :func:`endless_closure` has their rows.
     """
     return solved.where("path is not null").select("trace_id", "task_id", F.size("path").alias("_n"), F.posexplode("path").alias("_at", "ancestor_id")).select("trace_id", "ancestor_id", "task_id", (F.col("_n") - 1 - F.col("_at")).cast("bigint").alias("distance"))
 
 
+def endless_closure(links: DataFrame, solved: DataFrame) -> DataFrame:
+    """The rows :func:`closure` leaves out: each node whose chain never ends with each distinct ancestor at its least distance, itself at 0.
+
+    ``solved`` is :func:`hierarchy` of ``links``. The chain runs up to the cycle and once around it. Cut at the nodes on
+    cycles, the links make trees whose paths lead from the cycle down; cut at one node per cycle, its links are a chain that
+    gives each node's position on the cycle.
+    """
+    lost = durable(solved.where("cycle_id is not null").select(F.col("trace_id").alias("_t"), F.col("task_id").alias("_id"), F.col("cycle_id").alias("_cycle"), (F.col("place") == "on").alias("_on")))
+    own = durable(links.join(lost, links.trace_id.eqNullSafe(lost._t) & (links.task_id == lost._id)).select("trace_id", "task_id", "parent_id", "_cycle", "_on"))
+    around = own.where("_on").select("trace_id", "task_id", F.when(F.col("task_id") != F.col("_cycle"), F.col("parent_id")).alias("parent_id"))
+    place = durable(hierarchy(around, with_paths=False).select(F.col("trace_id").alias("_t"), F.col("root_id").alias("_cycle"), F.col("task_id").alias("_id"), F.col("depth").alias("_at")))
+    size = place.groupBy(F.col("_t").alias("_trace"), F.col("_cycle").alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    sized = place.join(size, place._t.eqNullSafe(size._trace) & (place._cycle == size._of)).select("_t", "_cycle", "_id", "_at", "_size")
+    trees = durable(hierarchy(own.select("trace_id", "task_id", F.when(~F.col("_on"), F.col("parent_id")).alias("parent_id"))))
+    # trees hold each node with what lies above it, the cycle's node included; the rest of the cycle lies above that one
+    entry = trees.join(sized, trees.trace_id.eqNullSafe(sized._t) & (trees.root_id == sized._id)).select("trace_id", "task_id", "root_id", "depth", "_cycle", F.col("_at").alias("_from"), "_size")
+    other = place.select("_t", F.col("_cycle").alias("_c"), F.col("_id").alias("ancestor_id"), "_at")
+    rest = entry.join(other, entry.trace_id.eqNullSafe(other._t) & (entry._cycle == other._c)).where("ancestor_id <> root_id")
+    return closure(trees).unionByName(rest.select("trace_id", "ancestor_id", "task_id", (F.col("depth") + F.pmod(F.col("_from") - F.col("_at"), F.col("_size"))).cast("bigint").alias("distance")))
+
+
+def all_descendants(links: DataFrame) -> DataFrame:
+    """``trace_id, ancestor_id, task_id, distance``: every node with each of its descendants, those on and below cycles too, itself at distance 0."""
+    solved = durable(hierarchy(links))
+    return closure(solved).unionByName(endless_closure(links, solved))
+
+
 def endless(solved: DataFrame) -> DataFrame:
     """``trace_id, task_id, cycle_id, place``: the nodes whose chain of parents never ends."""
     return solved.where("cycle_id is not null").select("trace_id", "task_id", "cycle_id", "place")

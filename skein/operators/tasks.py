@@ -8,7 +8,7 @@ from skein.functions.catalog import GC_P, ID
 from skein.functions.scalars import overlap
 from skein.functions.tables import durable
 from skein.operators.events import world
-from skein.operators.hierarchy import closure, hierarchy
+from skein.operators.hierarchy import all_descendants as hierarchy_descendants, closure, hierarchy
 
 ANNOTATIONS = [ID["UserLog"], ID["UserRegion"], ID["UserTaskCreate"], ID["UserTaskEnd"]]
 
@@ -61,10 +61,15 @@ def task_regions(regions: DataFrame, ev: DataFrame) -> DataFrame:
 
 
 def descendants(task_table: DataFrame) -> DataFrame:
-    """``trace_id, ancestor_id, task_id, distance``: each task with all its descendants, itself at distance 0; none for tasks on or below a cycle."""
+    """``trace_id, ancestor_id, task_id, distance``: each task with all its descendants, itself at distance 0; none for tasks on or below a cycle (:func:`all_descendants` has them)."""
     return closure(hierarchy(task_table.select("trace_id", "task_id", "parent_id")))
 
 
+def all_descendants(task_table: DataFrame) -> DataFrame:
+    """``descendants`` with those of tasks on and below cycles."""
+    return hierarchy_descendants(durable(task_table.select("trace_id", "task_id", "parent_id")))
+
+
 def overlapping_instants(ev: DataFrame, task_table: DataFrame, regions: DataFrame) -> DataFrame:
     """``trace_id, rec_offset, task_id``: events that happen during a task.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skein.functions.tables import table
+from skein.functions.tables import durable, table
 from skein.operators import features, heavy, hierarchy, intervals, quantiles, references
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -53,6 +53,11 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.closure(hierarchy.hierarchy(hierarchy.parent_links(table(spark, d, "tasks"))))
 
 
+def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Those of tasks on and below cycles too."""
+    return hierarchy.all_descendants(durable(hierarchy.parent_links(table(spark, d, "tasks"))))
+
+
 def _durations(spark: SparkSession, d: str) -> DataFrame:
     """One duration per task: that of its newest row."""
     newest = F.max_by(F.struct("name", "duration"), F.struct(F.col("loaded_at").isNotNull(), "loaded_at", "name", "duration"))
@@ -82,7 +87,7 @@ def p6_by_processor(spark: SparkSession, d: str) -> DataFrame:
     return heavy.load_by_key(table(spark, d, "trace_events"), "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p5_percentiles, p5_merged_days, p6_found, p6_by_goroutine, p6_by_processor)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p6_found, p6_by_goroutine, p6_by_processor)}
 
 _LOAD = "SELECT {key}, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(link_ts) AS linked, CAST(sum(link_ts - ts) AS BIGINT) AS link_time FROM trace_events GROUP BY {key}"
 

@@ -145,6 +145,10 @@ def task_descendants(spark, d):
     return K.descendants(K.tasks(_stored(spark, d), table(spark, d, "regions")))
 
 
+def task_all_descendants(spark, d):
+    return K.all_descendants(K.tasks(_stored(spark, d), table(spark, d, "regions")))
+
+
 def overlap_instants(spark, d):
     ev, reg = _stored(spark, d, "link_ts", "link_g"), table(spark, d, "regions")
     return K.overlapping_instants(ev, K.tasks(ev, reg), reg).groupBy("trace_id", "task_id").agg(F.count(F.lit(1)).alias("n"))
@@ -238,7 +242,7 @@ def worker_labels(spark, d):
 _ALL = (
     goroutines, goroutine_states, event_catalog, catalog_table, ts_rescale, delta_decode, carry_forward_g, pseudo_processors, local_rename, total_order, order_violations, exit_repair,
     futile_events, without_futile, links, netpoll_unblocks, state_violations, bracket_violations, processor_violations, region_violations, string_violations, stack_frames, gc_cycles, regions, region_times, region_stats, inherited_tasks,
-    tasks, task_descendants, overlap_instants, overlap_durations, related_goroutines, mu_contributions, mu_raw, mu_series, mu_series_per_proc, mmu, mmu_per_proc, mmu_windows, worst_windows, mud_quantiles,
+    tasks, task_descendants, task_all_descendants, overlap_instants, overlap_durations, related_goroutines, mu_contributions, mu_raw, mu_series, mu_series_per_proc, mmu, mmu_per_proc, mmu_windows, worst_windows, mud_quantiles,
     longest_tasks, named_goroutines, unused_strings, traced_goroutines, worker_labels,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -152,6 +152,32 @@ def test_hierarchy(spark, bits, rows):
         assert pairs == {(t, a, i, len(v[4]) - 1 - k) for (t, i), v in got.items() if v[4] for k, a in enumerate(v[4])}
 
 
+def climbed(parents, t, i):
+    """Each distinct ancestor of a node and its least distance."""
+    found, at = {}, i
+    while at is not None and (t, at) in parents and at not in found:
+        found[at] = len(found)
+        at = parents[t, at]
+    return found
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_descendants_on_and_below_cycles(spark, seed):
+    rng = random.Random(seed)
+    parents = {("c", 1): 2, ("c", 2): 3, ("c", 3): 1, ("c", 4): 2, ("c", 5): 4, ("c", 6): 6, ("c", 7): 6, ("c", 8): None, ("c", 9): 8, ("c", 10): 77}
+    for t in ("a", None):
+        for i in range(1, 90):
+            parents[t, i] = None if rng.random() < 0.03 else rng.randint(1, 95)
+    df = spark.createDataFrame([(t, i, p) for (t, i), p in parents.items()], "trace_id string, task_id long, parent_id long")
+    rows = [tuple(r) for r in hierarchy.all_descendants(df).select("trace_id", "ancestor_id", "task_id", "distance").collect()]
+    want = {(t, a, i, n) for t, i in parents for a, n in climbed(parents, t, i).items()}
+    assert len(rows) == len(want) and set(rows) == want
+    assert {x[1:] for x in want if x[0] == "c" and x[2] == 5} == {(5, 5, 0), (4, 5, 1), (2, 5, 2), (3, 5, 3), (1, 5, 4)}
+    ended = {tuple(r) for r in hierarchy.closure(hierarchy.hierarchy(df)).select("trace_id", "ancestor_id", "task_id", "distance").collect()}
+    assert ended == {x for x in want if solve(parents, x[0], x[2])[0] is not None} and len(ended) < len(want)
+    assert hierarchy.all_descendants(df.where("false")).count() == 0
+
+
 def test_parent_links(spark):
     rows = [
         ("t", 1, None, [2, 3], "1"), ("t", 2, 0, None, "1"), ("t", 3, 2, [None], "1"), ("t", 3, 1, None, "2"), ("t", 4, None, [2], None), ("t", 5, 77, None, "1"), ("t", 5, 77, None, "1"),
