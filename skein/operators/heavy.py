@@ -49,15 +49,16 @@ def heavy_keys(df: DataFrame, columns: Sequence[str], per: int = 50) -> DataFram
     )
 
 
-def load_by_key(events: DataFrame, key: str) -> DataFrame:
-    """Load of each value of ``key`` (null included) over an event table: events, span, links and their total time.
+def load_by_key(events: DataFrame, *keys: str) -> DataFrame:
+    """Load of each value of ``keys`` together (null included) over an event table: events, span, links and their total time.
 
-    Columns: the key, ``events``, ``first_ts``, ``last_ts``, ``linked`` (events with a link) and ``link_time`` (sum of
-    ``link_ts - ts``, null where no event has both). Repeated rows count as often as they stand.
+    Columns: the keys, ``events``, ``first_ts``, ``last_ts``, ``linked`` (events with a link) and ``link_time`` (sum of
+    ``link_ts - ts``, null where no event has both). Repeated rows count as often as they stand. A goroutine or processor is
+    known only together with its trace.
     """
     return combine_by_key(
-        events.select(key, "ts", "link_ts"),
-        [key],
+        events.select(*keys, "ts", "link_ts"),
+        keys,
         [
             F.count(F.lit(1)).alias("events"),
             F.min("ts").alias("first_ts"),

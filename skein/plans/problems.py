@@ -87,7 +87,16 @@ def p6_by_processor(spark: SparkSession, d: str) -> DataFrame:
     return heavy.load_by_key(table(spark, d, "trace_events"), "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p6_found, p6_by_goroutine, p6_by_processor)}
+def p6_by_trace_goroutine(spark: SparkSession, d: str) -> DataFrame:
+    """Per goroutine, which its trace and g name together."""
+    return heavy.load_by_key(table(spark, d, "trace_events"), "trace_id", "g")
+
+
+def p6_by_trace_processor(spark: SparkSession, d: str) -> DataFrame:
+    return heavy.load_by_key(table(spark, d, "trace_events"), "trace_id", "p")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p6_found, p6_by_goroutine, p6_by_processor, p6_by_trace_goroutine, p6_by_trace_processor)}
 
 _LOAD = "SELECT {key}, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(link_ts) AS linked, CAST(sum(link_ts - ts) AS BIGINT) AS link_time FROM trace_events GROUP BY {key}"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import catalog
 from skein.operators import features, heavy, hierarchy, intervals, quantiles, references
+from skein.plans import problems
 
 INTERVALS = "trace_id string, g long, start_ts long, end_ts long"
 EVENTS = "trace_id string, ts long"
@@ -245,3 +246,18 @@ def test_heavy_keys(spark):
     ev = spark.createDataFrame([(1, 5, 9), (1, 5, 9), (1, None, 7), (None, 1, None)], "g long, ts long, link_ts long")
     got = {r.g: tuple(r)[1:] for r in heavy.load_by_key(ev, "g").collect()}
     assert got == {1: (3, 5, 5, 3, 8), None: (1, 1, 1, 0, None)}
+
+
+def test_load_of_goroutines_of_several_traces(spark):
+    rows = [("a", 1, 5, 9), ("a", 1, 7, None), ("b", 1, 1, 2), ("b", 1, 1, 2), ("b", None, 3, None), (None, 1, 4, 5), ("a", None, None, 5)]
+    ev = spark.createDataFrame(rows, "trace_id string, g long, ts long, link_ts long")
+    got = {(r.trace_id, r.g): tuple(r)[2:] for r in heavy.load_by_key(ev, "trace_id", "g").collect()}
+    assert got == {("a", 1): (2, 5, 7, 1, 4), ("b", 1): (2, 1, 1, 2, 2), ("b", None): (1, 3, 3, 0, None), (None, 1): (1, 4, 4, 1, 1), ("a", None): (1, None, None, 1, None)}
+
+
+@pytest.mark.parametrize("name,key", [("p6_by_trace_goroutine", "g"), ("p6_by_trace_processor", "p")])
+def test_loads_by_trace(spark, tmp_path, name, key):
+    rows = [("a", 1, 5, 9), ("a", 1, 7, None), ("b", 1, 1, 2), ("b", 2, 6, None)]
+    spark.createDataFrame(rows, f"trace_id string, {key} long, ts long, link_ts long").write.parquet(f"{tmp_path}/trace_events.parquet")
+    got = {(r.trace_id, r[key]): (r.events, r.first_ts, r.last_ts) for r in problems.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {("a", 1): (2, 5, 7), ("b", 1): (1, 1, 1), ("b", 2): (1, 6, 6)}
