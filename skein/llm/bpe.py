@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LONG_TEXT = 1 << 16  # characters; longer texts pass through the stream in parts
+LONG_TEXT = 1 << 10  # characters; longer texts pass through the stream in several parts of that size
 LONG_PIECE = 1 << 12  # characters; longer pieces are merged while they arrive
 KEPT_PIECES = 400_000  # pieces whose tokens a worker remembers
 
@@ -258,13 +258,10 @@ class Encoder:
     """Whole texts to ids, remembering pieces between texts."""
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.pieces, self.find = vocab, _Pieces(vocab), _automata()[0].findall
+        self.vocab, self.pieces = vocab, _Pieces(vocab)
 
-    def parts(self, text: str) -> Iterator[Iterable[int]]:
+    def parts(self, text: str) -> Iterator[list[int]]:
         """The ids of a text, in parts of bounded size."""
-        if len(text) <= LONG_TEXT:
-            yield chain.from_iterable(map(self.pieces.__getitem__, self.find(text)))
-            return
         stream = StreamEncoder(self.vocab, self.pieces)
         for at in range(0, len(text), LONG_TEXT):
             yield stream.feed(text[at : at + LONG_TEXT])
@@ -274,8 +271,6 @@ class Encoder:
         return list(chain.from_iterable(self.parts(text)))
 
     def count(self, text: str) -> int:
-        if len(text) <= LONG_TEXT:
-            return sum(map(len, map(self.pieces.__getitem__, self.find(text))))
         return sum(map(len, self.parts(text)))
 
 

@@ -113,3 +113,16 @@ def test_broken_bytes_become_replacement_characters():
     state = bpe.StreamDecoder(vocab)
     lead = vocab.ranks[b"\xc3"]
     assert state.feed([lead]) == "" and state.feed([vocab.ranks[b"a"]]) == "�a" and state.feed([lead]) + state.finish() == "�"
+
+
+def test_every_text_passes_through_the_stream(monkeypatch):
+    fed, feed = [], bpe.StreamEncoder.feed
+    monkeypatch.setattr(bpe.StreamEncoder, "feed", lambda self, text: (fed.append(text), feed(self, text))[1])
+    encoder = bpe.Encoder(bpe.vocabulary())
+    for text in ("a", "Die Zeitung, 1899.\n", " word" * 900 + "  "):
+        fed.clear()
+        ids = encoder.encode(text)
+        assert "".join(fed) == text and max(map(len, fed)) <= bpe.LONG_TEXT
+        state = bpe.StreamDecoder(encoder.vocab)
+        assert state.feed(ids) + state.finish() == text and encoder.count(text) == len(ids)
+        assert ids == [i for piece in bpe._automata()[0].findall(text) for i in encoder.vocab.encode_piece(piece.encode())]
