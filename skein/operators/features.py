@@ -52,10 +52,9 @@ def feature_stats(
 ) -> DataFrame:
     """``entity..., feature, n, last_ts, link_time``: the statistics of each feature an entity has.
 
-    ``n`` counts distinct events (rows with the same entity, offset and feature are one event; rows without an offset
-    have no identity of their own and count as one per feature), ``last_ts`` is their largest ``ts`` (null where none has
-    one), ``link_time`` the sum of ``link_ts - ts`` over events that have both (0 where none has). Entities with a null part
-    are kept.
+    ``n`` counts distinct events (rows with the same entity, offset and feature are one event; each row without an offset
+    is an event of its own), ``last_ts`` is their largest ``ts`` (null where none has one), ``link_time`` the sum of
+    ``link_ts - ts`` over events that have both (0 where none has). Entities with a null part are kept.
     """
     rows = events.select(
         *entity,
@@ -64,8 +63,11 @@ def feature_stats(
         feature_name(event_types).alias("feature"),
         "ts",
         "link_ts",
-    ).repartition(*entity, "_salt")
-    once = rows.groupBy(*entity, "_salt", "_at", "feature").agg(F.max("ts").alias("ts"), F.max("link_ts").alias("link_ts"))
+    )
+    known = rows.where("_at is not null").repartition(*entity, "_salt")
+    once = known.groupBy(*entity, "_salt", "_at", "feature").agg(F.max("ts").alias("ts"), F.max("link_ts").alias("link_ts"))
+    # rows without an offset have nothing to collapse: their partial statistics form in the map tasks
+    once = once.drop("_salt", "_at").unionByName(rows.where("_at is null").drop("_salt", "_at"))
     return once.groupBy(*entity, "feature").agg(
         F.count(F.lit(1)).alias("n"),
         F.max("ts").alias("last_ts"),

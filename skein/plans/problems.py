@@ -59,10 +59,12 @@ def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _durations(spark: SparkSession, d: str) -> DataFrame:
-    """One duration per task: that of its newest row."""
+    """One duration per task: that of its newest row. Each row without a task_id is a task of its own."""
+    rows = table(spark, d, "tasks")
     newest = F.max_by(F.struct("name", "duration"), F.struct(F.col("loaded_at").isNotNull(), "loaded_at", "name", "duration"))
-    tasks = table(spark, d, "tasks").groupBy("trace_id", "task_id").agg(newest.alias("_x"), F.max("loaded_at").alias("_at"))
-    return tasks.select("trace_id", F.to_date("_at").alias("day"), "_x.name", "_x.duration")
+    tasks = rows.where("task_id is not null").groupBy("trace_id", "task_id").agg(newest.alias("_x"), F.max("loaded_at").alias("_at"))
+    lone = rows.where("task_id is null").select("trace_id", F.to_date("loaded_at").alias("day"), "name", "duration")
+    return tasks.select("trace_id", F.to_date("_at").alias("day"), "_x.name", "_x.duration").unionByName(lone)
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:

@@ -261,3 +261,16 @@ def test_loads_by_trace(spark, tmp_path, name, key):
     spark.createDataFrame(rows, f"trace_id string, {key} long, ts long, link_ts long").write.parquet(f"{tmp_path}/trace_events.parquet")
     got = {(r.trace_id, r[key]): (r.events, r.first_ts, r.last_ts) for r in problems.QUERIES[name](spark, str(tmp_path)).collect()}
     assert got == {("a", 1): (2, 5, 7), ("b", 1): (1, 1, 1), ("b", 2): (1, 6, 6)}
+
+
+def test_rows_without_a_key_are_records_of_their_own(spark, tmp_path):
+    rows = [("t", 1, 10, 13, None, 5, 9), ("t", 1, 10, 13, None, 5, 9), ("t", 1, None, 13, None, 5, 9), ("t", 1, None, 13, None, 5, 9), ("t", 1, None, 13, None, 8, 9), ("t", 1, None, 13, None, 20, None), ("t", 1, None, 13, None, None, 90)]
+    ev, types = spark.createDataFrame(rows, FEATURES), catalog.event_types(spark)
+    got = features.feature_stats(ev, types).collect()
+    assert [(r.feature, r.n, r.last_ts, r.link_time) for r in got] == [("GoCreate", 6, 20, 4 + 4 + 4 + 1)]
+    wide, at = features.entity_features(ev, types).first(), sorted(r.feature for r in features.type_list(ev, types).collect()).index("GoCreate")
+    assert (wide.n[at], wide.since_last[at], wide.link_time[at]) == (6, 0, 13)
+    tasks = [("t", 1, "x", 5, "2026-01-01"), ("t", 1, "x", 7, "2026-01-02"), *(("t", None, "x", n, "2026-01-01") for n in (100, 100, 300)), ("t", None, "y", 9, None)]
+    spark.createDataFrame(tasks, "trace_id string, task_id long, name string, duration long, at string").selectExpr("trace_id", "task_id", "name", "duration", "to_timestamp_ntz(at) as loaded_at").write.parquet(f"{tmp_path}/tasks.parquet")
+    for name in ("p5_percentiles", "p5_merged_days"):
+        assert {r.name: r.n for r in problems.QUERIES[name](spark, str(tmp_path)).collect()} == {"x": 4, "y": 1}
