@@ -24,12 +24,13 @@ class Trace:
     violations: DataFrame
 
 
-def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: bool = False) -> Trace:
+def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: bool = False, sequences: bool = False) -> Trace:
     """Reads, orders, checks and links the traces at ``path``.
 
     ``events`` has the columns of the event table: ``trace_id, rec_offset, ord, type, type_id, raw_type_id, ts, seq, p, g, a0, a1, a2, string_args, stack_id,
     link_offset, link_ts, link_g``. Times are nanoseconds since the first event. Violations of the format and of the states are
-    rows of ``violations``; with ``strict`` the first one is raised instead.
+    rows of ``violations``; with ``strict`` the first one is raised instead. Broken sequence
+    numbers are among them with ``strict`` or ``sequences``.
     """
     raw = durable(trace_file.read_raw(spark, path, mode))
     meta = projection.meta(raw)
@@ -58,6 +59,8 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     bad = projection.record_violations(raw, projected).unionByName(early).unionByName(ordering.order_violations(ordered)).unionByName(linking.state_violations(kept)).unionByName(linking.bracket_violations(kept)).unionByName(linking.processor_violations(kept)).unionByName(linking.region_violations(kept))
     exits = ordering.exit_repair(ordered).where("rule_id is not null").select("trace_id", "rec_offset", "rule_id", F.lit("system call exit").alias("message"))
     bad = bad.unionByName(exits)
+    if strict or sequences:
+        bad = bad.unionByName(ordering.sequence_violations(ordered))
     if strict:
         one = bad.orderBy("trace_id", F.col("rec_offset").asc_nulls_first()).first()
         if one is not None:

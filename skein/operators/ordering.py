@@ -15,6 +15,7 @@ from skein.functions.windows import last_over, number_over
 from skein.operators.linking import BLOCKS, YIELDS
 
 # Input-only types and what they stand for.
+GARBAGE = -2  # stands for the collector where goroutines are meant
 LOCAL = {ID["GoStartLocal"]: ID["GoStart"], ID["GoUnblockLocal"]: ID["GoUnblock"], ID["GoSysExitLocal"]: ID["GoSysExit"]}
 
 
@@ -32,6 +33,8 @@ def _steps(kind: int, seq: int | None) -> tuple[str, int | None, str, int | None
         return "dead", 0, "runnable", 1
     if kind in (ID["GoWaiting"], ID["GoInSyscall"]):
         return "runnable", 1, "waiting", 2
+    if kind == ID["GcStart"]:
+        return "dead", seq, "dead", None
     if kind in STARTS:
         return "runnable", seq, "running", None
     if kind in BLOCKS or kind == ID["GoSysBlock"]:
@@ -77,8 +80,8 @@ def _untie(t: pa.Table) -> pa.Table:
 def _with_subject(ev: DataFrame) -> DataFrame:
     kind = F.col("type_id")
     ordered = [ID["GoCreate"], ID["GoWaiting"], ID["GoInSyscall"], *STARTS, *BLOCKS, ID["GoSysBlock"], *YIELDS, ID["GoUnblock"], ID["GoSysExit"]]
-    who = F.when(kind.isin(ID["GoCreate"], ID["GoUnblock"], ID["GoSysExit"]), F.col("a0")).when(kind.isin(*ordered), F.col("g"))
-    seq = F.when(kind.isin(*STARTS, ID["GoUnblock"], ID["GoSysExit"]) & (F.col("raw_type_id") == kind), F.col("a1"))
+    who = F.when(kind.isin(ID["GoCreate"], ID["GoUnblock"], ID["GoSysExit"]), F.col("a0")).when(kind.isin(*ordered), F.col("g")).when(kind == ID["GcStart"], F.lit(GARBAGE).cast("bigint"))
+    seq = F.when(kind.isin(*STARTS, ID["GoUnblock"], ID["GoSysExit"]) & (F.col("raw_type_id") == kind), F.col("a1")).when(kind == ID["GcStart"], F.col("a0"))
     return ev.withColumn("subject", who).withColumn("seq_no", seq)
 
 
@@ -111,6 +114,21 @@ def order_violations(ev: DataFrame, keys: tuple[str, ...] = ("trace_id",), order
     return was.where(F.col("ts") < F.col("_was.ts")).select("trace_id", "rec_offset", F.lit("time order").alias("rule_id"), F.lit("time stamps out of order").alias("message"))
 
 
+def sequence_violations(ev: DataFrame) -> DataFrame:
+    """``trace_id, rec_offset, rule_id, message``: events whose sequence number is not how many numbered events their goroutine, or the collector, had before.
+
+    A creation is number 0, a goroutine found waiting or in a system call number 1; starts, unblocks, exits and collector starts carry
+    theirs, except the local ones, which count without one. From version 1007 on; needs the columns of :func:`ordered`.
+    """
+    kind = F.col("type_id")
+    found = kind.isin(ID["GoWaiting"], ID["GoInSyscall"])
+    counted = kind.isin(ID["GoCreate"], *STARTS, ID["GoUnblock"], ID["GoSysExit"], ID["GcStart"]) | found
+    numbered = _with_subject(ev.where((F.col("version") >= 1007) & counted)).where("subject is not null")
+    need = F.when(kind == ID["GoCreate"], 0).when(found, 1).otherwise(F.col("seq_no"))
+    got = number_over(numbered, ["trace_id", "subject"], ["ord", "rec_offset"], "_n")
+    return got.where(need != F.col("_n") - 1).select("trace_id", "rec_offset", F.lit("sequence").alias("rule_id"), F.lit("no consistent ordering of events possible").alias("message"))
+
+
 def exit_repair(ev: DataFrame) -> DataFrame:
     """``trace_id, rec_offset, ts, blocked_ts, repaired_ts, rule_id``: system call exits with the time of the block before and the repaired time.
 

@@ -173,3 +173,12 @@ def test_strict_and_empty(spark, tmp_path):
         api.read_trace(spark, str(tmp_path), strict=True)
     assert {"frequency", "state"} <= {r.rule_id for r in api.read_trace(spark, str(tmp_path)).violations.select("rule_id").distinct().collect()}
     assert t.events.where(F.lit(True)).columns[:3] == ["trace_id", "rec_offset", "ord"]
+
+
+def test_broken_sequence_numbers(spark, tmp_path):
+    (tmp_path / "a.trace").write_bytes(life())  # its GoUnblock has number 3 where 2 is due, its last GoStart 4 where 3 is
+    t = api.read_trace(spark, str(tmp_path), sequences=True)
+    kinds = {r.rec_offset: r.type for r in t.events.collect()}
+    assert sorted(kinds[r.rec_offset] for r in t.violations.where("rule_id = 'sequence'").collect()) == ["GoStart", "GoUnblock"]
+    (tmp_path / "a.trace").write_bytes(life().replace(record("GoUnblock", 38, 1, 3, 0), record("GoUnblock", 38, 1, 2, 0)).replace(record("GoStart", 10, 1, 4), record("GoStart", 10, 1, 3)))
+    assert api.read_trace(spark, str(tmp_path), sequences=True).violations.where("rule_id = 'sequence'").count() == 0

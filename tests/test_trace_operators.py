@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions.catalog import GC_P
+from skein.functions.catalog import GC_P, ID
 from skein.operators import events as E, futile, goroutines as G, linking, mmu as M, mutator as U, ordering, tasks as K
 from traces import event as e, table
 
@@ -106,6 +106,24 @@ def test_inherited_regions_take_part(spark):
     assert {(r.g, r.task_id) for r in G.inherited_tasks(ev).collect()} == {(2, 7), (3, 7), (4, 7), (5, 7)}
 
 
+
+def test_sequence_violations(spark):
+    def life(second, unblock=3, gc=1):
+        return [
+            e(0, "GoCreate", a=(1,)), e(1, "GcStart", a=(0,)), e(2, "GoStart", g=1, a=(1, 1)), e(3, "GoBlockRecv", g=1), e(4, "GoCreate", a=(2,)), e(5, "GoWaiting", g=2),
+            e(6, "GoUnblock", a=(2, 2)), e(7, "GoUnblock", a=(1, second)), e(8, "GoStart", g=1, a=(1, unblock)), e(9, "GcStart", a=(gc,)),
+        ]
+
+    ev = table(spark, life(2), life(5), life(2, 4), life(2, 3, 7))
+    # the states fit equally well in all four
+    assert len({tuple(sorted(r.rec_offset for r in rows)) for rows in ([r for r in linking.state_violations(ev).collect() if r.trace_id == f"t{n}"] for n in range(4))}) == 1
+    got = sorted((r.trace_id, r.rec_offset - 10, r.rule_id) for r in ordering.sequence_violations(ev).collect())
+    assert got == [("t1", 7, "sequence"), ("t2", 8, "sequence"), ("t3", 9, "sequence")]
+    local = ev.withColumn("raw_type_id", F.when(F.col("type_id") == ID["GoStart"], ID["GoStartLocal"]).otherwise(F.col("type_id")))
+    assert {r.trace_id for r in ordering.sequence_violations(local).collect()} == {"t1", "t3"}
+    assert ordering.sequence_violations(ev.withColumn("version", F.lit(1005))).count() == 0
+
+
 C6 = [
     e(1, "GoCreate", a=(1,)), e(2, "GoStart", g=1), e(3, "GoBlockRecv", g=1), e(4, "GoUnblock", a=(1,)), e(5, "GoStart", g=1), e(6, "FutileWakeup", g=1),
     e(7, "GoBlockRecv", g=1), e(8, "GoUnblock", a=(1,)), e(9, "GoStart", g=1),
