@@ -133,9 +133,9 @@ def solve(parents, t, i):
         at = up
 
 
-@pytest.mark.parametrize("bits,rows", [(1, 3), (4, 40), (14, 20_000)])
-def test_hierarchy(spark, bits, rows):
-    rng = random.Random(bits)
+@pytest.mark.parametrize("rows", [3, 40, 50_000])
+def test_hierarchy(spark, rows):
+    rng = random.Random(rows)
     parents = {}
     for t in ("a", None):
         for i in range(1, 150):
@@ -144,15 +144,44 @@ def test_hierarchy(spark, bits, rows):
     df = spark.createDataFrame([(t, i, p) for (t, i), p in parents.items()], "trace_id string, task_id long, parent_id long")
     for c in ("id", "up", "low", "top", "cycle", "_block", "path"):
         df = df.withColumn(c, F.lit("clash"))
-    got = {(r.trace_id, r.task_id): (r.root_id, r.depth, r.cycle_id, r.place, None if r.path is None else tuple(r.path)) for r in hierarchy.hierarchy(df, block_bits=bits, group_rows=rows).collect()}
+    got = {(r.trace_id, r.task_id): (r.root_id, r.depth, r.cycle_id, r.place, None if r.path is None else tuple(r.path)) for r in hierarchy.hierarchy(df, fragment_rows=rows).collect()}
     assert got == {k: solve(parents, *k) for k in parents}
-    short = {(r.trace_id, r.task_id): (r.cycle_id, r.place) for r in hierarchy.endless(hierarchy.hierarchy(df, False, bits, rows)).collect()}
+    short = {(r.trace_id, r.task_id): (r.cycle_id, r.place) for r in hierarchy.endless(hierarchy.hierarchy(df, False, rows)).collect()}
     assert short == {k: v[2:4] for k, v in got.items() if v[2] is not None}
-    if bits == 4:
-        pairs = {(r.trace_id, r.ancestor_id, r.task_id, r.distance) for r in hierarchy.closure(hierarchy.hierarchy(df, block_bits=bits, group_rows=rows)).collect()}
+    if rows == 40:
+        pairs = {(r.trace_id, r.ancestor_id, r.task_id, r.distance) for r in hierarchy.closure(hierarchy.hierarchy(df, fragment_rows=rows)).collect()}
         assert pairs == {(t, a, i, len(v[4]) - 1 - k) for (t, i), v in got.items() if v[4] for k, a in enumerate(v[4])}
 
 
+@pytest.mark.parametrize("shape", ["chain", "tree", "cycle"])
+def test_fragments_are_bounded_whatever_the_ids(spark, monkeypatch, shape):
+    n, most = 6_000, 500
+    rng = random.Random(5)
+    ids = list(range(1, n + 1))
+    rng.shuffle(ids)
+    up = {"chain": lambda k: ids[k - 1], "tree": lambda k: ids[rng.randrange(k)], "cycle": lambda k: ids[k - 1]}[shape]
+    parents = {("t", ids[k]): up(k) if k else (ids[-1] if shape == "cycle" else None) for k in range(n)}
+    sizes, kept = [], hierarchy.durable
+
+    def noted(made):
+        table = kept(made)
+        if "fragment" in table.columns and "steps" in table.columns:
+            sizes.extend(r["count"] for r in table.where("fragment is not null").groupBy("fragment").count().collect())
+        return table
+
+    monkeypatch.setattr(hierarchy, "durable", noted)
+    df = spark.createDataFrame([(t, i, p) for (t, i), p in parents.items()], "trace_id string, task_id long, parent_id long")
+    got = {r.task_id: (r.root_id, r.depth, r.cycle_id, r.place) for r in hierarchy.hierarchy(df, False, most).collect()}
+    if shape == "cycle":
+        assert set(got.values()) == {(None, None, 1, "on")} and len(got) == n
+    else:
+        depth = {ids[0]: 0}
+        for k in range(1, n):
+            depth[ids[k]] = depth[parents["t", ids[k]]] + 1
+        assert got == {i: (ids[0], d, None, None) for i, d in depth.items()}
+    assert max(sizes) <= most and sum(sizes) >= n
+
+
 def climbed(parents, t, i):
     """Each distinct ancestor of a node and its least distance."""
     found, at = {}, i
