@@ -1,32 +1,36 @@
 """Mergeable percentiles per group by dyadic Count-sketches.
 
-A value becomes a code of ``bits`` bits that keeps order: small magnitudes as they are, larger ones by exponent and
-``mantissa`` leading bits, negatives mirrored. For each binary resolution (the code without its last 0, 1, 2 ... bits) a
-group keeps one signed sketch: ``depth`` rows of ``width`` counters, where a node adds its weight, with a random sign, to
-one counter of each row. A resolution with no more nodes than a sketch has counters keeps one counter per node.
-Sketches are linear: those of separate partitions, traces or days are added, and weights of -1 take rows out again.
-
-A percentile descends from the whole range: at each resolution the estimated weight of the left child (the median of
-its rows) says whether the wanted rank lies left or right.
+A value becomes a code of ``BITS`` bits that keeps order: small magnitudes as they are, larger ones by exponent and
+``MANTISSA`` leading bits, negatives mirrored. For each binary resolution (the code without its last 0, 1, 2 ... bits) a
+group keeps one signed sketch: ``DEPTH`` rows of ``WIDTH`` counters, where a node adds its weight, with a random sign, to
+one counter of each row. Only the coarsest resolutions, which have fewer nodes than a sketch has counters, are counted as they
+are, all in one table of the nodes of ``EXACT`` bits. Sketches are linear: those of separate partitions, traces or days are
+added, and weights of -1 take rows out again. They travel as pages of counters that are not 0, made from many codes at once.
+
+A percentile descends from the whole range: at each resolution the estimated weights of both children (medians of
+their rows) say whether the wanted rank lies left or right.
 """
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-MANTISSA = 10
-BITS = 17
-WIDTH = 4096
+MANTISSA = 25
+BITS = 32
+WIDTH = 8192
 DEPTH = 5
-EXACT = 14  # resolutions of at most this many bits keep exact counters
+EXACT = 15  # bits of the nodes that are counted as they are: fewer than DEPTH * WIDTH
+LEVELS = BITS - EXACT  # resolutions with a sketch; the next one is the table of exact counters
+PAGE_BITS = 10  # counters of a page
+HEAVY = 16  # counters of a row that are taken for heavy nodes
+SIGMAS = 1.6  # three standard deviations of a median of five, in those of one row
+HELD_CODES = 50_000  # codes sketched at once
 _ZERO = 1 << BITS - 1
-_SEED = 42  # of Spark's xxhash64
 
 
 def encode(value: Column) -> Column:
@@ -50,90 +54,216 @@ def decode(code: int) -> int:
     return sign * (low + ((1 << short) - 1 >> 1))
 
 
-def _salt(level: int, row: int) -> int:
-    return level * DEPTH + row
+def _mixed(nodes: np.ndarray, level: int, row: int) -> np.ndarray:
+    """64 pseudorandom bits for each node, others in each row of each level."""
+    x = nodes.astype(np.uint64) + np.uint64((level * DEPTH + row + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _place(nodes: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each node in one row of one level's sketch, and its sign."""
+    h = _mixed(nodes, level, row)
+    return (h & np.uint64(WIDTH - 1)).astype(np.int64), 1 - 2 * (h >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and their sums, without those of 0."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    keys, counts = keys[first], np.add.reduceat(counts, first)
+    return keys[counts != 0], counts[counts != 0]
+
+
+def _numbered(t: pa.Table, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's values of these columns, null being one, and the first row of each number."""
+    code = np.zeros(t.num_rows, np.int64)
+    for c in names:
+        index = t.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        _, code = np.unique(code * (index.max() + 1) + index, return_inverse=True)
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    return number, first
+
+
+def _pages(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Counters, whose keys are a page and a cell, as one row per page: the pages, their cells and counts."""
+    page = keys >> PAGE_BITS
+    first = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    offsets = pa.array(np.r_[first, len(keys)].astype(np.int32))
+    cells = pa.ListArray.from_arrays(offsets, pa.array((keys & (1 << PAGE_BITS) - 1).astype(np.int32)))
+    return page[first], cells, pa.ListArray.from_arrays(offsets, pa.array(counts))
+
+
+class _Sketch:
+    """Map side: codes and their weights to pages of counters."""
+
+    def __init__(self, group: Sequence[str], names: Sequence[str]):
+        self.group, self.names = list(group), list(names)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= HELD_CODES:
+                yield from self.sketch(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from self.sketch(pa.Table.from_batches(held))
+
+    def sketch(self, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        number, first = _numbered(t, self.group)
+        code, weight = t.column("_code").to_numpy(), t.column("_w").to_numpy()
+        room = DEPTH * WIDTH
+        for level in range(LEVELS + 1):
+            node = code >> level
+            if level == LEVELS:
+                keys, counts = number * room + node, weight
+            else:
+                placed = [_place(node, level, row) for row in range(DEPTH)]
+                keys = np.concatenate([number * room + row * WIDTH + at for row, (at, _) in enumerate(placed)])
+                counts = np.concatenate([sign * weight for _, sign in placed])
+            keys, counts = _summed(keys, counts)
+            if not len(keys):
+                continue
+            page, cells, sums = _pages(keys, counts)
+            of, page = page // (room >> PAGE_BITS), page % (room >> PAGE_BITS)
+            rows = pa.array(first[of])
+            columns = [*(t.column(c).combine_chunks().take(rows) for c in self.group), pa.array(np.full(len(page), level, np.int32)), pa.array(page.astype(np.int32)), cells, sums]
+            yield pa.RecordBatch.from_arrays(columns, self.names)
+
+
+class _Add:
+    """Reduce side: pages in order of their keys to one page per key; only the last key of a batch is held back."""
+
+    def __init__(self, names: Sequence[str]):
+        self.names = list(names)
 
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b] if held is None else [held, b.cast(held.schema)])
+            number, first = _numbered(t, self.names[:-2])
+            cells = t.column("cells").combine_chunks()
+            row = np.repeat(number, pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+            keys, counts = _summed((row << PAGE_BITS) + cells.flatten().to_numpy(), t.column("counts").combine_chunks().flatten().to_numpy())
+            if not len(keys):
+                held = None
+                continue
+            of, cells, sums = _pages(keys, counts)
+            rows = pa.array(first[of])
+            made = pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().take(rows) for c in self.names[:-2]), cells, sums], self.names)
+            last = of == number[-1]
+            held = made.filter(pa.array(last)) if last.any() else None
+            if not last.all():
+                yield made.filter(pa.array(~last))
+        if held is not None:
+            yield held
 
-def _hash(level: int, row: int, node: int) -> int:
-    """The same as Spark's ``xxhash64(salt, node)``."""
-    seed = xxhash.xxh64_intdigest(struct.pack("<q", _salt(level, row)), _SEED)
-    return xxhash.xxh64_intdigest(struct.pack("<q", node), seed)
+
+def _schema(df: DataFrame, group: Sequence[str]) -> T.StructType:
+    own = [T.StructField("level", T.IntegerType()), T.StructField("page", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.LongType()))]
+    return T.StructType([*(df.schema[c] for c in group), *own])
 
 
 def sketch(df: DataFrame, group: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
-    """``group..., level, row, cell, count``: the sketches of each group. Null values are left out; null is a group like any other.
+    """``group..., level, page, cells, counts``: the sketches of each group, a row per page of counters that are not 0.
 
-    ``weight`` is 1 by default; a negative weight takes a value out again.
+    Null values are left out; null is a group like any other. ``weight`` is 1 by default; a negative weight takes a value out again.
     """
     w = F.lit(1) if weight is None else weight
     codes = df.where(F.col(value).isNotNull()).select(*group, encode(F.col(value).cast("bigint")).alias("_code"), w.cast("bigint").alias("_w"))
-    codes = codes.groupBy(*group, "_code").agg(F.sum("_w").alias("_w"))
-    cells = []
-    for level in range(BITS + 1):
-        node = F.shiftright("_code", level)
-        if BITS - level <= EXACT:
-            cells.append(F.struct(F.lit(level).alias("level"), F.lit(0).alias("row"), node.alias("cell"), F.col("_w").alias("count")))
-            continue
-        for row in range(DEPTH):
-            h = F.xxhash64(F.lit(_salt(level, row)).cast("bigint"), node)
-            sign = F.lit(1) - F.lit(2) * F.shiftright(h, 40).bitwiseAND(F.lit(1))
-            cells.append(F.struct(F.lit(level).alias("level"), F.lit(row).alias("row"), h.bitwiseAND(F.lit(WIDTH - 1)).alias("cell"), (sign * F.col("_w")).alias("count")))
-    return merge(codes.select(*group, F.inline(F.array(*cells))), group)
-
-
-def merge(cells: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Sketches added up per ``group``: of united sketches, or of finer groups such as days."""
-    return cells.groupBy(*group, "level", "row", "cell").agg(F.sum("count").alias("count")).where("count <> 0")
-
-
-def percentiles(cells: DataFrame, group: Sequence[str], wanted: Sequence[float]) -> DataFrame:
+    codes = codes.groupBy(*group, "_code").agg(F.sum("_w").alias("_w")).where("_w <> 0")
+    out = _schema(codes, group)
+    return merge(codes.mapInArrow(_Sketch(group, out.names), out), group)
+
+
+def merge(pages: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Sketches added up per ``group``: of united sketches, or of finer groups such as days. Each task holds one page at a time."""
+    out = _schema(pages, group)
+    keys = out.names[:-2]
+    return pages.select(*out.names).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_Add(out.names), out)
+
+
+def _estimated(counters: np.ndarray, nodes: np.ndarray, level: int) -> np.ndarray:
+    """The weights of nodes by the sketch of their level: the median of its rows."""
+    placed = [_place(nodes, level, row) for row in range(DEPTH)]
+    return np.median([sign * counters[row * WIDTH + cell] for row, (cell, sign) in enumerate(placed)], axis=0)
+
+
+def _answers(level: np.ndarray, at: np.ndarray, count: np.ndarray, wanted: Sequence[float]) -> tuple[list[int], int, float]:
+    """Codes of the wanted percentiles, the number of values, and the stated error, from a group's counters."""
+    exact, table = np.zeros(1 << EXACT, np.int64), np.zeros((LEVELS, DEPTH * WIDTH), np.int64)
+    exact[at[level == LEVELS]] = count[level == LEVELS]
+    table[level[level < LEVELS], at[level < LEVELS]] = count[level < LEVELS]
+    n = int(exact.sum())
+    if n <= 0:
+        return [], n, 0.0
+    squares = np.sort(table.reshape(LEVELS, DEPTH, WIDTH).astype(float) ** 2, axis=2)[:, :, :-HEAVY].sum(axis=2)
+    variance = float(np.median(squares, axis=1).sum()) / (WIDTH - HEAVY)
+    upto = np.cumsum(np.maximum(exact, 0))
+    rank = np.maximum(1, np.ceil(np.array(wanted) * n)).astype(np.int64)
+    node = np.minimum(np.searchsorted(upto, rank, "left"), len(upto) - 1)
+    room = np.maximum(exact[node], 0)
+    rank = rank - (upto[node] - room)
+    for lv in range(LEVELS - 1, -1, -1):
+        # both children are asked: what they say must add up to the weight of their parent
+        one, two = (_estimated(table[lv], 2 * node + side, lv) for side in (0, 1))
+        weight = np.clip(np.rint((one + room - two) / 2).astype(np.int64), 0, room)
+        right = rank > weight
+        rank = np.where(right, rank - weight, rank)
+        # never into a child that seems to be empty where the other one is not
+        chosen, other = np.where(right, two, one), np.where(right, one, two)
+        swap = (chosen < 0.5) & (other >= 0.5)
+        right ^= swap
+        rank = np.where(swap, np.where(right, 1, np.maximum(weight, 1)), rank)
+        node, room = 2 * node + right, np.maximum(np.where(right, room - weight, weight), 1)
+    return node.tolist(), n, min(1.0, int(SIGMAS * variance**0.5) / n)
+
+
+def percentiles(pages: DataFrame, group: Sequence[str], wanted: Sequence[float]) -> DataFrame:
     """``group..., q, value, n, rank_error``: each wanted percentile of each group.
 
-    ``value`` stands for the element of rank ``ceil(q * n)`` (at least 1); it is within 2**-(MANTISSA + 1) of a value whose rank
-    is off by no more than ``rank_error * n`` with high probability: per sketched resolution ``sqrt(8 / WIDTH)`` times
-    the Euclidean norm of its node weights, estimated from the sketch, summed. Groups without weight give no row.
-    A group's cells are bounded by the sketch's size, not by the data.
+    ``value`` stands for the element of rank ``ceil(q * n)`` (at least 1). Up to its own error of 2**-(MANTISSA + 1), the rank it
+    has among the group's values is off by no more than ``rank_error * n`` with high probability. The errors of the resolutions are independent and of mean
+    0, so their variances add up: per resolution the squares of its node weights over ``WIDTH``, estimated from the
+    sketch. The ``HEAVY`` largest counters of a row do not count, since three rows of five would have to share a counter with
+    one of them. The bound is three standard deviations, in whole ranks. Groups without weight give no row.
+    A group's counters are bounded by the sketch's size, not by the data.
     """
-    keys = [cells.schema[c] for c in group]
+    keys = [pages.schema[c] for c in group]
     out = T.StructType([*keys, T.StructField("q", T.DoubleType()), T.StructField("value", T.LongType()), T.StructField("n", T.LongType()), T.StructField("rank_error", T.DoubleType())])
     wanted, names = [float(q) for q in wanted], list(group)
 
     def answer(t: pa.Table) -> pa.Table:
-        level, row, cell, count = (t.column(c).to_numpy() for c in ("level", "row", "cell", "count"))
-        exact: dict[int, dict[int, int]] = {}
-        table = np.zeros((BITS + 1 - EXACT, DEPTH, WIDTH), np.int64)
-        for lv in range(BITS + 1):
-            here = level == lv
-            if BITS - lv <= EXACT:
-                exact[lv] = dict(zip(cell[here].tolist(), count[here].tolist()))
-            else:
-                table[lv, row[here], cell[here]] = count[here]
-        n = exact[BITS].get(0, 0)
-        rows = []
-        if n > 0:
-            norms = np.sqrt(np.median((table.astype(float) ** 2).sum(axis=2), axis=1))[: BITS - EXACT]
-            error = float(np.sqrt(8 / WIDTH) * norms.sum() / n)
-
-            def weigh(lv: int, node: int) -> int:
-                if lv in exact:
-                    return exact[lv].get(node, 0)
-                found = []
-                for r in range(DEPTH):
-                    h = _hash(lv, r, node)
-                    found.append((1 - 2 * (h >> 40 & 1)) * int(table[lv, r, h & WIDTH - 1]))
-                return sorted(found)[DEPTH // 2]
-
-            for q in wanted:
-                rank, node, room = max(1, int(np.ceil(q * n))), 0, n
-                for lv in range(BITS - 1, -1, -1):
-                    left = min(max(weigh(lv, 2 * node), 0), room)
-                    if rank <= left:
-                        node, room = 2 * node, left
-                    else:
-                        node, rank, room = 2 * node + 1, rank - left, room - left
-                rows.append((q, decode(node), n, round(error, 6)))
-        head = [pa.array([t.column(c)[0].as_py()] * len(rows), t.schema.field(c).type) for c in names]
-        tail = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
+        cells = t.column("cells").combine_chunks()
+        row = np.repeat(np.arange(t.num_rows), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+        at = (t.column("page").to_numpy()[row].astype(np.int64) << PAGE_BITS) + cells.flatten().to_numpy()
+        codes, n, error = _answers(t.column("level").to_numpy()[row], at, t.column("counts").combine_chunks().flatten().to_numpy(), wanted)
+        size = len(codes)
+        head = [pa.array([t.column(c)[0].as_py()] * size, t.schema.field(c).type) for c in names]
+        tail = [pa.array(wanted[:size], pa.float64()), pa.array([decode(c) for c in codes], pa.int64()), pa.array([n] * size, pa.int64()), pa.array([round(error, 6)] * size, pa.float64())]
         return pa.Table.from_arrays([*head, *tail], [*names, "q", "value", "n", "rank_error"])
 
-    return cells.groupBy(*names).applyInArrow(answer, out)
+    return pages.groupBy(*names).applyInArrow(answer, out)
+
+
+def checked(df: DataFrame, group: Sequence[str], value: str, found: DataFrame, most: float = 0.01) -> DataFrame:
+    """``group..., q, n, within, small``: whether each percentile of ``found`` is within its stated error by exact ranks, and that error at most ``most``.
+
+    Counts the codes of ``df`` below and up to each percentile's; the percentiles, not the values, are few per group.
+    """
+    some = found.select(*(F.col(c).alias(f"_{c}") for c in group), F.struct("q", "n", "rank_error", encode(F.col("value")).alias("code")).alias("_f"))
+    lists = some.groupBy(*(f"_{c}" for c in group)).agg(F.collect_list("_f").alias("_fs"))
+    codes = df.where(F.col(value).isNotNull()).groupBy(*group, encode(F.col(value).cast("bigint")).alias("_code")).agg(F.count(F.lit(1)).alias("_w"))
+    same = [codes[c].eqNullSafe(lists[f"_{c}"]) for c in group]
+    each = codes.join(lists, same).select(*group, "_code", "_w", F.explode("_fs").alias("_f"))
+    counted = each.groupBy(*group, "_f").agg(F.sum(F.when(F.col("_code") < F.col("_f.code"), F.col("_w")).otherwise(0)).alias("_below"), F.sum(F.when(F.col("_code") <= F.col("_f.code"), F.col("_w")).otherwise(0)).alias("_upto"))
+    n, slack = F.col("_f.n"), F.round(F.col("_f.rank_error") * F.col("_f.n"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("_f.q") * n))
+    within = (rank > F.col("_below") - slack) & (rank <= F.col("_upto") + slack)
+    return counted.select(*group, F.col("_f.q").alias("q"), n.alias("n"), within.alias("within"), (F.col("_f.rank_error") <= most).alias("small"))

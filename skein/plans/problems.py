@@ -77,6 +77,20 @@ def p5_merged_days(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.percentiles(quantiles.merge(days, ["name"]), ["name"], QUANTILES)
 
 
+def p5_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each percentile is within its stated error by exact ranks, and that error at most 0.01."""
+    rows = durable(_durations(spark, d))
+    found = quantiles.percentiles(quantiles.sketch(rows, ["name"], "duration"), ["name"], QUANTILES)
+    return quantiles.checked(rows, ["name"], "duration", found)
+
+
+def p5_days_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The same for percentiles of sketches added up over days."""
+    rows = durable(_durations(spark, d))
+    days = quantiles.merge(quantiles.sketch(rows, ["name", "day"], "duration"), ["name"])
+    return quantiles.checked(rows, ["name"], "duration", quantiles.percentiles(days, ["name"], QUANTILES))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy.heavy_keys(table(spark, d, "trace_events"), ["g", "p"])
 
@@ -98,7 +112,7 @@ def p6_by_trace_processor(spark: SparkSession, d: str) -> DataFrame:
     return heavy.load_by_key(table(spark, d, "trace_events"), "trace_id", "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p6_found, p6_by_goroutine, p6_by_processor, p6_by_trace_goroutine, p6_by_trace_processor)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p5_checked, p5_days_checked, p6_found, p6_by_goroutine, p6_by_processor, p6_by_trace_goroutine, p6_by_trace_processor)}
 
 _LOAD = "SELECT {key}, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(link_ts) AS linked, CAST(sum(link_ts - ts) AS BIGINT) AS link_time FROM trace_events GROUP BY {key}"
 
@@ -160,7 +174,15 @@ cyc AS (
   FROM (SELECT trace_id, task_id, unnest(seen) AS s FROM reach) r JOIN own o ON o.trace_id = r.trace_id AND o.task_id = r.s GROUP BY ALL)
 """
 
+_CHECKED = f"""
+WITH own AS (
+  SELECT name, duration FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, task_id ORDER BY loaded_at DESC NULLS LAST, name DESC NULLS LAST, duration DESC NULLS LAST) AS k FROM tasks WHERE task_id IS NOT NULL) WHERE k = 1
+  UNION ALL SELECT name, duration FROM tasks WHERE task_id IS NULL)
+SELECT name, q, n, true AS within, true AS small FROM (SELECT name, count(*) AS n FROM own WHERE duration IS NOT NULL GROUP BY name), (SELECT unnest([{', '.join(map(str, QUANTILES))}]::DOUBLE[]) AS q)"""
+
 SQL = {
+    "p5_checked": _CHECKED,
+    "p5_days_checked": _CHECKED,
     "p1_found": """
 WITH bound AS (SELECT trace_id, min(ts) AS lo, max(ts) AS hi FROM trace_events GROUP BY trace_id),
 iv AS (SELECT r.trace_id, g, coalesce(start_ts, lo) AS s, coalesce(end_ts, hi) AS e FROM regions r LEFT JOIN bound b ON r.trace_id = b.trace_id WHERE g IS NOT NULL),
