@@ -1,10 +1,10 @@
 """One row of features per entity from an event table, by two-stage salted aggregation.
 
-Stage one works on groups of (entity, salt). The salt is the block of the event's offset, so a group never holds
-more distinct events than a block has offsets, whatever share of the rows an entity has, and repeated rows of one
-event meet in one group. There repeated rows collapse and partial statistics form. Stage two merges the partial
-statistics of an entity, whose number is bounded by entities times types times blocks. The complete type list is
-laid out last, without another shuffle.
+A counting pass finds the heavy groups, those of an entity and type that hold more than one in ``per`` of all rows; so there are
+fewer than ``per`` of them. Stage one works on (entity, type, salt), where heavy groups are spread over as many salts as
+their size asks for, by a hash of the event's offset, so repeated rows of one event meet in one group. There they
+collapse and partial statistics form. Stage two merges the partial statistics of an entity, whose number is bounded by
+types times salts, and packs them. The complete type list is laid out last, without another shuffle.
 """
 
 from __future__ import annotations
@@ -16,10 +16,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+HEAVY_PER = 2000
 ANNOTATIONS = (45, 47, 48)  # events of user tasks, regions and logs carry a name or a category
 
 
-def feature_name(event_types: DataFrame) -> Column:
+def _own_name() -> Column:
+    """The name or category an annotation carries."""
+    return F.when(F.col("type_id").isin(*ANNOTATIONS), F.try_element_at(F.col("string_args"), F.lit(1)))
+
+
+def feature_name(event_types: DataFrame, own: Column | None = None) -> Column:
     """Name of an event's feature: its catalogue type, annotations as ``type:name``, unknown types ``unknown:id``.
 
     The catalogue is the fixed table of event types; it becomes a literal map.
@@ -30,7 +36,7 @@ def feature_name(event_types: DataFrame) -> Column:
         F.try_element_at(known, F.col("type_id")),
         F.concat(F.lit("unknown:"), F.coalesce(F.col("type_id").cast("string"), F.lit("null"))),
     )
-    own = F.when(F.col("type_id").isin(*ANNOTATIONS), F.try_element_at(F.col("string_args"), F.lit(1)))
+    own = _own_name() if own is None else own
     return F.when(own.isNotNull(), F.concat(base, F.lit(":"), own)).otherwise(base)
 
 
@@ -43,36 +49,34 @@ def type_list(events: DataFrame, event_types: DataFrame) -> DataFrame:
     return seen.unionByName(every).select(feature_name(event_types).alias("feature")).distinct()
 
 
-def feature_stats(
-    events: DataFrame,
-    event_types: DataFrame,
-    entity: Sequence[str] = ("trace_id", "g"),
-    offset: str = "rec_offset",
-    block_bits: int = 18,
-) -> DataFrame:
+def heavy_groups(events: DataFrame, entity: Sequence[str], per: int = HEAVY_PER) -> DataFrame:
+    """``entity..., type_id, salts``: the groups of more than one in ``per`` of all rows, fewer than ``per``, and over how many salts each is spread."""
+    counts = events.groupBy(*entity, "type_id").agg(F.count(F.lit(1)).alias("_n"))
+    total = events.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.where(F.col("_n") * per > total).select(*entity, "type_id", F.ceil(F.col("_n") * per / total).cast("int").alias("salts"))
+
+
+def feature_stats(events: DataFrame, event_types: DataFrame, entity: Sequence[str] = ("trace_id", "g"), offset: str = "rec_offset", per: int = HEAVY_PER) -> DataFrame:
     """``entity..., feature, n, last_ts, link_time``: the statistics of each feature an entity has.
 
     ``n`` counts distinct events (rows with the same entity, offset and feature are one event; each row without an offset
     is an event of its own), ``last_ts`` is their largest ``ts`` (null where none has one), ``link_time`` the sum of
     ``link_ts - ts`` over events that have both (0 where none has). Entities with a null part are kept.
     """
-    rows = events.select(
-        *entity,
-        F.shiftright(F.col(offset), block_bits).alias("_salt"),
-        F.col(offset).alias("_at"),
-        feature_name(event_types).alias("feature"),
-        "ts",
-        "link_ts",
-    )
-    known = rows.where("_at is not null").repartition(*entity, "_salt")
-    once = known.groupBy(*entity, "_salt", "_at", "feature").agg(F.max("ts").alias("ts"), F.max("link_ts").alias("link_ts"))
+    keys = [*entity, "type_id"]
+    rows = events.select(*keys, F.col(offset).alias("_at"), _own_name().alias("_name"), "ts", "link_ts")
+    heavy = heavy_groups(events, entity, per).select(*(F.col(c).alias(f"_h{i}") for i, c in enumerate(keys)), "salts")
+    same = [rows[c].eqNullSafe(heavy[f"_h{i}"]) for i, c in enumerate(keys)]
+    spread = rows.where("_at is not null").join(F.broadcast(heavy), same, "left")  # fewer than `per` rows
+    spread = spread.select(*rows.columns, F.coalesce(F.pmod(F.xxhash64("_at"), F.col("salts")), F.lit(0)).alias("_salt"))
+    known = spread.repartition(*keys, "_salt")
+    once = known.groupBy(*keys, "_salt", "_name", "_at").agg(F.max("ts").alias("ts"), F.max("link_ts").alias("link_ts"))
+    states = [F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"), F.sum(F.col("link_ts") - F.col("ts")).alias("link_time")]
+    partial = once.groupBy(*keys, "_salt", "_name").agg(*states).drop("_salt")
     # rows without an offset have nothing to collapse: their partial statistics form in the map tasks
-    once = once.drop("_salt", "_at").unionByName(rows.where("_at is null").drop("_salt", "_at"))
-    return once.groupBy(*entity, "feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max("ts").alias("last_ts"),
-        F.coalesce(F.sum(F.col("link_ts") - F.col("ts")), F.lit(0)).alias("link_time"),
-    )
+    lone = rows.where("_at is null").groupBy(*keys, "_name").agg(*states)
+    merged = partial.unionByName(lone).repartition(*entity).withColumn("feature", feature_name(event_types, F.col("_name")))
+    return merged.groupBy(*entity, "feature").agg(F.sum("n").alias("n"), F.max("last_ts").alias("last_ts"), F.coalesce(F.sum("link_time"), F.lit(0)).alias("link_time"))
 
 
 def with_recency(stats: DataFrame, events: DataFrame) -> DataFrame:
@@ -83,7 +87,7 @@ def with_recency(stats: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def entity_features(events: DataFrame, event_types: DataFrame, max_features: int = 100_000, block_bits: int = 18) -> DataFrame:
+def entity_features(events: DataFrame, event_types: DataFrame, max_features: int = 100_000, per: int = HEAVY_PER) -> DataFrame:
     """``trace_id, g, n, since_last, link_time``: one row per goroutine, three arrays over the complete type list.
 
     Position ``i`` of each array belongs to the ``i``-th feature of :func:`type_list` in ascending order: the number of
@@ -96,7 +100,7 @@ def entity_features(events: DataFrame, event_types: DataFrame, max_features: int
     if len(listed) > max_features:
         raise ValueError(f"more than {max_features} event types")
     listed.sort()
-    stats = feature_stats(events.where("g is not null"), event_types, block_bits=block_bits)
+    stats = feature_stats(events.where("g is not null"), event_types, per=per)
     packed = stats.groupBy("trace_id", "g").agg(F.collect_list(F.struct("feature", "n", "last_ts", "link_time")).alias("stats"))
     ends = events.groupBy("trace_id").agg(F.max("ts").alias("_end"))
     packed = packed.join(ends, packed.trace_id.eqNullSafe(ends.trace_id), "left").select(packed.trace_id, "g", "_end", "stats")

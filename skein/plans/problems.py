@@ -18,6 +18,12 @@ def p2_features(spark: SparkSession, d: str) -> DataFrame:
     return features.entity_features(table(spark, d, "trace_events"), table(spark, d, "event_types"))
 
 
+def p2_features_text(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``p2_features`` with their arrays as text."""
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",", "-").alias(c)
+    return p2_features(spark, d).select("trace_id", "g", text("n"), text("since_last"), text("link_time"))
+
+
 def p2_feature_names(spark: SparkSession, d: str) -> DataFrame:
     return features.type_list(table(spark, d, "trace_events"), table(spark, d, "event_types"))
 
@@ -112,7 +118,7 @@ def p6_by_trace_processor(spark: SparkSession, d: str) -> DataFrame:
     return heavy.load_by_key(table(spark, d, "trace_events"), "trace_id", "p")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p5_checked, p5_days_checked, p6_found, p6_by_goroutine, p6_by_processor, p6_by_trace_goroutine, p6_by_trace_processor)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_features, p2_features_text, p2_feature_names, p2_stats, p3_found, p3_counts, p4_found, p4_hierarchy, p4_descendants, p4_all_descendants, p5_percentiles, p5_merged_days, p5_checked, p5_days_checked, p6_found, p6_by_goroutine, p6_by_processor, p6_by_trace_goroutine, p6_by_trace_processor)}
 
 _LOAD = "SELECT {key}, count(*) AS events, min(ts) AS first_ts, max(ts) AS last_ts, count(link_ts) AS linked, CAST(sum(link_ts - ts) AS BIGINT) AS link_time FROM trace_events GROUP BY {key}"
 
@@ -121,6 +127,13 @@ _FEATURE = """
        THEN coalesce(t.type, 'unknown:' || coalesce(CAST(e.type_id AS VARCHAR), 'null')) || ':' || e.string_args[1]
        ELSE coalesce(t.type, 'unknown:' || coalesce(CAST(e.type_id AS VARCHAR), 'null')) END"""
 
+_STATS = f"""
+WITH named AS (SELECT trace_id, g, rec_offset, {_FEATURE} AS feature, ts, link_ts FROM trace_events e LEFT JOIN event_types t USING (type_id)),
+once AS (SELECT trace_id, g, rec_offset, feature, max(ts) AS ts, max(link_ts) AS link_ts FROM named WHERE g IS NOT NULL GROUP BY ALL),
+stat AS (SELECT trace_id, g, feature, count(*) AS n, CAST(coalesce(sum(link_ts - ts), 0) AS BIGINT) AS link_time, max(ts) AS last FROM once GROUP BY trace_id, g, feature),
+fin AS (SELECT trace_id, max(ts) AS fin FROM trace_events GROUP BY trace_id)
+"""
+
 _ORPHANS = """
 WITH ev AS (
   SELECT trace_id, rec_offset, any_value(type_id) AS type_id, any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2,
@@ -194,12 +207,13 @@ SELECT trace_id, g, 'period' AS kind, start_ts, end_ts FROM per
 UNION ALL
 SELECT trace_id, g, 'gap', end_ts, nxt FROM (SELECT *, lead(start_ts) OVER (PARTITION BY trace_id, g ORDER BY start_ts) AS nxt FROM per) WHERE nxt IS NOT NULL""",
     "p2_feature_names": f"SELECT DISTINCT {_FEATURE} AS feature FROM trace_events e LEFT JOIN event_types t USING (type_id) UNION SELECT type FROM event_types",
-    "p2_stats": f"""
-WITH once AS (SELECT trace_id, g, rec_offset, {_FEATURE} AS feature, max(ts) AS ts, max(link_ts) AS link_ts
-              FROM trace_events e LEFT JOIN event_types t USING (type_id) WHERE g IS NOT NULL GROUP BY ALL),
-fin AS (SELECT trace_id, max(ts) AS fin FROM trace_events GROUP BY trace_id)
-SELECT trace_id, g, feature, count(*) AS n, CAST(coalesce(sum(link_ts - ts), 0) AS BIGINT) AS link_time, any_value(fin) - max(ts) AS since_last
-FROM once LEFT JOIN fin USING (trace_id) GROUP BY trace_id, g, feature""",
+    "p2_stats": _STATS + "SELECT trace_id, g, feature, n, link_time, fin - last AS since_last FROM stat LEFT JOIN fin USING (trace_id)",
+    "p2_features_text": _STATS + """, kind AS (SELECT DISTINCT feature FROM named UNION SELECT type FROM event_types),
+key AS (SELECT DISTINCT trace_id, g FROM stat)
+SELECT k.trace_id, k.g, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY kind.feature) AS n, string_agg(coalesce(CAST(fin - last AS VARCHAR), '-'), ',' ORDER BY kind.feature) AS since_last,
+       string_agg(CAST(coalesce(link_time, 0) AS VARCHAR), ',' ORDER BY kind.feature) AS link_time
+FROM key k CROSS JOIN kind LEFT JOIN stat s ON s.trace_id IS NOT DISTINCT FROM k.trace_id AND s.g = k.g AND s.feature = kind.feature LEFT JOIN fin ON fin.trace_id IS NOT DISTINCT FROM k.trace_id
+GROUP BY k.trace_id, k.g""",
     "p3_found": _ORPHANS + "SELECT trace_id, rec_offset, field, status FROM orphan WHERE status IS NOT NULL",
     "p3_counts": _ORPHANS + "SELECT target, CAST(loaded_at AS DATE) AS day, status, count(*) AS n FROM orphan WHERE status IS NOT NULL GROUP BY ALL",
     "p4_found": _PARENTS + "SELECT trace_id, task_id, cycle_id, CASE WHEN is_on THEN 'on' ELSE 'below' END AS place FROM cyc",

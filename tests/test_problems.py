@@ -80,14 +80,23 @@ def test_features(spark):
     assert one["GoCreate"] == (2, 92, 4) and one["UserRegion:r"] == (1, 50, 10) and one["UserRegion:s"] == (1, None, 0) and one["UserRegion"] == (1, 49, 0)
     assert one["unknown:null"][0] == one["unknown:99"][0] == one["UserLog"][0] == 1 and one["GoStart"] == (0, None, 0)
     assert got["t", 2]["GoStart"] == (1, 93, -1) and got["u", 1]["GoCreate"] == (1, None, 0) and got[None, 1]["GoCreate"] == (1, 0, 0)
-    for bits in (0, 62):
-        again = features.feature_stats(ev, types, block_bits=bits).where("trace_id = 't' and g = 1 and feature = 'GoCreate'").first()
+    for per in (1, 3, 10**6):
+        again = features.feature_stats(ev, types, per=per).where("trace_id = 't' and g = 1 and feature = 'GoCreate'").first()
         assert (again.n, again.last_ts, again.link_time) == (2, 8, 4)
     assert features.entity_features(ev.where("false"), types).count() == 0
     with pytest.raises(ValueError):
         features.entity_features(ev, types, max_features=10)
 
 
+def test_heavy_groups_are_spread(spark):
+    rows = [("t", 1, i, 13, None, i, None) for i in range(600)] * 2 + [("t", g, 1, 14, None, 1, 2) for g in range(300)]
+    ev, types = spark.createDataFrame(rows, FEATURES), catalog.event_types(spark)
+    heavy = features.heavy_groups(ev, ("trace_id", "g"), 100).collect()
+    assert [(r.g, r.type_id, r.salts) for r in heavy] == [(1, 13, 80)]
+    got = {r.g: r.n for r in features.feature_stats(ev, types, per=100).where("feature = 'GoCreate'").collect()}
+    assert got == {1: 600}
+
+
 def test_references(spark):
     types = catalog.event_types(spark)
     ev = "trace_id string, rec_offset long, type_id int, a0 long, a1 long, a2 long, stack_id long, link_offset long, loaded_at timestamp_ntz"
