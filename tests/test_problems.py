@@ -33,9 +33,9 @@ def brute_periods(rows, bounds):
     return out
 
 
-@pytest.mark.parametrize("bits", [1, 4, 32])
+@pytest.mark.parametrize("bits", [1, 4, 32, None])
 def test_periods_and_gaps(spark, bits):
-    rng = random.Random(bits)
+    rng = random.Random(bits or 7)
     rows = []
     for _ in range(500):
         s = rng.randint(-50, 2000)
@@ -48,10 +48,22 @@ def test_periods_and_gaps(spark, bits):
     assert len(got) == len(set(got)) and set(got) == brute_periods(rows, bounds)
 
 
+def test_bitmaps_of_a_hot_key_are_united(spark):
+    rng = random.Random(2)
+    rows = [("a", 1, s, s + rng.randint(0, 40)) for s in (rng.randint(0, 400_000) for _ in range(30_000))] + [("b", 2, 5, 6)]
+    df = spark.createDataFrame(rows, INTERVALS).repartition(8)
+    ev = spark.createDataFrame([("a", 0)], EVENTS)
+    widths = {r.trace_id: r.bits for r in intervals.shard_widths(df).collect()}
+    assert 400_040 >> widths["a"] >= 15 and widths["b"] <= 2
+    for bits in (None, 40):
+        got = [tuple(r) for r in intervals.periods_and_gaps(df, ev, bits).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_periods(rows, {})
+
+
 def test_periods_of_clashing_and_empty_tables(spark):
     ev = spark.createDataFrame([("a", 0), ("a", 9)], EVENTS).withColumn("shard", F.lit(1)).withColumn("g", F.lit("x"))
     df = spark.createDataFrame([("a", 1, 2, None)], INTERVALS)
-    for c in ("shard", "runs", "lo", "hi", "kind", "_kind", "pos", "whole", "x", "_first"):
+    for c in ("shard", "runs", "lo", "hi", "kind", "_kind", "pos", "whole", "x", "_first", "width", "bits", "_b"):
         df = df.withColumn(c, F.lit("clash"))
     assert [tuple(r) for r in intervals.periods_and_gaps(df, ev).collect()] == [("a", 1, "period", 2, 9)]
     assert intervals.periods_and_gaps(df.where("false"), ev).count() == 0
