@@ -1,8 +1,9 @@
 """References to records that are missing, deleted or loaded later.
 
 All references of all fields are reduced to distinct foreign keys per (trace, table), combined on the map side, and
-held against the parents' keys, reduced likewise. Only keys that fail for some event go on. They are joined back to the
-references for the events concerned, so a key that most events name costs one row in the check.
+held against the parents' keys, reduced likewise. Only keys that fail for some event go on. They are stored, so that their
+size is known when they are joined back to the references: few enough ones meet them in the map tasks, and only
+references that lead nowhere are shuffled. A key that most events name costs one row in the check.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from skein.functions.tables import durable
+
 #: The table that an event's argument refers to, by the argument's name in the catalogue.
 TARGETS = {"g": "goroutines", "stack": "stacks", "taskid": "tasks", "pid": "tasks", "typeid": "strings", "labelid": "strings", "keyid": "strings"}
 USER_LOG = 48  # its argument "id" names a task
@@ -68,7 +71,7 @@ def orphan_references(events: DataFrame, event_types: DataFrame, tables: dict[st
     foreign = refs.groupBy(*key).agg(F.min("loaded_at").alias("_first"))
     known = parents(tables)
     state = F.when(F.col("alive").isNull(), "missing").when(~F.col("alive"), "deleted").when(F.col("since") > F.col("_first"), "later")
-    bad = foreign.join(known, key, "left").select(*key, "since", state.alias("status")).where("status is not null")
+    bad = durable(foreign.join(known, key, "left").select(*key, "since", state.alias("status")).where("status is not null"))
     hit = refs.join(bad, key).where("status <> 'later' or since > loaded_at")
     return hit.groupBy("trace_id", "rec_offset", "field").agg(F.max("status").alias("status"), F.max("target").alias("target"), F.min("loaded_at").alias("loaded_at"))
 
