@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import codecs
 import heapq
+import os
 import re
 import sys
 import unicodedata
@@ -22,11 +23,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LONG_TEXT = 1 << 10  # characters; longer texts pass through the stream in several parts of that size
 LONG_PIECE = 1 << 12  # characters; longer pieces are merged while they arrive
+PART_BYTES = 8 << 20  # texts encoded, or ids decoded, before their rows leave
+_SENT: set[tuple[str, str]] = set()
 KEPT_PIECES = 400_000  # pieces whose tokens a worker remembers
 
 # The characters of the Unicode property White_Space.
@@ -279,10 +284,25 @@ def _encoder(path: str) -> Encoder:
     return Encoder(vocabulary(path))
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch in parts of at most so many bytes, or one row, in the second column."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        flat = b.column(1)
+        size = pc.binary_length(flat) if pa.types.is_string(flat.type) else pc.multiply(pc.list_value_length(flat), 4)
+        upto, at = np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def _sent(df: DataFrame, path: str) -> str:
+    """Sends the vocabulary to the executors, once per application; returns the name of the file there."""
+    context = df.sparkSession.sparkContext
+    if (context.applicationId, path) not in _SENT:
+        context.addFile(path)
+        _SENT.add((context.applicationId, path))
+    return os.path.basename(path)
 
 
 def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -292,8 +312,10 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     ``documents``.
     """
 
+    name = _sent(documents, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = _encoder(path).parts
+        parts = _encoder(SparkFiles.get(name)).parts
         for b in _parts(batches):
             ids, offsets = array("i"), np.zeros(b.num_rows + 1, np.int32)
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -309,8 +331,10 @@ def encode_documents(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """``doc_id, text``: the text of each list of ids; a null list has none."""
 
+    name = _sent(encoded, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(name))
         for b in _parts(batches):
             texts = []
             for ids in b.column(1).to_pylist():
@@ -326,8 +350,10 @@ def token_counts(documents: DataFrame, columns: tuple[str, ...], path: str = VOC
     chosen = documents.select(*columns, "text")
     kinds = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in columns)
 
+    name = _sent(documents, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _encoder(path).count
+        count = _encoder(SparkFiles.get(name)).count
         for b in batches:
             n = [count(t) if t else 0 for t in b.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], [*columns, "n_tokens"])

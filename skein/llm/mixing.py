@@ -4,7 +4,7 @@ Each source's documents are laid end to end in a pseudorandom order and cut into
 The mix is a list of slots, one per block, in output shards of a fixed number of slots. The numbers of slots of the
 sources in a shard are drawn multinomially, given the sources' totals, so the totals meet the weights: totals are split
 between the halves of the range of shards by the multivariate hypergeometric law, again and again, each split with its
-own seed; any shard finds its numbers alone from the few splits above it. A slot of a source has a running number
+own seed; any shard finds its numbers alone from the few splits above it. Splits of any size are drawn, up to 2**62 slots. A slot of a source has a running number
 there. It is mapped to a block by a pseudorandom permutation of the source's blocks, a new one for each repetition, and
 joined with the blocks by their index. No block, hence no document's token, comes more often than ``max_repeats``.
 """
@@ -24,7 +24,7 @@ BLOCK_TOKENS = 256
 SHARD_SLOTS = 1024
 BUCKET_ROWS = 20_000  # documents per bucket of a source's order, about
 MAX_SOURCES = 10_000
-_LARGE = 900_000_000  # totals beyond what the hypergeometric generator takes are split in proportion
+_FEW = 64  # items drawn one by one
 
 
 def source_key(source: Column) -> Column:
@@ -33,29 +33,51 @@ def source_key(source: Column) -> Column:
 
 
 def _split(totals: np.ndarray, left: int, seed: list[int]) -> np.ndarray:
-    """How many of each source's ``totals`` go to the left part, which has ``left`` slots."""
-    every = int(totals.sum())
-    if every < _LARGE:
-        return np.random.default_rng(seed).multivariate_hypergeometric(totals, left, method="marginals")
-    share = totals * (left / every)
-    low = np.minimum(np.floor(share).astype(np.int64), totals)
-    for i in np.argsort(low - share, kind="stable")[: left - int(low.sum())]:
-        low[i] += 1
-    return low
+    """How many of each source's ``totals`` go to the left part, which has ``left`` slots: a multivariate hypergeometric draw.
+
+    Every slot goes left by a coin of its own, which takes one binomial draw per source. Too few or too many are set right by the
+    same draw among the slots on one side, whose number falls as the square root each time, and the last few one by
+    one. All slots are treated alike, so given its size the left part is any one of that size with equal probability.
+    """
+    rng = np.random.default_rng(seed)
+    rest, taken = totals.astype(np.int64), np.zeros(len(totals), np.int64)
+    while (need := left - int(taken.sum())) != 0:
+        source, target = (rest, taken) if need > 0 else (taken, rest)
+        if abs(need) > _FEW:
+            moved = rng.binomial(source, min(1.0, abs(need) / int(source.sum())))
+            source -= moved
+            target += moved
+            continue
+        for _ in range(abs(need)):
+            i = int(np.searchsorted(np.cumsum(source), rng.integers(int(source.sum())), "right"))
+            source[i] -= 1
+            target[i] += 1
+    return taken
+
+
+class ShardDraw:
+    """The numbers of slots of each source in each shard; shards asked for in order share the splits above them."""
+
+    def __init__(self, totals: np.ndarray, shards: int, seed: int):
+        self.slots, self.shards, self.seed = int(totals.sum()), shards, seed
+        self.path = [(0, shards, np.zeros(len(totals), np.int64), totals.astype(np.int64))]
+
+    def __call__(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """For one shard the running number of each source's first slot and the number of its slots."""
+        while not self.path[-1][0] <= shard < self.path[-1][1]:
+            self.path.pop()
+        while True:
+            lo, hi, start, totals = self.path[-1]
+            if hi - lo <= 1:
+                return start, totals
+            mid = (lo + hi) // 2
+            left = _split(totals, self.slots * mid // self.shards - self.slots * lo // self.shards, [self.seed, lo, hi])
+            self.path.append((lo, mid, start, left) if shard < mid else (mid, hi, start + left, totals - left))
 
 
 def shard_draw(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """For one shard the running number of each source's first slot and the number of its slots."""
-    slots = int(totals.sum())
-    lo, hi, start = 0, shards, np.zeros(len(totals), np.int64)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        left = _split(totals, slots * mid // shards - slots * lo // shards, [seed, lo, hi])
-        if shard < mid:
-            totals, hi = left, mid
-        else:
-            start, totals, lo = start + left, totals - left, mid
-    return start, totals
+    return ShardDraw(totals, shards, seed)(shard)
 
 
 def permuted(index: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -123,9 +145,10 @@ def slots(sized: DataFrame, quota: list[dict], seed: int, shard_slots: int) -> D
     names = ["shard", "slot", "source_index", "repetition", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = ShardDraw(totals, shards, seed)
         for b in batches:
             for shard in b.column(0).to_pylist():
-                start, n = shard_draw(totals, shards, shard, seed)
+                start, n = draw(shard)
                 if not n.sum():
                     continue
                 source, turn, block = [], [], []
@@ -193,3 +216,13 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     tokens = F.coalesce("_n", F.lit(0))
     shares = listed.join(reached, "source_index", "left").select("source", "weight", "max_repeats", "available_tokens", "target_tokens", tokens.alias("tokens"), F.when(every > 0, tokens / every).otherwise(0.0).alias("share"), F.coalesce("_most", F.lit(0)).alias("most_repeats"))
     return result, shares
+
+
+def shares_checked(shares: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``source, weight, max_repeats, met, capped``: whether a source gives its target, as far as its repeats allow, to two blocks, and none too often.
+
+    Weights and repeats that are null or negative count as 0.
+    """
+    most = F.coalesce(F.greatest("max_repeats", F.lit(0)), F.lit(0))
+    wanted = F.least(F.coalesce("target_tokens", F.lit(0.0)), most * F.col("available_tokens"))
+    return shares.select("source", "weight", "max_repeats", (F.abs(F.col("tokens") - wanted) <= 2 * block_tokens).alias("met"), (F.col("most_repeats") <= most).alias("capped"))

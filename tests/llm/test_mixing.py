@@ -18,17 +18,37 @@ def test_permutation(n):
     assert n < 17 or (p != M.permuted(np.arange(n), n, 8)).any()
 
 
-@pytest.mark.parametrize("large", [M._LARGE, 1000])
-def test_shards_add_up(monkeypatch, large):
-    monkeypatch.setattr(M, "_LARGE", large)
-    totals = np.array([100, 2000, 0, 37, 5000])
-    got = [M.shard_draw(totals, 8, i, 42) for i in range(8)]
+@pytest.mark.parametrize("scale", [1, 1000, 10**9, 10**14])
+def test_shards_add_up(scale):
+    totals = np.array([100, 2000, 0, 37, 5000]) * scale
+    draw = M.ShardDraw(totals, 8, 42)
+    got = [draw(i) for i in range(8)]
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(got, (M.shard_draw(totals, 8, i, 42) for i in range(8))))
     assert (sum(n for _, n in got) == totals).all()
     assert all((a + n == b).all() for (a, n), (b, _) in zip(got, got[1:]))
     sizes = [int(n.sum()) for _, n in got]
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_splits_follow_the_hypergeometric_law():
+    totals, left = np.array([400, 90, 10]), 200
+    own = np.array([M._split(totals, left, [7, i]) for i in range(4000)])
+    other = np.random.default_rng(1).multivariate_hypergeometric(totals, left, 4000)
+    assert (own.sum(axis=1) == left).all() and (own <= totals).all()
+    assert np.allclose(own.mean(axis=0), left * totals / 500, atol=0.25) and np.allclose(own.var(axis=0), other.var(axis=0), rtol=0.12)
+    counts = [np.bincount(x[:, 2], minlength=11) / 4000 for x in (own, other)]
+    assert abs(counts[0] - counts[1]).max() < 0.04
+
+
+def test_large_splits_are_drawn():
+    totals = np.array([3 * 10**12, 10**12, 5])
+    own = np.array([M._split(totals, 2 * 10**12, [3, i]) for i in range(600)])
+    share, n = totals / totals.sum(), 2 * 10**12
+    assert (own.sum(axis=1) == n).all() and len(set(own[:, 0].tolist())) > 590
+    want = (n * share[0] * (1 - share[0]) * 0.5) ** 0.5
+    assert abs(own[:, 0].std() / want - 1) < 0.1 and abs(own[:, 0].mean() - n * share[0]) < 5 * want / 600**0.5
+
+
 def documents(spark):
     rng, rows = random.Random(2), []
     for i in range(400):
@@ -48,6 +68,8 @@ def test_mix(spark):
     big, small = by["Big Paper"], by["Small"]
     assert big.available_tokens == sizes["big paper"] and abs(big.tokens - 0.5 * total) <= 40 and big.most_repeats == 1
     assert abs(small.tokens - min(0.4 * total, 3 * sizes["small"])) <= 60 and small.most_repeats <= 3
+    checked = {r.source: (r.met, r.capped) for r in M.shares_checked(shares, 16).collect()}
+    assert checked == dict.fromkeys(by, (True, True))
     assert (by["Lost"].share, by["other"].tokens, by["none"].tokens) == (0, 0, 0)
     assert abs(sum(r.share for r in by.values()) - 1) < 1e-9
     assert sum(r.n_tokens for r in rows) == big.tokens + small.tokens
