@@ -22,6 +22,23 @@ def test_apart(a, b):
     assert L.skeleton(a) != L.skeleton(b)
 
 
+def test_letters_of_other_scripts():
+    table = dict(L.letter_prototypes())
+    for letter, drawn in zip("αγινορσυЬгѵӀՏառᎠᏟᏴⲞⲢⲤᴄᴏᴠ", "ayivopoubrvISwnDCBOPCcov"):
+        assert L.skeleton(letter) == drawn == table[letter]
+    assert len(table) > 500 and not set(table) & set(table.values()) and not any(c.isascii() for c in table)
+    assert not any(L.unicodedata.category(c)[0] != "L" for pair in table.items() for c in pair)
+
+
+def test_the_table_is_the_librarys(spark):
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    table = L.confusables()
+    some = sorted(table)[:: max(1, len(table) // 400)]
+    for char in some:
+        if L.unicodedata.normalize("NFD", char) == char:
+            assert L.unicodedata.normalize("NFD", table[char]) == checker.getSkeleton(char)
+
+
 def test_skeleton_is_stable():
     for a, b in SAME + APART:
         for x in (a, b):
