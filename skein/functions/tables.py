@@ -29,6 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_at_exit(spark: SparkSession, where: str) -> None:
+    """Has a folder removed when the application ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and written as a Parquet table in the shared folder; lost executors do not matter.
 
@@ -38,7 +44,5 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = f"{shared_folder(spark)}/skein-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    remove_at_exit(spark, where)
     return spark.read.schema(df.schema).parquet(where)

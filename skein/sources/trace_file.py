@@ -1,7 +1,7 @@
 """Reader of binary execution traces of the Go runtime, versions 1.5 and 1.7 to 1.11.
 
-``read_raw`` decodes files of any Hadoop file system; the data source ``exectrace`` streams files that every executor can
-open, one partition per file. Both give one row per record::
+``read_raw`` decodes files of any Hadoop file system, each from one row; the data source ``exectrace`` streams files of any size that
+Arrow's file systems can open from every executor, one partition per file. Both give one row per record::
 
     trace_id STRING, version INT, rec_offset BIGINT, type_id INT, args ARRAY<BIGINT>, str_arg STRING, corrupt_reason STRING
 
@@ -11,7 +11,7 @@ one row that says why where ``mode`` is ``PERMISSIVE``.
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import io
 import os
 import re
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -202,19 +203,33 @@ class _Reader(DataSourceReader):
             raise ValueError("a path is needed")
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file://")
-        files = sorted(f for f in (glob.glob(f"{path}/*") if os.path.isdir(path) else glob.glob(path)) if os.path.isfile(f))
-        if not files:
-            raise FileNotFoundError(path)
-        return [_File(f) for f in files]
+        fs, path = file_system(self.path)
+        kind = fs.get_file_info(path).type
+        if kind == pa_fs.FileType.File:
+            found = [path]
+        else:
+            folder, pattern = (path, "*") if kind == pa_fs.FileType.Directory else (os.path.dirname(path), os.path.basename(path))
+            listed = fs.get_file_info(pa_fs.FileSelector(folder, allow_not_found=True))
+            found = sorted(f.path for f in listed if f.type == pa_fs.FileType.File and f.base_name[0] not in "._" and fnmatch.fnmatchcase(f.base_name, pattern))
+        if not found:
+            raise FileNotFoundError(self.path)
+        return [_File(f) for f in found]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as stream:
+        with file_system(self.path)[0].open_input_stream(partition.path) as stream:
             yield from batches(stream, trace_name(partition.path), self.permissive)
 
 
+def file_system(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """Arrow's file system for a path or URI, and the path there; paths without a scheme are local."""
+    if "://" not in path:
+        path = os.path.abspath(path.removeprefix("file:"))
+        return pa_fs.LocalFileSystem(), path
+    return pa_fs.FileSystem.from_uri(path)
+
+
 class ExecTrace(DataSource):
-    """``spark.read.format("exectrace").option("mode", ...).load(path)`` after :func:`register`."""
+    """``spark.read.format("exectrace").option("mode", ...).load(path)`` after :func:`register`; the sink of ``trace_sink``."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,6 +241,11 @@ class ExecTrace(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema, overwrite: bool):
+        from skein.sources.trace_sink import Files
+
+        return Files(self.options["path"])
+
 
 def register(spark: SparkSession) -> None:
     """Makes the format ``exectrace`` known to a session."""
