@@ -56,7 +56,7 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     names = F.create_map(*(F.lit(x) for pair in NAME.items() for x in pair))
     ev = ev.withColumn("type", F.try_element_at(names, F.col("type_id")))
     ev = durable(ev.select("trace_id", "rec_offset", "ord", "type", "type_id", "raw_type_id", "ts", "seq", "p", "g", "a0", "a1", "a2", "string_args", "stack_id", "link_offset", "link_ts", "link_g"))
-    bad = projection.record_violations(raw, projected).unionByName(early).unionByName(ordering.order_violations(ordered)).unionByName(linking.state_violations(kept)).unionByName(linking.bracket_violations(kept)).unionByName(linking.processor_violations(kept)).unionByName(linking.region_violations(kept))
+    bad = projection.record_violations(raw, projected).unionByName(early).unionByName(ordering.order_violations(ordered)).unionByName(linking.state_violations(kept)).unionByName(linking.bracket_violations(kept, meta)).unionByName(linking.processor_violations(kept)).unionByName(linking.region_violations(kept))
     exits = ordering.exit_repair(ordered).where("rule_id is not null").select("trace_id", "rec_offset", "rule_id", F.lit("system call exit").alias("message"))
     bad = bad.unionByName(exits)
     if strict or sequences:
@@ -64,7 +64,8 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     if strict:
         one = bad.orderBy("trace_id", F.col("rec_offset").asc_nulls_first()).first()
         if one is not None:
-            raise trace_file.InvalidTrace(f"{one.trace_id}: {one.rule_id}: {one.message} (offset {one.rec_offset})")
+            kind = trace_file.EmptyTrace if one.rule_id == "empty" else trace_file.InvalidTrace
+            raise kind(f"{one.trace_id}: {one.rule_id}: {one.message} (offset {one.rec_offset})")
     return Trace(ev, strings, stacks, meta, bad)
 
 

@@ -144,6 +144,19 @@ def user_regions(ev: DataFrame) -> DataFrame:
     return whole.unionByName(stray)
 
 
+def region_frames(regions: DataFrame, ev: DataFrame, stacks: DataFrame) -> DataFrame:
+    """``trace_id, g, start_offset, place, fn, pc``: the frame each region was started in, the first of its start's stack, and its place among its goroutine's regions.
+
+    Places go by the start's time, regions without a start first, then by offsets. Frame and pc are null where start, stack or frame are missing.
+    """
+    rank = F.row_number().over(Window.partitionBy("trace_id", "g").orderBy(F.col("start_ts").asc_nulls_first(), "start_offset", "end_offset"))
+    placed = regions.select("trace_id", "g", "start_offset", rank.cast("bigint").alias("place"))
+    starts = ev.where(F.col("type_id") == ID["UserRegion"]).select("trace_id", F.col("rec_offset").alias("start_offset"), "stack_id")
+    top = latest(stacks, "stack_id", "frames").where("stack_id <> 0").select("trace_id", "stack_id", F.try_element_at("frames", F.lit(1)).alias("_top"))
+    framed = starts.join(top, ["trace_id", "stack_id"]).select("trace_id", "start_offset", "_top.fn", "_top.pc")
+    return placed.join(framed, ["trace_id", "start_offset"], "left").select("trace_id", "g", "start_offset", "place", "fn", "pc")
+
+
 def _inherited(ev: DataFrame, own: DataFrame) -> DataFrame:
     """The nameless regions goroutines take over from their creators, with the columns of :func:`user_regions`, their ``depth`` 0.
 

@@ -34,6 +34,13 @@ def _pairs(ev: DataFrame, kind: str, keys: list[str], types: list[int], allowed:
     return nxt.where(fits).select("trace_id", "rec_offset", F.lit(kind).alias("kind"), F.col("_next.rec_offset").alias("link_offset"), F.col("_next.ts").alias("link_ts"), F.col("_next.g").alias("link_g"))
 
 
+def _world_stops(ev: DataFrame, meta: DataFrame) -> DataFrame:
+    """Stops of the world with ``_at``: their processor before version 1010, -1 in later traces."""
+    old = meta.groupBy("trace_id").agg(F.max("version").alias("_version"))
+    stopped = ev.where(F.col("type_id").isin(ID["GcStwStart"], ID["GcStwDone"])).join(old, "trace_id", "left")
+    return stopped.withColumn("_at", F.when(F.col("_version") < 1010, F.col("p")).otherwise(F.lit(-1)))
+
+
 def links(ev: DataFrame, meta: DataFrame) -> DataFrame:
     """``trace_id, rec_offset, kind, link_offset, link_ts, link_g``: each event that is closed by a later one, with that one.
 
@@ -52,9 +59,7 @@ def links(ev: DataFrame, meta: DataFrame) -> DataFrame:
         [([ID["GoCreate"], *YIELDS, unblock, exits], start), ([ID["GoWaiting"], *BLOCKS], [unblock]), ([syscall], [exits])],
     )
     gc = _pairs(ev, "gc", ["trace_id"], [ID["GcStart"], ID["GcDone"]], [([ID["GcStart"]], [ID["GcDone"]])])
-    old = meta.groupBy("trace_id").agg(F.max("version").alias("_version"))
-    stopped = ev.where(F.col("type_id").isin(ID["GcStwStart"], ID["GcStwDone"])).join(old, "trace_id", "left")
-    stopped = stopped.withColumn("_at", F.when(F.col("_version") < 1010, F.col("p")).otherwise(F.lit(-1)))
+    stopped = _world_stops(ev, meta)
     stw = _pairs(stopped, "stw", ["trace_id", "_at"], [ID["GcStwStart"], ID["GcStwDone"]], [([ID["GcStwStart"]], [ID["GcStwDone"]])])
     sweep = _pairs(ev, "sweep", ["trace_id", "p"], [ID["GcSweepStart"], ID["GcSweepDone"]], [([ID["GcSweepStart"]], [ID["GcSweepDone"]])])
     assist = _pairs(ev, "assist", ["trace_id", "g"], [ID["GcMarkAssistStart"], ID["GcMarkAssistDone"]], [([ID["GcMarkAssistStart"]], [ID["GcMarkAssistDone"]])])
@@ -102,11 +107,14 @@ def state_violations(ev: DataFrame) -> DataFrame:
     return was.where("_was <> _need").select("trace_id", "rec_offset", F.lit("state").alias("rule_id"), F.concat(F.lit("goroutine is "), "_was", F.lit(", not "), "_need").alias("message"))
 
 
-def bracket_violations(ev: DataFrame) -> DataFrame:
-    """``trace_id, rec_offset, rule_id, message``: nested starts and stray ends of collector cycles, stops of the world, sweeps, processors and tasks."""
+def bracket_violations(ev: DataFrame, meta: DataFrame) -> DataFrame:
+    """``trace_id, rec_offset, rule_id, message``: nested starts and stray ends of collector cycles, stops of the world, sweeps, processors and tasks.
+
+    Stops of the world are kept by processor before version 1010, later by trace.
+    """
     plans = [
         ("gc", ["trace_id"], ID["GcStart"], ID["GcDone"], True),
-        ("stw", ["trace_id"], ID["GcStwStart"], ID["GcStwDone"], True),
+        ("stw", ["trace_id", "_at"], ID["GcStwStart"], ID["GcStwDone"], True),
         ("sweep", ["trace_id", "p"], ID["GcSweepStart"], ID["GcSweepDone"], True),
         ("assist", ["trace_id", "g"], ID["GcMarkAssistStart"], ID["GcMarkAssistDone"], False),
         ("proc", ["trace_id", "p"], ID["ProcStart"], ID["ProcStop"], True),
@@ -114,7 +122,8 @@ def bracket_violations(ev: DataFrame) -> DataFrame:
     ]
     parts = []
     for rule, keys, opens, closes, strict in plans:
-        some = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, ev.where(F.col("type_id").isin(opens, closes)))
+        of = _world_stops(ev, meta) if rule == "stw" else ev
+        some = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, of.where(F.col("type_id").isin(opens, closes)))
         was = last_over(some, keys, ["ord", "rec_offset"], F.col("type_id"), "_was")
         open_, nested = F.col("_was") == opens, F.col("type_id") == opens
         bad = F.when(nested & open_, "started twice")

@@ -52,7 +52,7 @@ def mmu(series: DataFrame, windows: Sequence[int]) -> DataFrame:
 def worst_windows(series: DataFrame, window: int, n: int) -> DataFrame:
     """``trace_id, series, window, time, util``: per trace ``n`` windows of least utilisation that do not overlap in their series.
 
-    Knots are taken in ascending order of utilisation, then time, then series, skipping those that overlap one taken
+    Knots are taken in ascending order of utilisation (to nine digits), then time, then series, skipping those that overlap one taken
     before. Windows that only touch do not overlap.
     """
     out = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("series", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("time", T.LongType()), T.StructField("util", T.DoubleType())])
@@ -70,7 +70,7 @@ def worst_windows(series: DataFrame, window: int, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))], [f.name for f in out])
 
     ranked = windowed(series, [window]).select("trace_id", F.col("series").cast("int").alias("series"), "window", "time", "util")
-    return ranked.repartition("trace_id").sortWithinPartitions("trace_id", "util", "time", "series").mapInArrow(pick, out)
+    return ranked.repartition("trace_id").sortWithinPartitions("trace_id", F.round("util", 9), "time", "series").mapInArrow(pick, out)
 
 
 def mud(series: DataFrame, window: int, quantiles: Sequence[float], compat: bool = False) -> DataFrame:

@@ -19,11 +19,11 @@ def task_events(ev: DataFrame) -> DataFrame:
 
 
 def tasks(ev: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """One row per task: ``trace_id, task_id, name, parent_id, create_ts, end_ts, completed, first_ts, last_ts, end_or_world_ts, duration, goroutines, children``.
+    """One row per task: ``trace_id, task_id, name, parent_id, create_ts, end_ts, completed, first_ts, last_ts, end_or_world_ts, duration, goroutines, children, last_offset``.
 
     A task is there if an event, a region or a child's creation names it; one known only by name has an empty name. The
     last of several creations or ends counts. ``first_ts`` and ``end_or_world_ts`` fall back to the trace's bounds, ``last_ts`` to
-    the end. ``goroutines`` and ``children`` are ascending.
+    the end; ``last_offset`` is its own last event. ``goroutines`` and ``children`` are ascending.
     """
     own = task_events(ev)
     order = F.struct("ord", "rec_offset")
@@ -31,7 +31,7 @@ def tasks(ev: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     facts = own.groupBy("trace_id", "task_id").agg(
         F.max_by(F.when(made, F.struct(F.try_element_at("string_args", F.lit(1)).alias("name"), F.nullif(F.col("a1"), F.lit(0)).alias("parent_id"), "ts")), F.when(made, order)).alias("_c"),
         F.max_by(F.when(done, F.col("ts")), F.when(done, order)).alias("end_ts"),
-        F.max_by("ts", order).alias("_last"),
+        F.max_by(F.struct("ts", "rec_offset"), order).alias("_last"),
         F.collect_set("g").alias("_gs"),
     )
     edges = own.where(made & F.col("a1").isNotNull() & (F.col("a1") != 0)).select("trace_id", F.col("a1").alias("task_id"), F.col("a0").alias("child"))
@@ -48,8 +48,8 @@ def tasks(ev: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     end = F.coalesce("end_ts", "world_end")
     return out.select(
         "trace_id", "task_id", F.coalesce("_c.name", F.lit("")).alias("name"), F.col("_c.parent_id").alias("parent_id"), F.col("_c.ts").alias("create_ts"), "end_ts",
-        (F.col("_c.ts").isNotNull() & F.col("end_ts").isNotNull()).alias("completed"), first.alias("first_ts"), F.coalesce("_last", end).alias("last_ts"), end.alias("end_or_world_ts"), (end - first).alias("duration"),
-        F.array_sort(F.array_union(F.coalesce("_gs", empty), F.coalesce("_rg", empty))).alias("goroutines"), F.coalesce("children", empty).alias("children"),
+        (F.col("_c.ts").isNotNull() & F.col("end_ts").isNotNull()).alias("completed"), first.alias("first_ts"), F.coalesce("_last.ts", end).alias("last_ts"), end.alias("end_or_world_ts"), (end - first).alias("duration"),
+        F.array_sort(F.array_union(F.coalesce("_gs", empty), F.coalesce("_rg", empty))).alias("goroutines"), F.coalesce("children", empty).alias("children"), F.col("_last.rec_offset").alias("last_offset"),
     )
 
 

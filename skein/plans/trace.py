@@ -85,7 +85,7 @@ def state_violations(spark, d):
 
 
 def bracket_violations(spark, d):
-    return linking.bracket_violations(_stored(spark, d))
+    return linking.bracket_violations(_stored(spark, d), table(spark, d, "trace_meta"))
 
 
 def processor_violations(spark, d):
@@ -131,6 +131,16 @@ def region_stats(spark, d):
     return G.region_stats(_stored(spark, d))
 
 
+def region_frames(spark, d):
+    ev = _stored(spark, d)
+    return G.region_frames(G.user_regions(ev), ev, table(spark, d, "stacks"))
+
+
+def sequence_violations(spark, d):
+    versions = table(spark, d, "trace_meta").groupBy("trace_id").agg(F.max("version").alias("version"))
+    return ordering.sequence_violations(_ev(spark, d, "raw_type_id").join(versions, "trace_id")).select("trace_id", "rec_offset", "rule_id")
+
+
 def inherited_tasks(spark, d):
     return G.inherited_tasks(_stored(spark, d))
 
@@ -177,6 +187,23 @@ def mu_series(spark, d):
     return U.mutator_utilisation(_stored(spark, d))
 
 
+def mu_series_stw(spark, d):
+    """Stops of the world alone."""
+    return U.mutator_utilisation(_stored(spark, d), stw=True)
+
+
+def mu_series_sweep(spark, d):
+    return U.mutator_utilisation(_stored(spark, d), sweep=True)
+
+
+def mu_series_assist(spark, d):
+    return U.mutator_utilisation(_stored(spark, d), assist=True)
+
+
+def mu_series_background(spark, d):
+    return U.mutator_utilisation(_stored(spark, d), background=True)
+
+
 def mu_series_per_proc(spark, d):
     return U.mutator_utilisation(_stored(spark, d), per_proc=True)
 
@@ -191,7 +218,7 @@ def mmu(spark, d):
 
 
 def mmu_per_proc(spark, d):
-    return M.mmu(mu_series_per_proc(spark, d), WINDOWS)
+    return M.mmu(mu_series_per_proc(spark, d), WINDOWS).select("trace_id", "window", F.round("mmu", 6).alias("mmu"))
 
 
 def mmu_windows(spark, d):
@@ -199,7 +226,7 @@ def mmu_windows(spark, d):
 
 
 def worst_windows(spark, d):
-    return M.worst_windows(mu_series(spark, d), WINDOWS[1], 5)
+    return M.worst_windows(mu_series(spark, d), WINDOWS[1], 5).withColumn("util", F.round("util", 6))
 
 
 def mud_quantiles(spark, d):
@@ -241,8 +268,8 @@ def worker_labels(spark, d):
 
 _ALL = (
     goroutines, goroutine_states, event_catalog, catalog_table, ts_rescale, delta_decode, carry_forward_g, pseudo_processors, local_rename, total_order, order_violations, exit_repair,
-    futile_events, without_futile, links, netpoll_unblocks, state_violations, bracket_violations, processor_violations, region_violations, string_violations, stack_frames, gc_cycles, regions, region_times, region_stats, inherited_tasks,
-    tasks, task_descendants, task_all_descendants, overlap_instants, overlap_durations, related_goroutines, mu_contributions, mu_raw, mu_series, mu_series_per_proc, mmu, mmu_per_proc, mmu_windows, worst_windows, mud_quantiles,
+    futile_events, without_futile, links, netpoll_unblocks, state_violations, bracket_violations, processor_violations, region_violations, string_violations, stack_frames, gc_cycles, regions, region_times, region_stats, region_frames, sequence_violations, inherited_tasks,
+    tasks, task_descendants, task_all_descendants, overlap_instants, overlap_durations, related_goroutines, mu_contributions, mu_raw, mu_series, mu_series_stw, mu_series_sweep, mu_series_assist, mu_series_background, mu_series_per_proc, mmu, mmu_per_proc, mmu_windows, worst_windows, mud_quantiles,
     longest_tasks, named_goroutines, unused_strings, traced_goroutines, worker_labels,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -298,11 +325,11 @@ SELECT trace_id, rec_offset, 'goroutine is ' || was || ', not ' || need AS messa
 
 
 def _bracket_sql() -> str:
-    plans = [("gc", "0", "GcStart", "GcDone", 1), ("stw", "0", "GcStwStart", "GcStwDone", 1), ("sweep", "p", "GcSweepStart", "GcSweepDone", 1), ("assist", "g", "GcMarkAssistStart", "GcMarkAssistDone", 0), ("proc", "p", "ProcStart", "ProcStop", 1), ("task", "a0", "UserTaskCreate", "UserTaskEnd", 0)]
+    plans = [("gc", "0", "GcStart", "GcDone", 1), ("stw", "(SELECT CASE WHEN max(version) < 1010 THEN ev.p ELSE -1 END FROM trace_meta m WHERE m.trace_id = ev.trace_id)", "GcStwStart", "GcStwDone", 1), ("sweep", "p", "GcSweepStart", "GcSweepDone", 1), ("assist", "g", "GcMarkAssistStart", "GcMarkAssistDone", 0), ("proc", "p", "ProcStart", "ProcStop", 1), ("task", "a0", "UserTaskCreate", "UserTaskEnd", 0)]
     parts = []
     for rule, key, a, b, strict in plans:
         stray = f"WHEN type_id = {ID[b]} AND was IS DISTINCT FROM {ID[a]} THEN 'ended without a start'" if strict else ""
-        parts.append(f"SELECT * FROM (SELECT trace_id, rec_offset, '{rule}' AS rule_id, CASE WHEN type_id = {ID[a]} AND was = {ID[a]} THEN 'started twice' {stray} END AS message FROM (SELECT *, lag(type_id) OVER (PARTITION BY trace_id, {key} ORDER BY ord, rec_offset) AS was FROM ev WHERE type_id IN ({ID[a]}, {ID[b]}) AND {key} IS NOT NULL)) WHERE message IS NOT NULL")
+        parts.append(f"SELECT * FROM (SELECT trace_id, rec_offset, '{rule}' AS rule_id, CASE WHEN type_id = {ID[a]} AND was = {ID[a]} THEN 'started twice' {stray} END AS message FROM (SELECT *, lag(type_id) OVER (PARTITION BY trace_id, k ORDER BY ord, rec_offset) AS was FROM (SELECT *, {key} AS k FROM ev WHERE type_id IN ({ID[a]}, {ID[b]})) WHERE k IS NOT NULL)) WHERE message IS NOT NULL")
     return _WITH + "\n" + "\nUNION ALL\n".join(parts)
 
 
@@ -373,7 +400,7 @@ FROM keyed k LEFT JOIN a USING (id) LEFT JOIN b USING (id) LEFT JOIN lives l ON
 _TASKS = f"""{_WORLD},
 own AS (SELECT *, a0 AS task_id, struct_pack(o := ord, r := rec_offset) AS k FROM ev WHERE type_id IN {_in([ID['UserTaskCreate'], ID['UserTaskEnd'], ID['UserLog']])} AND a0 IS NOT NULL),
 facts AS (SELECT trace_id, task_id, arg_max(struct_pack(name := string_args[1], parent_id := nullif(a1, 0), ts := ts), k) FILTER (type_id = {ID['UserTaskCreate']}) AS c,
-                 arg_max(ts, k) FILTER (type_id = {ID['UserTaskEnd']}) AS end_ts, arg_max(ts, k) AS last FROM own GROUP BY ALL),
+                 arg_max(ts, k) FILTER (type_id = {ID['UserTaskEnd']}) AS end_ts, arg_max(ts, k) AS last, arg_max(rec_offset, k) AS last_offset FROM own GROUP BY ALL),
 edge AS (SELECT DISTINCT trace_id, a1 AS task_id, a0 AS child FROM own WHERE type_id = {ID['UserTaskCreate']} AND a1 <> 0),
 kids AS (SELECT trace_id, task_id, string_agg(CAST(child AS VARCHAR), ',' ORDER BY child) AS children FROM edge GROUP BY ALL),
 gs AS (SELECT DISTINCT trace_id, task_id, g FROM (SELECT trace_id, task_id, g FROM own UNION ALL SELECT trace_id, task_id, g FROM regions WHERE task_id <> 0) WHERE g IS NOT NULL),
@@ -382,33 +409,73 @@ ids AS (SELECT trace_id, task_id FROM facts UNION SELECT trace_id, task_id FROM
 task AS (
   SELECT i.trace_id, i.task_id, coalesce(c.name, '') AS name, c.parent_id AS parent_id, c.ts AS create_ts, f.end_ts, c.ts IS NOT NULL AND f.end_ts IS NOT NULL AS completed,
          coalesce(c.ts, w0) AS first_ts, coalesce(f.last, f.end_ts, w1) AS last_ts, coalesce(f.end_ts, w1) AS end_or_world_ts, coalesce(f.end_ts, w1) - coalesce(c.ts, w0) AS duration,
-         coalesce(goroutines, '') AS goroutines, coalesce(children, '') AS children
+         coalesce(goroutines, '') AS goroutines, coalesce(children, '') AS children, f.last_offset
   FROM ids i JOIN world USING (trace_id) LEFT JOIN facts f ON f.trace_id = i.trace_id AND f.task_id = i.task_id
   LEFT JOIN kids k ON k.trace_id = i.trace_id AND k.task_id = i.task_id LEFT JOIN gl ON gl.trace_id = i.trace_id AND gl.task_id = i.task_id)"""
 
-_GOING = f"""going AS (
+_GC_LABEL = "starts_with({0}, 'GC ') AND {0} NOT IN ({1})"
+
+
+def _going_sql(sweep: bool = True, assist: bool = True, background: bool = True, idle: str = "'GC (idle)'") -> str:
+    at = f"CASE WHEN type_id IN {_in(STOPS)} THEN run.p ELSE p END"
+    own, held = _GC_LABEL.format("string_args[1]", idle), _GC_LABEL.format("run.label", idle)
+    parts = ["SELECT trace_id, ord, rec_offset, ts, p, NULL::INTEGER AS d FROM ev WHERE false"]
+    if sweep:
+        parts.append(f"SELECT trace_id, ord, rec_offset, ts, p, CASE type_id WHEN {ID['GcSweepStart']} THEN 1 WHEN {ID['GcSweepDone']} THEN -1 END FROM ev")
+    if assist:
+        parts.append(f"""SELECT trace_id, ord, rec_offset, ts, {at},
+    CASE WHEN type_id IN {_in(STARTS)} AND depth > 0 THEN 1 WHEN type_id IN {_in(STOPS)} AND depth > 0 AND run.running THEN -1 WHEN type_id = {ID['GcMarkAssistStart']} THEN 1 WHEN type_id = {ID['GcMarkAssistDone']} THEN -1 END FROM going""")
+    if background:
+        parts.append(f"""SELECT trace_id, ord, rec_offset, ts, {at},
+    CASE WHEN type_id = {ID['GoStartLabel']} AND {own} THEN 1
+         WHEN type_id IN {_in(STOPS)} AND run.running AND run.type_id = {ID['GoStartLabel']} AND {held} THEN -1 END FROM going""")
+    union = "\n  UNION ALL ".join(parts)
+    return f"""going AS (
   SELECT *, last_value(CASE WHEN type_id IN {_in(STARTS)} THEN struct_pack(running := true, p := p, label := string_args[1], type_id := type_id)
                             WHEN type_id IN {_in(STOPS)} THEN struct_pack(running := false, p := p, label := NULL, type_id := type_id) END IGNORE NULLS) OVER w AS run,
     coalesce(sum(CASE WHEN type_id = {ID['GcMarkAssistStart']} THEN 1 WHEN type_id = {ID['GcMarkAssistDone']} THEN -1 END) OVER w, 0) AS depth
   FROM ev WHERE type_id IN {_in([*STARTS, *STOPS, ID['GcMarkAssistStart'], ID['GcMarkAssistDone']])} AND g IS NOT NULL
   WINDOW w AS (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_BEFORE})),
 parts AS (
-  SELECT trace_id, ord, rec_offset, ts, p, CASE type_id WHEN {ID['GcSweepStart']} THEN 1 WHEN {ID['GcSweepDone']} THEN -1 END AS d FROM ev
-  UNION ALL SELECT trace_id, ord, rec_offset, ts, CASE WHEN type_id IN {_in(STOPS)} THEN run.p ELSE p END,
-    CASE WHEN type_id IN {_in(STARTS)} AND depth > 0 THEN 1 WHEN type_id IN {_in(STOPS)} AND depth > 0 AND run.running THEN -1 WHEN type_id = {ID['GcMarkAssistStart']} THEN 1 WHEN type_id = {ID['GcMarkAssistDone']} THEN -1 END FROM going
-  UNION ALL SELECT trace_id, ord, rec_offset, ts, CASE WHEN type_id IN {_in(STOPS)} THEN run.p ELSE p END,
-    CASE WHEN type_id = {ID['GoStartLabel']} AND starts_with(string_args[1], 'GC ') AND string_args[1] <> 'GC (idle)' THEN 1
-         WHEN type_id IN {_in(STOPS)} AND run.running AND run.type_id = {ID['GoStartLabel']} AND starts_with(run.label, 'GC ') AND run.label <> 'GC (idle)' THEN -1 END FROM going),
+  {union}),
 contrib AS (SELECT trace_id, ord, rec_offset, ts, p, CAST(sum(d) AS INTEGER) AS d FROM parts WHERE d IS NOT NULL AND p IS NOT NULL GROUP BY ALL)"""
-_RAW = f"""cnt AS (SELECT *, sum(d) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_UP}) AS c FROM contrib),
+
+
+def _raw_sql(stw: bool = True) -> str:
+    stops = f"CASE type_id WHEN {ID['GcStwStart']} THEN 1 WHEN {ID['GcStwDone']} THEN -1 ELSE 0 END" if stw else "0"
+    types = _in([ID["Gomaxprocs"], ID["GcStwStart"], ID["GcStwDone"]] if stw else [ID["Gomaxprocs"]])
+    return f"""cnt AS (SELECT *, sum(d) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_UP}) AS c FROM contrib),
 bus AS (SELECT *, CASE WHEN c > 0 THEN 1 ELSE 0 END - coalesce(lag(CASE WHEN c > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset), 0) AS ch FROM cnt),
 mix AS (SELECT trace_id, ord, rec_offset, ts, ch, 0 AS stw, NULL::BIGINT AS n FROM bus
-  UNION ALL SELECT trace_id, ord, rec_offset, ts, 0, CASE type_id WHEN {ID['GcStwStart']} THEN 1 WHEN {ID['GcStwDone']} THEN -1 ELSE 0 END, CASE WHEN type_id = {ID['Gomaxprocs']} THEN a0 END FROM ev WHERE type_id IN {_in([ID['Gomaxprocs'], ID['GcStwStart'], ID['GcStwDone']])}),
+  UNION ALL SELECT trace_id, ord, rec_offset, ts, 0, {stops}, CASE WHEN type_id = {ID['Gomaxprocs']} THEN a0 END FROM ev WHERE type_id IN {types}),
 one AS (SELECT trace_id, ord, rec_offset, ts, sum(ch) AS ch, sum(stw) AS stw, max(n) AS n FROM mix GROUP BY ALL),
 acc AS (SELECT trace_id, ord, rec_offset, ts, sum(ch) OVER w AS b, sum(stw) OVER w AS s, last_value(n IGNORE NULLS) OVER w AS n FROM one WINDOW w AS (PARTITION BY trace_id ORDER BY ord, rec_offset {_UP})),
 pts AS (SELECT trace_id, ord, rec_offset, ts AS time, 1.0::DOUBLE - CASE WHEN s > 0 THEN n ELSE b END::DOUBLE / n AS util FROM acc WHERE n > 0),
 raw AS (SELECT * FROM pts UNION ALL
   SELECT trace_id, max(ord) + 1, 0, arg_max(ts, struct_pack(o := ord, r := rec_offset)), 0.0 FROM ev WHERE trace_id IN (SELECT trace_id FROM pts) GROUP BY trace_id)"""
+
+
+_GOING, _RAW = _going_sql(), _raw_sql()
+# one series per processor; trace and series are one key in what follows
+_PER_PROC = _going_sql(idle="'GC (idle)', 'GC (dedicated)'") + f""",
+nnn AS (SELECT trace_id, ord, rec_offset, ts, a0 AS n, coalesce(lag(a0) OVER (PARTITION BY trace_id ORDER BY ord, rec_offset), 0) AS was FROM ev WHERE type_id = {ID['Gomaxprocs']} AND a0 IS NOT NULL),
+come AS (SELECT trace_id, ord, rec_offset, ts, unnest(range(was, n)) AS p, 1.0::DOUBLE AS util FROM nnn WHERE n > was),
+gone AS (SELECT trace_id, ord, rec_offset, ts, unnest(range(n, was)) AS p, 0.0::DOUBLE AS util FROM nnn WHERE n < was),
+alld AS (SELECT trace_id, ord, rec_offset, ts, p, d, 0 AS reset FROM contrib UNION ALL SELECT trace_id, ord, rec_offset, ts, p, 0, 1 FROM gone),
+epo AS (SELECT *, sum(reset) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_UP}) AS epoch FROM alld),
+bzy AS (SELECT *, CASE WHEN sum(d) OVER (PARTITION BY trace_id, p, epoch ORDER BY ord, rec_offset {_UP}) > 0 THEN 1 ELSE 0 END AS busy FROM epo),
+liv AS (SELECT trace_id, p, min(ord) AS f FROM (SELECT * FROM come UNION ALL SELECT * FROM gone) GROUP BY ALL),
+stw AS (SELECT trace_id, ord, rec_offset, ts, sum(CASE type_id WHEN {ID['GcStwStart']} THEN 1 ELSE -1 END) OVER (PARTITION BY trace_id ORDER BY ord, rec_offset {_UP}) AS stopped FROM ev WHERE type_id IN ({ID['GcStwStart']}, {ID['GcStwDone']})),
+rws AS (SELECT trace_id, p, ord, rec_offset, ts, busy, NULL::BIGINT AS stopped FROM bzy
+  UNION ALL SELECT s.trace_id, l.p, s.ord, s.rec_offset, s.ts, NULL, s.stopped FROM stw s JOIN liv l ON l.trace_id = s.trace_id AND s.ord > l.f),
+car AS (SELECT *, last_value(busy IGNORE NULLS) OVER w AS b, last_value(stopped IGNORE NULLS) OVER w AS st FROM rws WINDOW w AS (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_UP})),
+lim AS (SELECT c.*, k.n FROM car c ASOF JOIN nnn k ON k.trace_id = c.trace_id AND k.ord <= c.ord),
+ppp AS (SELECT trace_id, p, ord, rec_offset, ts, CASE WHEN coalesce(b, 0) > 0 OR coalesce(st, 0) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS util FROM lim WHERE p < n
+  UNION ALL SELECT trace_id, p, ord, rec_offset, ts, util FROM come UNION ALL SELECT trace_id, p, ord, rec_offset, ts, util FROM gone),
+ppe AS (SELECT * FROM ppp UNION ALL
+  SELECT e.trace_id, unnest(range(0, n)), e.o, 0, e.t, 0.0 FROM (SELECT trace_id, max(ord) + 1 AS o, arg_max(ts, struct_pack(o := ord, r := rec_offset)) AS t FROM ev WHERE trace_id IN (SELECT trace_id FROM ppp) GROUP BY trace_id) e
+  JOIN (SELECT trace_id, arg_max(n, struct_pack(o := ord, r := rec_offset)) AS n FROM nnn GROUP BY trace_id) k ON k.trace_id = e.trace_id),
+raw AS (SELECT trace_id || '#' || p AS trace_id, ord, rec_offset, ts AS time, util FROM ppe)"""
 _WINDOWED = f"""stp AS (SELECT trace_id, time, min(util) AS util FROM raw GROUP BY ALL),
 arr AS (SELECT *, coalesce(sum(x) OVER (PARTITION BY trace_id ORDER BY time), 0) AS area FROM (SELECT *, lag(util) OVER v * (time - lag(time) OVER v) AS x FROM stp WINDOW v AS (PARTITION BY trace_id ORDER BY time))),
 spn AS (SELECT trace_id, min(time) AS t0, max(time) AS t1 FROM stp GROUP BY trace_id HAVING max(time) > min(time)),
@@ -438,7 +505,82 @@ ask AS (SELECT trace_id, m.mass * q AS y, q, low FROM (SELECT trace_id, min(util
 hit AS (SELECT a.trace_id, q, arg_min(struct_pack(x := x, c := c, rate := rate, y := y), x) AS f FROM ask a JOIN cum k ON k.trace_id = a.trace_id AND c + dirac >= y * (1 - 1e-12) GROUP BY ALL)
 SELECT a.trace_id, a.q, round(coalesce(CASE WHEN f.c > f.y AND f.rate > 1e-9 THEN f.x - (f.c - f.y) / f.rate ELSE f.x END, low), 6) AS util FROM ask a LEFT JOIN hit h ON h.trace_id = a.trace_id AND h.q = a.q"""
 
+_STEPS_OF = "SELECT trace_id, time, min(util) AS util FROM raw GROUP BY ALL"
+_FOLDED_WINDOWS = _WINDOWED.replace(_STEPS_OF, "SELECT * FROM folded")
+_WORST = f"""rnk AS (SELECT trace_id, t, util, row_number() OVER (PARTITION BY trace_id ORDER BY round(util, 9), t) AS k FROM win WHERE w = {WINDOWS[1]}),
+pck AS (
+  SELECT trace_id, k, [t] AS taken, t AS got, util FROM rnk WHERE k = 1
+  UNION ALL
+  SELECT p.trace_id, r.k, CASE WHEN fits THEN list_append(taken, r.t) ELSE taken END, CASE WHEN fits THEN r.t END, r.util
+  FROM (SELECT p.*, r.t AS rt, r.k AS rk, r.util AS ru, len(list_filter(p.taken, lambda x: abs(x - r.t) < {WINDOWS[1]})) = 0 AS fits FROM pck p JOIN rnk r ON r.trace_id = p.trace_id AND r.k = p.k + 1 WHERE len(p.taken) < 5) p, LATERAL (SELECT p.rt AS t, p.rk AS k, p.ru AS util) r)
+SELECT trace_id, 0 AS series, CAST({WINDOWS[1]} AS BIGINT) AS window, got AS time, round(util, 6) AS util FROM pck WHERE got IS NOT NULL"""
+
+
+def _series_sql(stw=False, sweep=False, assist=False, background=False) -> str:
+    return f"{_RECURSIVE}, {_going_sql(sweep, assist, background)}, {_raw_sql(stw)}, {_FOLDED} SELECT trace_id, 0 AS series, time, util FROM folded"
+
+
+_INHERITED = f"""fst AS (
+  SELECT trace_id, child, f.g AS creator, f.ord AS ord, f.rec_offset AS rec_offset, f.ts AS ts FROM (
+    SELECT trace_id, a0 AS child, arg_min(struct_pack(g := g, ord := ord, rec_offset := rec_offset, ts := ts), struct_pack(o := ord, r := rec_offset)) AS f
+    FROM ev WHERE type_id = {ID['GoCreate']} AND g IS NOT NULL AND a0 IS NOT NULL GROUP BY ALL)),
+opn AS (SELECT f.trace_id, f.child, arg_max(struct_pack(t := r.task_id), r.start_ord) AS top FROM fst f JOIN reg r ON r.trace_id = f.trace_id AND r.g = f.creator AND r.start_ord < f.ord AND (r.end_ord IS NULL OR r.end_ord > f.ord) GROUP BY ALL),
+sht AS (SELECT f.trace_id, f.child, min(struct_pack(o := c.o, r := c.r, t := c.t)) AS shut FROM fst f JOIN (
+    SELECT trace_id, g, end_ord AS o, end_offset AS r, end_ts AS t FROM reg WHERE start_ord IS NULL
+    UNION ALL SELECT trace_id, g, ord, rec_offset, ts FROM ev WHERE type_id = {ID['GoEnd']} AND g IS NOT NULL) c ON c.trace_id = f.trace_id AND c.g = f.child AND (c.o > f.ord OR (c.o = f.ord AND c.r > f.rec_offset)) GROUP BY ALL),
+inh AS (
+  SELECT trace_id, child, top.t AS task FROM opn
+  UNION ALL
+  SELECT f.trace_id, f.child, i.task FROM inh i JOIN fst f ON f.trace_id = i.trace_id AND f.creator = i.child
+    LEFT JOIN opn o ON o.trace_id = f.trace_id AND o.child = f.child LEFT JOIN sht s ON s.trace_id = f.trace_id AND s.child = f.creator
+  WHERE o.child IS NULL AND (s.shut IS NULL OR s.shut.o >= f.ord)),
+tkn AS (
+  SELECT i.trace_id, i.task AS task_id, i.child AS g, NULL::VARCHAR AS name, f.rec_offset AS start_offset, f.ts AS start_ts, f.ord AS start_ord, s.shut.r AS end_offset, s.shut.t AS end_ts, s.shut.o AS end_ord
+  FROM inh i JOIN fst f ON f.trace_id = i.trace_id AND f.child = i.child LEFT JOIN sht s ON s.trace_id = i.trace_id AND s.child = i.child WHERE i.task IS NOT NULL AND i.task <> 0)"""
+
+
+def _pairs_sql(name: str, a: str, b: str) -> str:
+    """Sweeps or mark assists of a goroutine, with the sum of those before and the next one's place."""
+    return f"""{name} AS (SELECT *, coalesce(sum(nts - ts) OVER (PARTITION BY trace_id, g ORDER BY ord {_BEFORE}), 0) AS before FROM (
+  SELECT *, lead(type_id) OVER w AS nt, lead(ts) OVER w AS nts FROM ev WHERE type_id IN ({ID[a]}, {ID[b]}) AND g IS NOT NULL WINDOW w AS (PARTITION BY trace_id, g ORDER BY ord, rec_offset))
+  WHERE type_id = {ID[a]} AND (nt IS NULL OR nt = {ID[b]}))"""
+
+
+_REGION_STATS = f"""{_RECURSIVE}, {_SPANS}, {_WORLD}, {_LIVES}, {_REGIONS}, {_CYCLES}, {_INHERITED},
+{_pairs_sql('swp', 'GcSweepStart', 'GcSweepDone')}, {_pairs_sql('ast', 'GcMarkAssistStart', 'GcMarkAssistDone')},
+evr AS (SELECT * FROM reg r WHERE start_ord IS NOT NULL OR NOT EXISTS (SELECT 1 FROM tkn t WHERE t.trace_id = r.trace_id AND t.g = r.g AND t.end_offset = r.end_offset) UNION ALL SELECT * FROM tkn),
+keyed AS (SELECT evr.*, row_number() OVER () AS id, coalesce(end_ord, wo) AS eord, coalesce(end_ts, w1) AS ets FROM evr JOIN world USING (trace_id)),
+prb AS (SELECT id, trace_id, g, -1 AS sign, start_ord AS po, start_ts AS pt FROM keyed WHERE start_ord IS NOT NULL UNION ALL SELECT id, trace_id, g, 1, eord, ets FROM keyed),
+cum AS (SELECT *, {', '.join(f"coalesce(sum(CASE WHEN counted AND state = '{x}' THEN nts - ts END) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_BEFORE}), 0) AS c_{x}" for x in G.STATES)} FROM spans),
+sp1 AS (SELECT p.*, {', '.join(f"coalesce(s.c_{x} + CASE WHEN s.state = '{x}' THEN p.pt - s.ts ELSE 0 END, 0) AS {x}" for x in G.STATES)} FROM prb p ASOF LEFT JOIN cum s ON s.trace_id = p.trace_id AND s.g = p.g AND s.ord <= p.po),
+sp2 AS (SELECT p.*, coalesce(s.before + least(coalesce(s.nts, p.pt), p.pt) - s.ts, 0) AS sweep FROM sp1 p ASOF LEFT JOIN swp s ON s.trace_id = p.trace_id AND s.g = p.g AND s.ord <= p.po),
+sp3 AS (SELECT p.*, coalesce(s.before + least(coalesce(s.nts, p.pt), p.pt) - s.ts, 0) AS assist FROM sp2 p ASOF LEFT JOIN ast s ON s.trace_id = p.trace_id AND s.g = p.g AND s.ord <= p.po),
+sp4 AS (SELECT p.*, coalesce(p.pt - l.creation_ts, 0) AS total,
+  CASE WHEN l.creation_ts IS NULL THEN 0 ELSE coalesce((SELECT sum(greatest(0, least(coalesce(done_ts, p.pt), p.pt) - c.ts) - greatest(0, least(coalesce(done_ts, l.creation_ts), l.creation_ts) - c.ts)) FROM cycles c WHERE c.trace_id = p.trace_id), 0) END AS gc
+  FROM sp3 p LEFT JOIN lives l ON l.trace_id = p.trace_id AND l.g = p.g),
+dif AS (SELECT id, {', '.join(f'CAST(sum(sign * {x}) AS BIGINT) AS {y}_time' for x, y in [*((s, s) for s in G.STATES), ('gc', 'gc'), ('sweep', 'sweep'), ('assist', 'assist_mark'), ('total', 'total')])} FROM sp4 GROUP BY id)
+SELECT k.trace_id, k.task_id, k.g, k.name, k.start_offset, k.start_ts, k.end_offset, k.end_ts, {', '.join(f'd.{c}' for c in G.TIMES)} FROM keyed k JOIN dif d USING (id)"""
+
+_COUNTED = _in([ID["GoCreate"], *STARTS, ID["GoUnblock"], ID["GoSysExit"], ID["GcStart"], ID["GoWaiting"], ID["GoInSyscall"]])
+
 SQL = {
+    "mu_series_stw": _series_sql(stw=True),
+    "mu_series_sweep": _series_sql(sweep=True),
+    "mu_series_assist": _series_sql(assist=True),
+    "mu_series_background": _series_sql(background=True),
+    "mu_series_per_proc": f"{_RECURSIVE}, {_PER_PROC}, {_FOLDED} SELECT string_split(trace_id, '#')[1] AS trace_id, CAST(string_split(trace_id, '#')[2] AS INTEGER) AS series, time, util FROM folded",
+    "mmu_per_proc": f"{_RECURSIVE}, {_PER_PROC}, {_FOLDED}, {_FOLDED_WINDOWS} SELECT string_split(trace_id, '#')[1] AS trace_id, CAST(w AS BIGINT) AS window, round(min(util), 6) AS mmu FROM win GROUP BY string_split(trace_id, '#')[1], w",
+    "worst_windows": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_FOLDED_WINDOWS}, {_WORST}",
+    "inherited_tasks": f"{_RECURSIVE}, {_REGIONS}, {_INHERITED} SELECT trace_id, g, task_id, start_offset, start_ts, start_ord FROM tkn",
+    "region_stats": _REGION_STATS,
+    "region_frames": f"""{_WITH}, {_REGIONS}, {_STACKS}
+SELECT r.trace_id, r.g, start_offset, row_number() OVER (PARTITION BY r.trace_id, r.g ORDER BY start_ts NULLS FIRST, start_offset NULLS FIRST, end_offset NULLS FIRST) AS place, frames[1].fn AS fn, frames[1].pc AS pc
+FROM reg r LEFT JOIN ev e ON e.trace_id = r.trace_id AND e.rec_offset = r.start_offset LEFT JOIN known k ON k.trace_id = r.trace_id AND k.stack_id = e.stack_id AND k.stack_id <> 0""",
+    "sequence_violations": f"""{_WITH},
+num AS (SELECT ev.trace_id, rec_offset, ord, CASE WHEN type_id IN {_in([ID['GoCreate'], ID['GoUnblock'], ID['GoSysExit']])} THEN a0 WHEN type_id = {ID['GcStart']} THEN -2 ELSE g END AS k,
+  CASE WHEN type_id = {ID['GoCreate']} THEN 0 WHEN type_id IN {_in([ID['GoWaiting'], ID['GoInSyscall']])} THEN 1 WHEN type_id = {ID['GcStart']} THEN a0 WHEN raw_type_id = type_id THEN a1 END AS need
+  FROM ev JOIN (SELECT trace_id, max(version) AS v FROM trace_meta GROUP BY trace_id) m ON m.trace_id = ev.trace_id WHERE v >= 1007 AND type_id IN {_COUNTED})
+SELECT trace_id, rec_offset, 'sequence' AS rule_id FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, k ORDER BY ord, rec_offset) - 1 AS had FROM num WHERE k IS NOT NULL) WHERE need <> had""",
     "mu_series": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED} SELECT trace_id, 0 AS series, time, util FROM folded",
     "mud_quantiles": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_WINDOWED.replace('SELECT trace_id, time, min(util) AS util FROM raw GROUP BY ALL', 'SELECT * FROM folded')}, {_MUD}",
     "event_catalog": f"{_WITH} SELECT type_id, t.type AS type_name, min_version, has_stack, count(*) AS n FROM ev LEFT JOIN event_types t USING (type_id) GROUP BY ALL",
