@@ -12,6 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+EVENT_BITS = 16  # blocks of so many bits of the order of events
+OFFSET_BITS = 20  # of offsets in a file, of which an event takes about ten
+TIME_BITS = 24  # of nanoseconds
 
 def _cut(df: DataFrame, order: Sequence[str], bits: int) -> DataFrame:
     return df.withColumn("_wblock", F.shiftright(F.col(order[0]).cast("bigint"), bits))
@@ -56,6 +59,42 @@ def sum_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Co
     return inner.join(base, [*keys, "_wblock"], "left").withColumn(name, F.coalesce("_win", zero) + F.coalesce("_wbase", zero)).drop("_wblock", "_wv", "_win", "_wbase")
 
 
+def min_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, inclusive: bool = True, bits: int | None = None) -> DataFrame:
+    """``df`` with ``name``: the least ``value`` over the rows up to (or before) each row of the same keys, null where there is none."""
+    frame = Window.unboundedPreceding, 0 if inclusive else -1
+    if bits is None:
+        return df.withColumn(name, F.min(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)))
+    cut = _cut(df, order, bits).withColumn("_wv", value)
+    before = Window.partitionBy(*keys).orderBy("_wblock").rowsBetween(Window.unboundedPreceding, -1)
+    least = cut.groupBy(*keys, "_wblock").agg(F.min("_wv").alias("_wmin")).select(*keys, "_wblock", F.min("_wmin").over(before).alias("_wleast"))
+    inner = cut.withColumn("_win", F.min("_wv").over(Window.partitionBy(*keys, "_wblock").orderBy(*order).rowsBetween(*frame)))
+    return inner.join(least, [*keys, "_wblock"], "left").withColumn(name, F.least("_win", "_wleast")).drop("_wblock", "_wv", "_win", "_wleast")
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], bits: int) -> DataFrame:
+    """``df`` with several running values in one pass over blocks, up to and with each row of the same keys.
+
+    ``values`` gives for each new column ``sum`` (0 where there is nothing), or ``last`` (the last one that is not null, null where there is none)
+    and what to take. ``before`` is ``last`` without the row itself.
+    """
+    cut = _cut(df, order, bits)
+    place = F.struct(*order)
+    names = {name: (kind, cut_name) for cut_name, (name, (kind, _)) in zip((f"_w{i}" for i in range(len(values))), values.items())}
+    cut = cut.select("*", *(value.alias(names[name][1]) for name, (_, value) in values.items()))
+    whole = {"sum": lambda c: F.sum(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place)), "before": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place))}
+    earlier = Window.partitionBy(*keys).orderBy("_wblock").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda kind, c: F.sum(c).over(earlier) if kind == "sum" else F.last(c, ignorenulls=True).over(earlier)
+    blocks = cut.groupBy(*keys, "_wblock").agg(*(whole[kind](c).alias(c) for kind, c in names.values()))
+    carried = blocks.select(*keys, "_wblock", *(ahead(kind, c).alias(f"{c}c") for kind, c in names.values()))
+    here = Window.partitionBy(*keys, "_wblock").orderBy(*order)
+    upto, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    own = lambda kind, c: F.sum(c).over(upto) if kind == "sum" else F.last(c, ignorenulls=True).over(upto if kind == "last" else before)
+    inner = cut.select("*", *(own(kind, c).alias(f"{c}i") for kind, c in names.values()))
+    zero = F.lit(0)
+    made = {name: F.coalesce(f"{c}i", zero) + F.coalesce(f"{c}c", zero) if kind == "sum" else F.coalesce(f"{c}i", f"{c}c") for name, (kind, c) in names.items()}
+    return inner.join(carried, [*keys, "_wblock"], "left").select(*df.columns, *(c.alias(name) for name, c in made.items()))
+
+
 def number_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, bits: int | None = None) -> DataFrame:
     """``df`` with ``name``: 1, 2, 3 ... along ``order`` within the same keys."""
     return sum_over(df, keys, order, F.lit(1).cast("bigint"), name, bits=bits)

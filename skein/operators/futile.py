@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skein.functions.catalog import ID
-from skein.functions.windows import sum_over
+from skein.functions.tables import durable
+from skein.functions.windows import EVENT_BITS, sum_over
 
 _WAKE = ID["GoUnblock"]
 _MARK = ID["FutileWakeup"]
@@ -23,8 +24,8 @@ def futile_marks(ev: DataFrame) -> DataFrame:
     kind = F.col("type_id")
     keys, order = ["trace_id", "_s"], ["ord", "rec_offset"]
     acted = ev.where(kind.isin(_WAKE, *_INNER, *_CLOSE)).select("trace_id", "rec_offset", "ord", "type_id", F.when(kind == _WAKE, F.col("a0")).otherwise(F.col("g")).alias("_s")).where("_s is not null")
-    acted = sum_over(acted, keys, order, kind.isin(*_CLOSE).cast("int"), "_block", inclusive=False)
-    acted = sum_over(acted, [*keys, "_block"], order, (kind == _WAKE).cast("int"), "_wake")
+    acted = sum_over(durable(acted), keys, order, kind.isin(*_CLOSE).cast("int"), "_block", inclusive=False, bits=EVENT_BITS)
+    acted = sum_over(acted, [*keys, "_block"], order, (kind == _WAKE).cast("int"), "_wake", bits=EVENT_BITS)
     whole = acted.groupBy(*keys, "_block").agg(
         F.max_by((kind == _MARK), F.when(kind.isin(*_INNER), F.struct(*order))).alias("_futile"),
         F.max(F.when(kind.isin(*_CLOSE), F.lit(True))).alias("_closed"),

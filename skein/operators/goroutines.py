@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from skein.functions.catalog import ENDS, ID, STARTS, STOPS, SYNC_BLOCKS, YIELDS
 from skein.functions.stepfn import as_of, integral_at
 from skein.functions.tables import durable
-from skein.functions.windows import last_over, lead_over, sum_over
+from skein.functions.windows import EVENT_BITS, TIME_BITS, last_over, lead_over, running, sum_over
 from skein.operators.brackets import match
 from skein.operators.events import latest, world
 from skein.operators.hierarchy import hierarchy
@@ -16,7 +16,6 @@ from skein.operators.linking import subject
 STATES = ("exec", "sched_wait", "io", "block", "syscall")
 PAIRS = {"sweep": (ID["GcSweepStart"], ID["GcSweepDone"]), "assist_mark": (ID["GcMarkAssistStart"], ID["GcMarkAssistDone"])}
 TIMES = (*(f"{s}_time" for s in STATES), "gc_time", "sweep_time", "assist_mark_time", "total_time")
-BLOCK_BITS = 16  # events of a goroutine beyond so many of the trace's order go to another task
 _WAITS = [ID["GoCreate"], *YIELDS, ID["GoUnblock"], ID["GoSysExit"]]
 _SUBJECTS = sorted({*_WAITS, *STARTS, *STOPS})
 
@@ -31,7 +30,7 @@ def state_intervals(ev: DataFrame) -> DataFrame:
     acted = ev.where(F.col("type_id").isin(*_SUBJECTS)).select("trace_id", subject(F.col("type_id"), F.col("g"), F.col("a0")).alias("g"), "ord", "rec_offset", "type_id", "ts", "p").where("g is not null")
     kind = F.col("type_id")
     state = F.when(kind.isin(*STARTS), "exec").when(kind.isin(*_WAITS), "sched_wait").when(kind == ID["GoBlockNet"], "io").when(kind.isin(*SYNC_BLOCKS), "block").when(kind == ID["GoSysBlock"], "syscall")
-    nxt = lead_over(acted, ["trace_id", "g"], ["ord", "rec_offset"], F.struct("type_id", "ts", "rec_offset"), "_next", bits=BLOCK_BITS)
+    nxt = lead_over(acted, ["trace_id", "g"], ["ord", "rec_offset"], F.struct("type_id", "ts", "rec_offset"), "_next", bits=EVENT_BITS)
     then = F.col("_next.type_id")
     fits = F.when(F.col("state") == "exec", then.isin(*STOPS)).when(F.col("state") == "sched_wait", then.isin(*STARTS)).when(F.col("state").isin("io", "block"), then == ID["GoUnblock"]).when(F.col("state") == "syscall", then == ID["GoSysExit"]).otherwise(F.lit(False))
     return nxt.withColumn("state", state).select("trace_id", "g", "ord", "rec_offset", "type_id", "ts", "p", "state", F.col("_next.ts").alias("end_ts"), F.col("_next.rec_offset").alias("end_offset"), F.when(then.isNull() | then.isin(*ENDS), F.col("state").isNotNull()).otherwise(fits).alias("counted"))
@@ -41,7 +40,7 @@ def pair_intervals(ev: DataFrame, what: str) -> DataFrame:
     """``trace_id, g, ord, ts, end_ts``: sweeps or mark assists of each goroutine; stray ends are ignored, open ones have no end."""
     first, last = PAIRS[what]
     some = ev.where(F.col("type_id").isin(first, last) & F.col("g").isNotNull()).select("trace_id", "g", "ord", "rec_offset", "type_id", "ts")
-    nxt = lead_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.struct("type_id", "ts"), "_next")
+    nxt = lead_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.struct("type_id", "ts"), "_next", bits=EVENT_BITS)
     # a start that is followed by another start is overwritten by it
     return nxt.where((F.col("type_id") == first) & (F.col("_next").isNull() | (F.col("_next.type_id") == last))).select("trace_id", "g", "ord", "ts", F.col("_next.ts").alias("end_ts"))
 
@@ -50,7 +49,7 @@ def _stray_ends(ev: DataFrame, what: str) -> DataFrame:
     """What older tools added for ends without a start: the time since the trace began."""
     first, last = PAIRS[what]
     some = ev.where(F.col("type_id").isin(first, last) & F.col("g").isNotNull())
-    was = last_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.col("type_id"), "_was")
+    was = last_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.col("type_id"), "_was", bits=EVENT_BITS)
     lost = was.where((F.col("type_id") == last) & (F.col("_was").isNull() | (F.col("_was") == last)))
     return lost.groupBy("trace_id", "g").agg(F.sum("ts").alias(f"{what}_time"))
 
@@ -104,13 +103,13 @@ def goroutines(ev: DataFrame, stacks: DataFrame | None = None, compat: bool = Fa
         done = gc_cycles(ev).where("done_ts is not null")
         # the last cycle that ended while the goroutine lived
         probes = out.select("trace_id", "g", "creation_ts", upto.alias("time"))
-        last = as_of(done.withColumn("time", F.col("done_ts")), probes, ["trace_id"], "time", F.struct("ts", "done_ts"), "_c")
+        last = as_of(done.withColumn("time", F.col("done_ts")), probes, ["trace_id"], "time", F.struct("ts", "done_ts"), "_c", bits=TIME_BITS)
         spent = last.select("trace_id", "g", F.coalesce(F.when(F.col("_c.done_ts") >= F.col("creation_ts"), F.col("_c.done_ts") - F.greatest("_c.ts", "creation_ts")), F.lit(0)).alias("gc_time"))
         out = out.join(spent, ["trace_id", "g"], "left")
     else:
         points = _gc_points(ev)
         probes = out.select("trace_id", "g", F.col("creation_ts").alias("time"), F.lit(-1).alias("_sign")).unionByName(out.select("trace_id", "g", upto.alias("time"), F.lit(1).alias("_sign")))
-        spent = integral_at(points, probes, ["trace_id"], "time", "running", "_area").groupBy("trace_id", "g").agg(F.sum(F.col("_sign") * F.col("_area")).alias("gc_time"))
+        spent = integral_at(points, probes, ["trace_id"], "time", "running", "_area", TIME_BITS).groupBy("trace_id", "g").agg(F.sum(F.col("_sign") * F.col("_area")).alias("gc_time"))
         out = out.join(spent, ["trace_id", "g"], "left")
     if stacks is not None:
         top = latest(stacks, "stack_id", "frames").select("trace_id", F.col("stack_id").alias("create_stack"), F.try_element_at("frames", F.lit(1)).alias("_top"))
@@ -131,7 +130,7 @@ def user_regions(ev: DataFrame) -> DataFrame:
     """
     end = ID["GoEnd"]
     marks = ev.where(F.col("g").isNotNull() & ((F.col("type_id") == end) | ((F.col("type_id") == ID["UserRegion"]) & F.col("a1").isin(0, 1))))
-    marks = sum_over(marks, ["trace_id", "g"], ["ord", "rec_offset"], (F.col("type_id") == end).cast("int"), "_life", inclusive=False)
+    marks = sum_over(marks, ["trace_id", "g"], ["ord", "rec_offset"], (F.col("type_id") == end).cast("int"), "_life", inclusive=False, bits=EVENT_BITS)
     ends = marks.where(F.col("type_id") == end).groupBy("trace_id", "g", "_life").agg(F.min(F.struct("ord", F.col("rec_offset").alias("rec_offset"), "ts")).alias("_end"))
     keys = ["trace_id", "g", "_life"]
     matched = match(marks.where(F.col("type_id") != end), keys, ["ord", "rec_offset", "ts"], F.col("a1") == 0).join(ends, keys, "left")
@@ -170,7 +169,7 @@ def _inherited(ev: DataFrame, own: DataFrame) -> DataFrame:
     top = Window.partitionBy("trace_id", "g", "level").orderBy("ord", "_on").rowsBetween(Window.unboundedPreceding, 0)
     tops = marks.withColumn("_top", F.when(F.col("level") > 0, F.last(F.when(F.col("_on"), F.struct("_task")), ignorenulls=True).over(top))).groupBy("trace_id", "g", "ord").agg(F.min_by("_top", "level").alias("_top"), F.min("level").alias("level"))
     made = ev.where((F.col("type_id") == ID["GoCreate"]) & F.col("g").isNotNull() & F.col("a0").isNotNull()).select("trace_id", "g", F.col("a0").alias("child"), "ord", "rec_offset", "ts")
-    seen = as_of(tops, made, ["trace_id", "g"], "ord", F.struct("level", "_top"), "_at", strict=True)
+    seen = as_of(tops, made, ["trace_id", "g"], "ord", F.struct("level", "_top"), "_at", strict=True, bits=EVENT_BITS)
     first = durable(seen.groupBy("trace_id", "child").agg(F.min_by(F.struct(F.col("g"), F.col("ord"), F.col("rec_offset"), F.col("ts"), F.col("_at")), F.struct("ord", "rec_offset")).alias("x")))
     strays = own.where("start_ord is null").select("trace_id", "g", F.struct(F.col("end_ord").alias("ord"), F.col("end_offset").alias("rec_offset"), F.col("end_ts").alias("ts")).alias("_shut"))
     closes = strays.unionByName(ev.where((F.col("type_id") == ID["GoEnd"]) & F.col("g").isNotNull()).select("trace_id", "g", F.struct("ord", "rec_offset", "ts").alias("_shut")))
@@ -208,22 +207,29 @@ def snapshots(ev: DataFrame, probes: DataFrame) -> DataFrame:
     The open part of a state counts, whatever ends it later. Times of goroutines without GoCreate are 0.
     """
     spans = state_intervals(ev).withColumn("_d", F.when(F.col("counted"), F.col("end_ts") - F.col("ts")))
-    before = Window.partitionBy("trace_id", "g").orderBy("ord", "rec_offset").rowsBetween(Window.unboundedPreceding, -1)
-    held = spans.select("trace_id", "g", "ord", F.struct(F.col("ts"), F.col("state"), *(F.coalesce(F.sum(F.when(F.col("state") == s, F.col("_d"))).over(before), F.lit(0)).alias(s) for s in STATES)).alias("_s"))
-    got = as_of(held, probes, ["trace_id", "g"], "ord", F.col("_s"), "_s")
-    for s in STATES:
-        got = got.withColumn(f"{s}_time", F.coalesce(F.col(f"_s.{s}") + F.when(F.col("_s.state") == s, F.col("ts") - F.col("_s.ts")).otherwise(0), F.lit(0)))
-    got = got.drop("_s")
+    # states, sweeps, assists and probes of a goroutine in one order, so that one pass over its blocks sees them all
+    none = F.lit(None)
+    held = {"_state": F.struct("ts", "state", "_d"), **{f"_{w}": none.cast("struct<ts:bigint,end_ts:bigint>") for w in PAIRS}}
+    rows = spans.select("trace_id", "g", "ord", F.lit(0).alias("_side"), *(v.alias(k) for k, v in held.items()))
     for what in PAIRS:
-        pairs = pair_intervals(ev, what).withColumn("_before", F.coalesce(F.sum(F.col("end_ts") - F.col("ts")).over(Window.partitionBy("trace_id", "g").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        got = as_of(pairs.select("trace_id", "g", "ord", F.struct("ts", "end_ts", "_before").alias("_x")), got, ["trace_id", "g"], "ord", F.col("_x"), "_x")
-        open_ = F.least(F.coalesce("_x.end_ts", "ts"), F.col("ts")) - F.col("_x.ts")
-        got = got.withColumn(f"{what}_time", F.coalesce(F.col("_x._before") + open_, F.lit(0))).drop("_x")
+        pair = {"_state": none.cast("struct<ts:bigint,state:string,_d:bigint>"), **{f"_{w}": F.struct("ts", "end_ts") if w == what else none.cast("struct<ts:bigint,end_ts:bigint>") for w in PAIRS}}
+        rows = rows.unionByName(pair_intervals(ev, what).select("trace_id", "g", "ord", F.lit(0).alias("_side"), *(v.alias(k) for k, v in pair.items())))
+    merged = durable(rows.unionByName(probes.withColumn("_side", F.lit(1)), allowMissingColumns=True))
+    last = {f"_l{k}": ("last", F.col(k)) for k in held}
+    sums = {f"{s}_time": ("sum", F.when(F.col("_state.state") == s, F.col("_state._d"))) for s in STATES} | {f"{w}_time": ("sum", F.col(f"_{w}.end_ts") - F.col(f"_{w}.ts")) for w in PAIRS}
+    got = running(merged, ["trace_id", "g"], ["ord", "_side"], last | sums, EVENT_BITS).where("_side = 1")
+    zero = F.lit(0)
+    for s in STATES:  # the last state counts as far as the probe
+        got = got.withColumn(f"{s}_time", F.col(f"{s}_time") + F.when(F.col("_l_state.state") == s, F.col("ts") - F.col("_l_state.ts") - F.coalesce("_l_state._d", zero)).otherwise(zero))
+    for w in PAIRS:
+        whole, upto = F.col(f"_l_{w}.end_ts") - F.col(f"_l_{w}.ts"), F.least(F.coalesce(f"_l_{w}.end_ts", "ts"), F.col("ts")) - F.col(f"_l_{w}.ts")
+        got = got.withColumn(f"{w}_time", F.col(f"{w}_time") + F.coalesce(upto - F.coalesce(whole, zero), zero))
+    got = got.select(*probes.columns, *sums)
+    points = durable(_gc_points(ev))
     born = lifetimes(ev).select("trace_id", "g", F.col("creation_ts").alias("_born"))
+    born = integral_at(points, born.withColumn("time", F.col("_born")), ["trace_id"], "time", "running", "_then", TIME_BITS).select("trace_id", "g", "_born", "_then")
+    got = integral_at(points, got.withColumn("time", F.col("ts")), ["trace_id"], "time", "running", "_now", TIME_BITS).drop("time")
     got = got.join(born, ["trace_id", "g"], "left")
-    points = _gc_points(ev)
-    got = integral_at(points, got.withColumn("time", F.col("ts")), ["trace_id"], "time", "running", "_now").drop("time")
-    got = integral_at(points, got.withColumn("time", F.col("_born")), ["trace_id"], "time", "running", "_then").drop("time")
     got = got.withColumn("gc_time", F.when(F.col("_born").isNotNull(), F.col("_now") - F.col("_then")).otherwise(0)).withColumn("total_time", F.coalesce(F.col("ts") - F.col("_born"), F.lit(0)))
     return got.drop("_now", "_then", "_born")
 

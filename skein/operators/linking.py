@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from skein.functions.catalog import ENDS, ID, SILENT_BLOCKS, STARTS, STOPS, SYNC_BLOCKS, TIMER_P, YIELDS
-from skein.functions.windows import last_over, lead_over
+from skein.functions.tables import durable
+from skein.functions.windows import EVENT_BITS, last_over, lead_over
 from skein.operators.brackets import match
 
 BLOCKS = sorted([*SYNC_BLOCKS, *SILENT_BLOCKS, ID["GoBlockNet"]])
@@ -27,8 +28,8 @@ def _pairs(ev: DataFrame, kind: str, keys: list[str], types: list[int], allowed:
     """Links of one kind: an event to the next one of the same keys among ``types``, where the pair of types is allowed."""
     some = ev.where(F.col("type_id").isin(*types))
     some = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, some)
-    # a goroutine may have a large share of all events; collector, sweep and task events are few per key
-    bits = 16 if kind in ("run", "wake") else None
+    # a goroutine or processor may have a large share of all events; cycles and stops of the world are few
+    bits = None if kind in ("gc", "stw") else EVENT_BITS
     nxt = lead_over(some, keys, ["ord", "rec_offset"], F.struct("type_id", "rec_offset", "ts", "g"), "_next", bits=bits)
     fits = reduce(lambda c, ab: c | (F.col("type_id").isin(*ab[0]) & F.col("_next.type_id").isin(*ab[1])), allowed, F.lit(False))
     return nxt.where(fits).select("trace_id", "rec_offset", F.lit(kind).alias("kind"), F.col("_next.rec_offset").alias("link_offset"), F.col("_next.ts").alias("link_ts"), F.col("_next.g").alias("link_g"))
@@ -70,7 +71,8 @@ def links(ev: DataFrame, meta: DataFrame) -> DataFrame:
 def netpoll_unblocks(ev: DataFrame) -> DataFrame:
     """``trace_id, rec_offset``: unblocks, not by timers, of goroutines that were blocked on the network."""
     acted = ev.withColumn("_s", subject(F.col("type_id"), F.col("g"), F.col("a0"))).where(F.col("type_id").isin(*BLOCKS, ID["GoUnblock"], ID["GoWaiting"]) & F.col("_s").isNotNull())
-    was = last_over(acted, ["trace_id", "_s"], ["ord", "rec_offset"], F.col("type_id"), "_was")
+    acted = durable(acted.select("trace_id", "_s", "ord", "rec_offset", "type_id", "p"))
+    was = last_over(acted, ["trace_id", "_s"], ["ord", "rec_offset"], F.col("type_id"), "_was", bits=EVENT_BITS)
     return was.where((F.col("type_id") == ID["GoUnblock"]) & (F.col("_was") == ID["GoBlockNet"]) & F.coalesce(F.col("p") != TIMER_P, F.lit(True))).select("trace_id", "rec_offset")
 
 
@@ -101,7 +103,8 @@ def state_violations(ev: DataFrame) -> DataFrame:
         here = F.col("type_id").isin(*types)
         need, leave = F.when(here, before).otherwise(need), F.when(here, after).otherwise(leave)
     acted = ev.where(F.col("type_id").isin(*(t for types, *_ in table for t in types))).withColumn("subject", subject(F.col("type_id"), F.col("g"), F.col("a0"))).where("subject is not null")
-    was = last_over(acted, ["trace_id", "subject"], ["ord", "rec_offset"], leave, "_was")
+    acted = durable(acted.select("trace_id", "subject", "ord", "rec_offset", "type_id"))
+    was = last_over(acted, ["trace_id", "subject"], ["ord", "rec_offset"], leave, "_was", bits=EVENT_BITS)
     start = F.when(F.col("subject") == 0, RUNNING).otherwise(DEAD)
     was = was.withColumn("_was", F.coalesce("_was", start)).withColumn("_need", need)
     return was.where("_was <> _need").select("trace_id", "rec_offset", F.lit("state").alias("rule_id"), F.concat(F.lit("goroutine is "), "_was", F.lit(", not "), "_need").alias("message"))
@@ -124,7 +127,7 @@ def bracket_violations(ev: DataFrame, meta: DataFrame) -> DataFrame:
     for rule, keys, opens, closes, strict in plans:
         of = _world_stops(ev, meta) if rule == "stw" else ev
         some = reduce(lambda d, k: d.where(F.col(k).isNotNull()), keys, of.where(F.col("type_id").isin(opens, closes)))
-        was = last_over(some, keys, ["ord", "rec_offset"], F.col("type_id"), "_was")
+        was = last_over(some, keys, ["ord", "rec_offset"], F.col("type_id"), "_was", bits=EVENT_BITS)
         open_, nested = F.col("_was") == opens, F.col("type_id") == opens
         bad = F.when(nested & open_, "started twice")
         if strict:
@@ -142,7 +145,8 @@ def processor_violations(ev: DataFrame) -> DataFrame:
     kind = F.col("type_id")
     needs = [ID["GoCreate"], ID["GoSysCall"], ID["GoUnblock"], *STOPS]
     some = ev.where(kind.isin(*needs, *STARTS, ID["ProcStop"]) & F.col("p").isNotNull() & F.col("g").isNotNull() & (F.col("p") < TIMER_P - 1))
-    was = last_over(some, ["trace_id", "p"], ["ord", "rec_offset"], F.when(kind.isin(*STARTS), F.col("g")).when(kind.isin(*STOPS), F.lit(0)), "_was").withColumn("_was", F.coalesce("_was", F.lit(0)))
+    some = durable(some.select("trace_id", "p", "g", "ord", "rec_offset", "type_id"))
+    was = last_over(some, ["trace_id", "p"], ["ord", "rec_offset"], F.when(kind.isin(*STARTS), F.col("g")).when(kind.isin(*STOPS), F.lit(0)), "_was", bits=EVENT_BITS).withColumn("_was", F.coalesce("_was", F.lit(0)))
     bad = (
         F.when((kind.isin(*STARTS) | (kind == ID["ProcStop"])) & (F.col("_was") != 0), "processor is busy")
         .when(kind.isin(*needs) & (F.col("_was") != F.col("g")), "goroutine does not run here")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skein.functions.tables import durable
 from skein.functions.stepfn import as_of, prefix_integral
+from skein.functions.windows import TIME_BITS
 
 NEAR = 1e-5
 _KEYS = ["trace_id", "series"]
@@ -25,16 +26,16 @@ def windowed(series: DataFrame, windows: Sequence[int]) -> DataFrame:
     ``window`` is the wanted length; a longer one than the series is cut to it. Lengths of 0 or less and series without duration
     give no rows.
     """
-    summed = durable(prefix_integral(series.select(*_KEYS, "time", "util"), _KEYS, "time", "util"))  # read four times
+    summed = durable(prefix_integral(series.select(*_KEYS, "time", "util"), _KEYS, "time", "util", TIME_BITS))  # read four times
     bounds = summed.groupBy(*_KEYS).agg(F.min("time").alias("_t0"), F.max("time").alias("_t1")).where("_t1 > _t0")
     lengths = F.array(*(F.lit(int(w)).cast("bigint") for w in windows if w > 0)) if any(w > 0 for w in windows) else F.array().cast("array<bigint>")
     spans = bounds.select(*_KEYS, "_t0", "_t1", F.explode(lengths).alias("window")).withColumn("_w", F.least("window", F.col("_t1") - F.col("_t0")))
     knots = summed.select(*_KEYS, "time").join(spans, _KEYS).select(*_KEYS, "window", "_w", "_t0", "_t1", F.explode(F.array(F.col("time"), F.col("time") - F.col("_w"), F.col("_t0"), F.col("_t1") - F.col("_w"))).alias("time"))
     knots = knots.where("time >= _t0 and time <= _t1 - _w").select(*_KEYS, "window", "_w", "time").distinct()
     at = F.struct(F.col("time").alias("t"), F.col("util").alias("u"), F.col("area").alias("a"))
-    low = as_of(summed, knots, _KEYS, "time", at, "_lo")
+    low = as_of(summed, knots, _KEYS, "time", at, "_lo", bits=TIME_BITS)
     low = low.withColumn("_f0", F.col("_lo.a") + F.col("_lo.u") * (F.col("time") - F.col("_lo.t"))).drop("_lo").withColumnRenamed("time", "_start")
-    high = as_of(summed, low.withColumn("time", F.col("_start") + F.col("_w")), _KEYS, "time", at, "_hi")
+    high = as_of(summed, low.withColumn("time", F.col("_start") + F.col("_w")), _KEYS, "time", at, "_hi", bits=TIME_BITS)
     f1 = F.col("_hi.a") + F.col("_hi.u") * (F.col("time") - F.col("_hi.t"))
     return high.select(*_KEYS, "window", F.col("_start").alias("time"), ((f1 - F.col("_f0")) / F.col("_w")).alias("util"))
 

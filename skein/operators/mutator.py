@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from skein.functions.catalog import ID, STARTS, STOPS
 from skein.functions.stepfn import as_of
-from skein.functions.windows import last_over, sum_over
+from skein.functions.tables import durable
+from skein.functions.windows import EVENT_BITS, running, sum_over
 
 TOLERANCE = 1e-5
 _ORDER = ["ord", "rec_offset"]
@@ -28,17 +29,18 @@ def contributions(ev: DataFrame, background: bool = True, assist: bool = True, s
     going = None
     if assist or background:
         types = [*STARTS, *STOPS, ID["GcMarkAssistStart"], ID["GcMarkAssistDone"]]
-        going = ev.where(F.col("type_id").isin(*types) & F.col("g").isNotNull())
+        going = durable(ev.where(F.col("type_id").isin(*types) & F.col("g").isNotNull()).select("trace_id", "g", "ord", "rec_offset", "type_id", "ts", "p", "string_args"))
         begins = F.col("type_id").isin(*STARTS)
         over = F.col("type_id").isin(*STOPS)
-        going = last_over(going, ["trace_id", "g"], _ORDER, F.when(begins, F.struct(F.lit(True).alias("on"), "p", F.try_element_at("string_args", F.lit(1)).alias("label"), "type_id")).when(over, F.struct(F.lit(False).alias("on"), "p", F.lit(None).cast("string").alias("label"), "type_id")), "_run")
-    if assist:
         step = F.when(F.col("type_id") == ID["GcMarkAssistStart"], 1).when(F.col("type_id") == ID["GcMarkAssistDone"], -1)
-        depth = sum_over(going, ["trace_id", "g"], _ORDER, step, "_depth", inclusive=False)
+        run = F.when(begins, F.struct(F.lit(True).alias("on"), "p", F.try_element_at("string_args", F.lit(1)).alias("label"), "type_id")).when(over, F.struct(F.lit(False).alias("on"), "p", F.lit(None).cast("string").alias("label"), "type_id"))
+        going = running(going, ["trace_id", "g"], _ORDER, {"_run": ("before", run), "_depth": ("sum", step)}, EVENT_BITS)
+        going = going.withColumn("_depth", F.col("_depth") - F.coalesce(step, F.lit(0)))
+    if assist:
         d = step
         d = F.when(begins & (F.col("_depth") > 0), 1).when(over & (F.col("_depth") > 0) & F.col("_run.on"), -1).otherwise(d)
         at = F.when(over, F.col("_run.p")).otherwise(F.col("p"))
-        parts.append(depth.withColumn("d", d).withColumn("p", at))
+        parts.append(going.withColumn("d", d).withColumn("p", at))
     if background:
         idle = ["GC (idle)", "GC (dedicated)"] if per_proc else ["GC (idle)"]
         label = F.try_element_at("string_args", F.lit(1))
@@ -62,12 +64,14 @@ def _busy(ev: DataFrame, deltas: DataFrame) -> DataFrame:
     procs = ev.where(F.col("type_id") == ID["Gomaxprocs"]).select("trace_id", "ord", "rec_offset", "ts", F.col("a0").alias("_n"))
     cut = procs.withColumn("_was", F.lag("_n").over(Window.partitionBy("trace_id").orderBy(*_ORDER))).where("_n < _was")
     lost = cut.select("trace_id", "ord", "rec_offset", "ts", F.explode(F.sequence(F.col("_n").cast("int"), (F.col("_was") - 1).cast("int"))).alias("p"), F.lit(0).alias("d"), F.lit(1).alias("_reset"))
-    every = deltas.withColumn("_reset", F.lit(0)).unionByName(lost)
-    every = sum_over(every, ["trace_id", "p"], _ORDER, F.col("_reset"), "_epoch")
-    count = sum_over(every, ["trace_id", "p", "_epoch"], _ORDER, F.col("d"), "_count")
-    busy = count.withColumn("busy", (F.col("_count") > 0).cast("int"))
-    was = F.coalesce(F.lag("busy").over(Window.partitionBy("trace_id", "p").orderBy(*_ORDER)), F.lit(0))
-    return busy.withColumn("change", F.col("busy") - was).select("trace_id", "p", "ord", "rec_offset", "ts", "busy", "change")
+    every = durable(deltas.withColumn("_reset", F.lit(0)).unionByName(lost))
+    keys, cleared = ["trace_id", "p"], F.when(F.col("_reset") == 1, F.col("_sum"))
+    summed = sum_over(every, keys, _ORDER, F.col("d"), "_sum", bits=EVENT_BITS)
+    # what a processor did before its last reset does not count, for the row itself and for the one before it
+    count = running(summed, keys, _ORDER, {"_base": ("last", cleared), "_old": ("before", cleared)}, EVENT_BITS)
+    busy = lambda total, base: (total - F.coalesce(base, F.lit(0)) > 0).cast("int")
+    count = count.withColumn("busy", busy(F.col("_sum"), "_base"))
+    return count.withColumn("change", F.col("busy") - busy(F.col("_sum") - F.col("d"), "_old")).select("trace_id", "p", "ord", "rec_offset", "ts", "busy", "change")
 
 
 def _trace_state(ev: DataFrame, stw: bool) -> DataFrame:
@@ -89,9 +93,7 @@ def raw_utilisation(ev: DataFrame, stw: bool = True, background: bool = True, as
     none = F.lit(None)
     merged = busy.select("trace_id", "ord", "rec_offset", "ts", "change", F.lit(0).alias("stw"), none.cast("bigint").alias("procs")).unionByName(state.withColumn("change", F.lit(0).cast("bigint")).select("trace_id", "ord", "rec_offset", "ts", "change", "stw", "procs"))
     merged = merged.groupBy("trace_id", "ord", "rec_offset", "ts").agg(F.sum("change").alias("change"), F.sum("stw").alias("stw"), F.max("procs").alias("procs"))
-    run = sum_over(merged, ["trace_id"], _ORDER, F.col("change"), "busy")
-    run = sum_over(run, ["trace_id"], _ORDER, F.col("stw"), "stopped")
-    run = last_over(run, ["trace_id"], _ORDER, F.col("procs"), "n", inclusive=True).where("n > 0")
+    run = running(durable(merged), ["trace_id"], _ORDER, {"busy": ("sum", F.col("change")), "stopped": ("sum", F.col("stw")), "n": ("last", F.col("procs"))}, EVENT_BITS).where("n > 0")
     util = 1.0 - F.when(F.col("stopped") > 0, F.col("n")).otherwise(F.col("busy")) / F.col("n")
     points = run.select("trace_id", "ord", "rec_offset", F.col("ts").alias("time"), util.alias("util"))
     return points.unionByName(_end_marks(ev, points))
@@ -116,9 +118,8 @@ def raw_utilisation_per_proc(ev: DataFrame, stw: bool = True, background: bool =
     stopped = sum_over(state.where("stw <> 0"), ["trace_id"], _ORDER, F.col("stw"), "stopped") if stw else state.where("false").withColumn("stopped", F.lit(0))
     spread = stopped.select("trace_id", "ord", "rec_offset", "ts", "stopped").join(lives.select("trace_id", "p", "_from"), "trace_id").where("ord > _from")
     rows = busy.select("trace_id", "p", "ord", "rec_offset", "ts", F.col("busy"), F.lit(None).cast("bigint").alias("stopped")).unionByName(spread.select("trace_id", "p", "ord", "rec_offset", "ts", F.lit(None).cast("int").alias("busy"), F.col("stopped").cast("bigint")))
-    rows = last_over(rows, ["trace_id", "p"], _ORDER, F.col("busy"), "_b", inclusive=True)
-    rows = last_over(rows, ["trace_id", "p"], _ORDER, F.col("stopped"), "_s", inclusive=True)
-    procs = as_of(n, rows, ["trace_id"], "ord", F.col("procs"), "_n").where("p < _n")
+    rows = running(durable(rows), ["trace_id", "p"], _ORDER, {"_b": ("last", F.col("busy")), "_s": ("last", F.col("stopped"))}, EVENT_BITS)
+    procs = as_of(n, rows, ["trace_id"], "ord", F.col("procs"), "_n", bits=EVENT_BITS).where("p < _n")
     util = F.when((F.coalesce("_b", F.lit(0)) > 0) | (F.coalesce("_s", F.lit(0)) > 0), 0.0).otherwise(1.0)
     points = procs.select("trace_id", "p", "ord", "rec_offset", F.col("ts").alias("time"), util.alias("util")).unionByName(added).unionByName(dropped)
     last = n.groupBy("trace_id").agg(F.max_by("procs", F.struct(*_ORDER)).alias("_n"))

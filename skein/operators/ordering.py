@@ -7,11 +7,11 @@ the states and sequence numbers of their goroutines allow. Older traces carry a
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from skein.functions.catalog import ID, STARTS
 from skein.functions.tables import durable
-from skein.functions.windows import last_over, number_over
+from skein.functions.windows import EVENT_BITS, OFFSET_BITS, last_over, number_over, sum_over
 from skein.operators.linking import BLOCKS, YIELDS
 
 # Input-only types and what they stand for.
@@ -110,7 +110,8 @@ def ordered(ev: DataFrame) -> DataFrame:
 
 def order_violations(ev: DataFrame, keys: tuple[str, ...] = ("trace_id",), order: tuple[str, ...] = ("ord", "rec_offset")) -> DataFrame:
     """``trace_id, rec_offset, rule_id, message``: events earlier than the one before them in the given order."""
-    was = last_over(ev.where("ts is not null"), list(keys), list(order), F.struct("ts"), "_was")
+    timed = durable(ev.where("ts is not null").select(*keys, *order, *({"rec_offset", "trace_id"} - {*keys, *order}), "ts"))
+    was = last_over(timed, list(keys), list(order), F.struct("ts"), "_was", bits=EVENT_BITS if order[0] == "ord" else OFFSET_BITS)
     return was.where(F.col("ts") < F.col("_was.ts")).select("trace_id", "rec_offset", F.lit("time order").alias("rule_id"), F.lit("time stamps out of order").alias("message"))
 
 
@@ -125,7 +126,8 @@ def sequence_violations(ev: DataFrame) -> DataFrame:
     counted = kind.isin(ID["GoCreate"], *STARTS, ID["GoUnblock"], ID["GoSysExit"], ID["GcStart"]) | found
     numbered = _with_subject(ev.where((F.col("version") >= 1007) & counted)).where("subject is not null")
     need = F.when(kind == ID["GoCreate"], 0).when(found, 1).otherwise(F.col("seq_no"))
-    got = number_over(numbered, ["trace_id", "subject"], ["ord", "rec_offset"], "_n")
+    numbered = durable(numbered.select("trace_id", "subject", "ord", "rec_offset", "type_id", "raw_type_id", "seq_no"))
+    got = number_over(numbered, ["trace_id", "subject"], ["ord", "rec_offset"], "_n", bits=EVENT_BITS)
     return got.where(need != F.col("_n") - 1).select("trace_id", "rec_offset", F.lit("sequence").alias("rule_id"), F.lit("no consistent ordering of events possible").alias("message"))
 
 
@@ -137,7 +139,8 @@ def exit_repair(ev: DataFrame) -> DataFrame:
     """
     kind = F.col("type_id")
     some = ev.where(kind.isin(ID["GoSysBlock"], ID["GoInSyscall"], ID["GoSysExit"]) & F.col("g").isNotNull())
-    was = last_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.when(kind.isin(ID["GoSysBlock"], ID["GoInSyscall"]), F.col("ts")), "blocked_ts").where(kind == ID["GoSysExit"])
+    some = durable(some.select("trace_id", "g", "ord", "rec_offset", "type_id", "ts", "a2"))
+    was = last_over(some, ["trace_id", "g"], ["ord", "rec_offset"], F.when(kind.isin(ID["GoSysBlock"], ID["GoInSyscall"]), F.col("ts")), "blocked_ts", bits=EVENT_BITS).where(kind == ID["GoSysExit"])
     real = F.when(F.col("a2") != 0, F.col("a2")).otherwise(F.col("ts"))
     rule = F.when(F.col("blocked_ts").isNull(), "stray exit").when(real < F.col("blocked_ts"), "exit before block")
     return was.select("trace_id", "rec_offset", "ts", "blocked_ts", real.alias("repaired_ts"), rule.alias("rule_id"))
@@ -145,6 +148,7 @@ def exit_repair(ev: DataFrame) -> DataFrame:
 
 def sequence_numbers(ev: DataFrame) -> DataFrame:
     """``trace_id, p, rec_offset, delta, restored``: times as differences along a processor, and restored by running sums."""
-    w = Window.partitionBy("trace_id", "p").orderBy("ord", "rec_offset")
-    delta = F.col("ts") - F.coalesce(F.lag("ts").over(w), F.lit(0))
-    return ev.where("p is not null").withColumn("delta", delta).withColumn("restored", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("trace_id", "p", "rec_offset", "delta", "restored")
+    keys, order = ["trace_id", "p"], ["ord", "rec_offset"]
+    was = last_over(durable(ev.where("p is not null").select(*keys, *order, "ts")), keys, order, F.col("ts"), "_before", bits=EVENT_BITS)
+    restored = sum_over(was.withColumn("delta", F.col("ts") - F.coalesce("_before", F.lit(0))), keys, order, F.col("delta"), "restored", bits=EVENT_BITS)
+    return restored.select("trace_id", "p", "rec_offset", "delta", "restored")

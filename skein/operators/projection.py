@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from skein.functions.catalog import ENDS, ID, STARTS, TYPES, YIELDS
-from skein.functions.windows import last_over, sum_over
+from skein.functions.windows import EVENT_BITS, OFFSET_BITS, last_over, sum_over
 from skein.operators.linking import BLOCKS
 from skein.operators.ordering import renamed
 
@@ -52,7 +52,7 @@ def running_goroutine(ev: DataFrame, order: list[str], name: str) -> DataFrame:
     begins = kind.isin(*STARTS)
     named = kind.isin(ID["GoSysExit"], ID["GoWaiting"], ID["GoInSyscall"])
     world = kind.isin(ID["GcStart"], ID["GcDone"], ID["GcStwStart"], ID["GcStwDone"])
-    ev = last_over(ev, ["trace_id", "p"], order, F.when(begins, F.col("a0")).when(kind.isin(*_CLEARS), F.lit(0)), "_run")
+    ev = last_over(ev, ["trace_id", "p"], order, F.when(begins, F.col("a0")).when(kind.isin(*_CLEARS), F.lit(0)), "_run", bits=EVENT_BITS if order[0] == "ord" else OFFSET_BITS)
     return ev.withColumn(name, F.when(begins | named, F.col("a0")).when(world, 0).otherwise(F.coalesce("_run", F.lit(0)))).drop("_run")
 
 
@@ -65,7 +65,7 @@ def project(raw: DataFrame) -> DataFrame:
     """
     batch = F.col("type_id") == ID["Batch"]
     rows = raw.where("type_id is not null").where(batch | ~F.col("type_id").isin(*_META))
-    rows = sum_over(rows, ["trace_id"], ["rec_offset"], batch.cast("int"), "_batch")
+    rows = sum_over(rows, ["trace_id"], ["rec_offset"], batch.cast("int"), "_batch", bits=OFFSET_BITS)
     old = F.col("version") < 1007
     heads = rows.where(batch).select("trace_id", "_batch", F.col("args")[0].cast("int").alias("p"), F.when(old, F.try_element_at("args", F.lit(3))).otherwise(F.col("args")[1]).alias("_ts"), F.when(old, F.col("args")[1]).alias("_seq"))
     ev = rows.where(~batch)

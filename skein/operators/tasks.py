@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions.catalog import GC_P, ID
 from skein.functions.scalars import overlap
+from skein.functions.spans import points_in_spans
 from skein.functions.tables import durable
 from skein.operators.events import world
 from skein.operators.hierarchy import all_descendants as hierarchy_descendants, closure, hierarchy
@@ -53,11 +54,16 @@ def tasks(ev: DataFrame, regions: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _bounded(regions: DataFrame, ev: DataFrame) -> DataFrame:
+    """Regions of tasks with ``from_ts`` and ``to_ts``, open ends at the trace's bounds."""
+    own = regions.where("task_id is not null and task_id <> 0").join(world(ev), "trace_id")
+    return own.withColumn("from_ts", F.coalesce("start_ts", "world_start")).withColumn("to_ts", F.coalesce("end_ts", "world_end")).drop("world_start", "world_end")
+
+
 def task_regions(regions: DataFrame, ev: DataFrame) -> DataFrame:
     """Regions of tasks with ``from_ts`` and ``to_ts`` (open ends at the trace's bounds) and their ``place`` in the task's order."""
-    bounded = regions.where("task_id is not null and task_id <> 0").join(world(ev), "trace_id").withColumn("from_ts", F.coalesce("start_ts", "world_start")).withColumn("to_ts", F.coalesce("end_ts", "world_end")).drop("world_start", "world_end")
     place = F.row_number().over(Window.partitionBy("trace_id", "task_id").orderBy("from_ts", "to_ts", F.coalesce("start_offset", F.lit(-1)), F.coalesce("end_offset", F.lit(-1))))
-    return bounded.withColumn("place", place)
+    return _bounded(regions, ev).withColumn("place", place)
 
 
 def descendants(task_table: DataFrame) -> DataFrame:
@@ -76,14 +82,23 @@ def overlapping_instants(ev: DataFrame, task_table: DataFrame, regions: DataFram
     User annotations count for their own task only. Collector events count while a task lives; other events must fall into a
     region of the task on the same goroutine, closed at both ends.
     """
-    spans = task_regions(regions, ev).select("trace_id", "g", "task_id", "from_ts", "to_ts")
-    lives = task_table.select("trace_id", "task_id", "first_ts", "end_or_world_ts")
+    lives = durable(task_table.select("trace_id", "task_id", "first_ts", "end_or_world_ts"))
+    spans = _bounded(regions, ev).select("trace_id", "g", "task_id", "from_ts", "to_ts").join(lives, ["trace_id", "task_id"])
+    spans = spans.select("trace_id", "g", "task_id", F.greatest("from_ts", "first_ts").alias("_from"), F.least("to_ts", "end_or_world_ts").alias("_to")).where("_from <= _to")
     mine = ~F.col("type_id").isin(*ANNOTATIONS) | (F.col("a0") == F.col("task_id"))
-    alive = F.col("ts").between(F.col("first_ts"), F.col("end_or_world_ts"))
-    local = ev.where((F.col("p") != GC_P) | F.col("p").isNull()).join(spans, ["trace_id", "g"]).where(F.col("ts").between(F.col("from_ts"), F.col("to_ts")) & mine).select("trace_id", "rec_offset", "task_id", "ts").distinct()
-    local = local.join(lives, ["trace_id", "task_id"]).where(alive)
-    collector = ev.where(F.col("p") == GC_P).join(lives, "trace_id").where(alive & mine)
-    return local.select("trace_id", "rec_offset", "task_id").unionByName(collector.select("trace_id", "rec_offset", "task_id"))
+    narrow = ev.select("trace_id", "rec_offset", "g", "p", "ts", "type_id", "a0")
+    local = points_in_spans(narrow.where((F.col("p") != GC_P) | F.col("p").isNull()), durable(spans), ["trace_id", "g"], "ts", "_from", "_to")
+    local = local.where(mine).select("trace_id", "rec_offset", "task_id").distinct()
+    collector = points_in_spans(narrow.where(F.col("p") == GC_P), lives, ["trace_id"], "ts", "first_ts", "end_or_world_ts").where(mine)
+    return local.unionByName(collector.select("trace_id", "rec_offset", "task_id"))
+
+
+def _meeting(events: DataFrame, spans: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """``events`` (``ts`` to ``link_ts``) with the ``spans`` of the same keys that share time with them: those that start during the event, and those during which it starts."""
+    starting = points_in_spans(spans, events.withColumn("_last", F.col("link_ts") - 1), keys, lo, "ts", "_last")
+    inner = spans.withColumn("_after", F.col(lo) + 1).withColumn("_before", F.col(hi) - 1)
+    running = points_in_spans(events, inner, keys, "ts", "_after", "_before")
+    return running.drop("_after", "_before").unionByName(starting.drop("_last"))
 
 
 def overlapping_durations(ev: DataFrame, task_table: DataFrame, regions: DataFrame, links: DataFrame) -> DataFrame:
@@ -93,16 +108,17 @@ def overlapping_durations(ev: DataFrame, task_table: DataFrame, regions: DataFra
     its link's goroutine, taken in order; a region that starts before the end of the last one counted is skipped. Collector
     events overlap with the task's life.
     """
-    spans = task_regions(regions, ev).select("trace_id", "task_id", F.col("g").alias("_rg"), "from_ts", "to_ts", "place")
-    lives = task_table.select("trace_id", "task_id", "first_ts", "end_or_world_ts")
-    lasting = ev.join(links.select("trace_id", "rec_offset", "link_ts", "link_g"), ["trace_id", "rec_offset"]).where("ts <= link_ts")
-    collector = lasting.where(F.col("p") == GC_P).join(lives, "trace_id").select("trace_id", "rec_offset", "task_id", overlap(F.col("first_ts"), F.col("end_or_world_ts"), F.col("ts"), F.col("link_ts")).alias("overlap"))
+    spans = durable(_bounded(regions, ev).select("trace_id", "task_id", F.col("g").alias("_rg"), "from_ts", "to_ts", F.coalesce("start_offset", F.lit(-1)).alias("_so"), F.coalesce("end_offset", F.lit(-1)).alias("_eo")))
+    lives = durable(task_table.select("trace_id", "task_id", "first_ts", "end_or_world_ts"))
+    lasting = durable(ev.select("trace_id", "rec_offset", "g", "p", "ts").join(links.select("trace_id", "rec_offset", "link_ts", "link_g"), ["trace_id", "rec_offset"]).where("ts <= link_ts"))
+    collector = _meeting(lasting.where(F.col("p") == GC_P).select("trace_id", "rec_offset", "ts", "link_ts"), lives, ["trace_id"], "first_ts", "end_or_world_ts")
+    collector = collector.select("trace_id", "rec_offset", "task_id", overlap(F.col("first_ts"), F.col("end_or_world_ts"), F.col("ts"), F.col("link_ts")).alias("overlap"))
     local = lasting.where((F.col("p") != GC_P) | F.col("p").isNull())
     owners = F.array_distinct(F.filter(F.array("g", F.coalesce("link_g", "g")), lambda x: x.isNotNull()))
     each = local.select("trace_id", "rec_offset", "ts", "link_ts", F.explode(owners).alias("_rg"))
-    hit = each.join(spans, ["trace_id", "_rg"]).where((F.col("from_ts") < F.col("link_ts")) & (F.col("ts") < F.col("to_ts")))
+    hit = _meeting(each, spans, ["trace_id", "_rg"], "from_ts", "to_ts")
     hit = hit.withColumn("_o", overlap(F.col("from_ts"), F.col("to_ts"), F.col("ts"), F.col("link_ts"))).where("_o > 0")
-    listed = hit.groupBy("trace_id", "rec_offset", "task_id").agg(F.array_sort(F.collect_list(F.struct("place", "from_ts", "to_ts", "_o"))).alias("_l"))
+    listed = hit.groupBy("trace_id", "rec_offset", "task_id").agg(F.array_sort(F.collect_list(F.struct("from_ts", "to_ts", "_so", "_eo", "_o"))).alias("_l"))
     start = F.struct(F.lit(0).cast("bigint").alias("o"), F.lit(0).cast("bigint").alias("last"))
     step = lambda acc, x: F.when(x["from_ts"] < acc["last"], acc).otherwise(F.struct((acc["o"] + x["_o"]).alias("o"), x["to_ts"].alias("last")))
     summed = listed.select("trace_id", "rec_offset", "task_id", F.aggregate("_l", start, step, lambda acc: acc["o"]).alias("overlap"))
@@ -112,10 +128,12 @@ def overlapping_durations(ev: DataFrame, task_table: DataFrame, regions: DataFra
 def related_goroutines(ev: DataFrame, task_table: DataFrame, depth: int) -> DataFrame:
     """``trace_id, task_id, g``: the task's goroutines and, per level of ``depth``, those that unblocked one of them while it lived."""
     lives = task_table.select("trace_id", "task_id", "first_ts", "end_or_world_ts")
-    found = task_table.select("trace_id", "task_id", F.explode("goroutines").alias("g")).where("g is not null").distinct()
-    wakes = ev.where((F.col("type_id") == ID["GoUnblock"]) & F.col("g").isNotNull()).select("trace_id", F.col("a0").alias("_woken"), F.col("g").alias("_by"), "ts")
+    found = durable(task_table.select("trace_id", "task_id", F.explode("goroutines").alias("g")).where("g is not null").distinct())
+    wakes = durable(ev.where((F.col("type_id") == ID["GoUnblock"]) & F.col("g").isNotNull()).select("trace_id", F.col("a0").alias("_woken"), F.col("g").alias("_by"), "ts"))
+    front = found
     for _ in range(depth):
-        seeds = found.select("trace_id", "task_id", F.col("g").alias("_woken")).join(lives, ["trace_id", "task_id"])
-        more = seeds.join(wakes, ["trace_id", "_woken"]).where("ts between first_ts and end_or_world_ts").select("trace_id", "task_id", F.col("_by").alias("g"))
-        found = durable(found.unionByName(more).distinct())
+        seeds = durable(front.select("trace_id", "task_id", F.col("g").alias("_woken")).join(lives, ["trace_id", "task_id"]))
+        more = points_in_spans(wakes, seeds, ["trace_id", "_woken"], "ts", "first_ts", "end_or_world_ts").select("trace_id", "task_id", F.col("_by").alias("g")).distinct()
+        front = durable(more.join(found, ["trace_id", "task_id", "g"], "left_anti"))
+        found = found.unionByName(front)
     return found

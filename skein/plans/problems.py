@@ -187,6 +187,10 @@ cyc AS (
   FROM (SELECT trace_id, task_id, unnest(seen) AS s FROM reach) r JOIN own o ON o.trace_id = r.trace_id AND o.task_id = r.s GROUP BY ALL)
 """
 
+_BELOW_ROOTS = """
+SELECT trace_id, CAST(u AS BIGINT) AS ancestor_id, task_id, depth - (i - 1) AS distance
+FROM (SELECT trace_id, task_id, depth, unnest(string_split(path, '/')) AS u, unnest(range(1, depth + 2)) AS i FROM tree)"""
+
 _CHECKED = f"""
 WITH own AS (
   SELECT name, duration FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, task_id ORDER BY loaded_at DESC NULLS LAST, name DESC NULLS LAST, duration DESC NULLS LAST) AS k FROM tasks WHERE task_id IS NOT NULL) WHERE k = 1
@@ -220,9 +224,10 @@ GROUP BY k.trace_id, k.g""",
     "p4_hierarchy": _PARENTS + """
 SELECT trace_id, task_id, root_id, depth, CAST(NULL AS BIGINT) AS cycle_id, CAST(NULL AS VARCHAR) AS place, path FROM tree
 UNION ALL SELECT trace_id, task_id, NULL, NULL, cycle_id, CASE WHEN is_on THEN 'on' ELSE 'below' END, NULL FROM cyc""",
-    "p4_descendants": _PARENTS + """
-SELECT trace_id, CAST(u AS BIGINT) AS ancestor_id, task_id, depth - (i - 1) AS distance
-FROM (SELECT trace_id, task_id, depth, unnest(string_split(path, '/')) AS u, unnest(range(1, depth + 2)) AS i FROM tree)""",
+    "p4_descendants": _PARENTS + _BELOW_ROOTS,
+    "p4_all_descendants": _PARENTS + _BELOW_ROOTS + """
+UNION ALL SELECT trace_id, task_id, task_id, 0 FROM lost
+UNION ALL SELECT trace_id, s, task_id, i FROM (SELECT trace_id, task_id, unnest(seen) AS s, unnest(range(1, len(seen) + 1)) AS i FROM reach) WHERE s <> task_id""",
     "p6_found": """
 SELECT field, key_id FROM (
   SELECT 'g' AS field, g AS key_id, count(*) AS n FROM trace_events GROUP BY g

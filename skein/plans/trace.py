@@ -561,6 +561,16 @@ sp4 AS (SELECT p.*, coalesce(p.pt - l.creation_ts, 0) AS total,
 dif AS (SELECT id, {', '.join(f'CAST(sum(sign * {x}) AS BIGINT) AS {y}_time' for x, y in [*((s, s) for s in G.STATES), ('gc', 'gc'), ('sweep', 'sweep'), ('assist', 'assist_mark'), ('total', 'total')])} FROM sp4 GROUP BY id)
 SELECT k.trace_id, k.task_id, k.g, k.name, k.start_offset, k.start_ts, k.end_offset, k.end_ts, {', '.join(f'd.{c}' for c in G.TIMES)} FROM keyed k JOIN dif d USING (id)"""
 
+_TREE = f"""{_RECURSIVE}, {_TASKS},
+up AS (SELECT c.trace_id, c.task_id, p.task_id AS parent_id FROM task c LEFT JOIN task p ON p.trace_id = c.trace_id AND p.task_id = c.parent_id),
+tre AS (SELECT trace_id, task_id, [task_id] AS path FROM up WHERE parent_id IS NULL
+  UNION ALL SELECT u.trace_id, u.task_id, list_append(t.path, u.task_id) FROM tre t JOIN up u ON u.trace_id = t.trace_id AND u.parent_id = t.task_id),
+lst AS (SELECT up.* FROM up ANTI JOIN tre ON tre.trace_id = up.trace_id AND tre.task_id = up.task_id),
+chn AS (SELECT trace_id, task_id, parent_id AS at, [parent_id] AS seen FROM lst
+  UNION ALL SELECT c.trace_id, c.task_id, l.parent_id, list_append(c.seen, l.parent_id) FROM chn c JOIN lst l ON l.trace_id = c.trace_id AND l.task_id = c.at WHERE NOT list_contains(c.seen, l.parent_id)),
+rch AS (SELECT trace_id, task_id, arg_max(seen, len(seen)) AS seen FROM chn GROUP BY ALL)
+SELECT trace_id, a AS ancestor_id, task_id, n - i AS distance FROM (SELECT trace_id, task_id, len(path) AS n, unnest(path) AS a, unnest(range(1, len(path) + 1)) AS i FROM tre)"""
+
 _COUNTED = _in([ID["GoCreate"], *STARTS, ID["GoUnblock"], ID["GoSysExit"], ID["GcStart"], ID["GoWaiting"], ID["GoInSyscall"]])
 
 SQL = {
@@ -614,11 +624,10 @@ l AS (SELECT *, least(0, min(s) OVER (PARTITION BY trace_id, g ORDER BY ord, rec
 v AS (SELECT *, s - low + CASE WHEN a1 = 0 THEN 0 ELSE 1 END AS lev FROM l WHERE NOT (a1 = 1 AND s < was)),
 n AS (SELECT *, lead(a1) OVER w AS na, lead(a0) OVER w AS nt, lead(string_args[1]) OVER w AS nn FROM v WINDOW w AS (PARTITION BY trace_id, g, lev ORDER BY ord, rec_offset))
 SELECT trace_id, rec_offset, 'region' AS rule_id, 'ended by a region of another name or task' AS message FROM n WHERE a1 = 0 AND na = 1 AND (nt IS DISTINCT FROM a0 OR nn IS DISTINCT FROM string_args[1])""",
-    "task_descendants": f"""{_WITH.replace('WITH', 'WITH RECURSIVE')}, {_TASKS},
-up AS (SELECT c.trace_id, c.task_id, p.task_id AS parent_id FROM task c LEFT JOIN task p ON p.trace_id = c.trace_id AND p.task_id = c.parent_id),
-tre AS (SELECT trace_id, task_id, [task_id] AS path FROM up WHERE parent_id IS NULL
-  UNION ALL SELECT u.trace_id, u.task_id, list_append(t.path, u.task_id) FROM tre t JOIN up u ON u.trace_id = t.trace_id AND u.parent_id = t.task_id)
-SELECT trace_id, a AS ancestor_id, task_id, n - i AS distance FROM (SELECT trace_id, task_id, len(path) AS n, unnest(path) AS a, unnest(range(1, len(path) + 1)) AS i FROM tre)""",
+    "task_descendants": _TREE,
+    "task_all_descendants": _TREE + """
+UNION ALL SELECT trace_id, task_id, task_id, 0 FROM lst
+UNION ALL SELECT trace_id, a, task_id, i FROM (SELECT trace_id, task_id, unnest(seen) AS a, unnest(range(1, len(seen) + 1)) AS i FROM rch) WHERE a <> task_id""",
     "string_violations": """SELECT trace_id, string_id, rule_id FROM (
   SELECT trace_id, string_id, CASE WHEN string_id = 0 THEN 'zero id' WHEN bool_or(val = '') THEN 'empty string' WHEN min(val) <> max(val) THEN 'several values' END AS rule_id FROM strings GROUP BY trace_id, string_id) WHERE rule_id IS NOT NULL""",
     "stack_frames": f"""{_WITH}, {_STACKS}
