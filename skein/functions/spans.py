@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-STEP = 3
+STEP = 4
 FINE = 5  # the narrowest blocks are 2**FINE to 2**(FINE + 1) times narrower than spans on average
 
 

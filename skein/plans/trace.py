@@ -18,9 +18,14 @@ def _ev(spark: SparkSession, d: str, *extra: str) -> DataFrame:
     return E.clean(table(spark, d, "trace_events"), extra)
 
 
-def _stored(spark: SparkSession, d: str, *extra: str) -> DataFrame:
-    """Clean events written once, for queries that pass over them several times."""
-    return durable(_ev(spark, d, *extra))
+_NARROW = ("trace_id", "rec_offset", "ord", "type_id", "ts", "p", "g", "a0")  # what states and links need
+
+
+def _stored(spark: SparkSession, d: str, *extra: str, types: list[int] | None = None) -> DataFrame:
+    """Clean events written once, for queries that pass over them several times: the narrow columns, those named, and only some types where these are given."""
+    events = table(spark, d, "trace_events")
+    events = events if types is None else events.where(F.col("type_id").isin(*types))
+    return durable(E.clean(events, tuple(c for c in extra if c not in E.COLUMNS)).select(*_NARROW, *extra))
 
 
 def event_catalog(spark, d):
@@ -85,7 +90,7 @@ def state_violations(spark, d):
 
 
 def bracket_violations(spark, d):
-    return linking.bracket_violations(_stored(spark, d), table(spark, d, "trace_meta"))
+    return linking.bracket_violations(_stored(spark, d, types=[ID[x] for x in ("GcStart", "GcDone", "GcStwStart", "GcStwDone", "GcSweepStart", "GcSweepDone", "GcMarkAssistStart", "GcMarkAssistDone", "ProcStart", "ProcStop", "UserTaskCreate", "UserTaskEnd")]), table(spark, d, "trace_meta"))
 
 
 def processor_violations(spark, d):
@@ -107,7 +112,7 @@ def stack_frames(spark, d):
 
 
 def goroutines(spark, d):
-    return G.goroutines(_stored(spark, d), table(spark, d, "stacks"))
+    return G.goroutines(_stored(spark, d, "a1"), table(spark, d, "stacks"))
 
 
 def goroutine_states(spark, d):
@@ -120,19 +125,19 @@ def gc_cycles(spark, d):
 
 
 def regions(spark, d):
-    return G.user_regions(_stored(spark, d)).drop("depth", "start_ord", "end_ord")
+    return G.user_regions(_stored(spark, d, "a1", "string_args", types=[ID["UserRegion"], ID["GoEnd"]])).drop("depth", "start_ord", "end_ord")
 
 
 def region_times(spark, d):
-    return G.region_stats(_stored(spark, d), inherited=False).select("trace_id", "g", "start_offset", "end_offset", "exec_time", "sched_wait_time", "io_time", "block_time", "syscall_time", "total_time")
+    return G.region_stats(_stored(spark, d, "a1", "string_args"), inherited=False).select("trace_id", "g", "start_offset", "end_offset", "exec_time", "sched_wait_time", "io_time", "block_time", "syscall_time", "total_time")
 
 
 def region_stats(spark, d):
-    return G.region_stats(_stored(spark, d))
+    return G.region_stats(_stored(spark, d, "a1", "string_args"))
 
 
 def region_frames(spark, d):
-    ev = _stored(spark, d)
+    ev = _stored(spark, d, "a1", "string_args", "stack_id", types=[ID["UserRegion"], ID["GoEnd"]])
     return G.region_frames(G.user_regions(ev), ev, table(spark, d, "stacks"))
 
 
@@ -142,75 +147,75 @@ def sequence_violations(spark, d):
 
 
 def inherited_tasks(spark, d):
-    return G.inherited_tasks(_stored(spark, d))
+    return G.inherited_tasks(_stored(spark, d, "a1", "string_args", types=[ID["UserRegion"], ID["GoEnd"], ID["GoCreate"]]))
 
 
 def tasks(spark, d):
-    out = K.tasks(_stored(spark, d), table(spark, d, "regions"))
+    out = K.tasks(_stored(spark, d, "a1", "string_args"), table(spark, d, "regions"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select(*(c for c in out.columns if c not in ("goroutines", "children")), text("goroutines"), text("children"))
 
 
 def task_descendants(spark, d):
-    return K.descendants(K.tasks(_stored(spark, d), table(spark, d, "regions")))
+    return K.descendants(K.tasks(_stored(spark, d, "a1", "string_args"), table(spark, d, "regions")))
 
 
 def task_all_descendants(spark, d):
-    return K.all_descendants(K.tasks(_stored(spark, d), table(spark, d, "regions")))
+    return K.all_descendants(K.tasks(_stored(spark, d, "a1", "string_args"), table(spark, d, "regions")))
 
 
 def overlap_instants(spark, d):
-    ev, reg = _stored(spark, d, "link_ts", "link_g"), table(spark, d, "regions")
+    ev, reg = _stored(spark, d, "a1", "string_args", "link_ts", "link_g"), table(spark, d, "regions")
     return K.overlapping_instants(ev, K.tasks(ev, reg), reg).groupBy("trace_id", "task_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def overlap_durations(spark, d):
-    ev, reg = _stored(spark, d, "link_ts", "link_g"), table(spark, d, "regions").distinct()
+    ev, reg = _stored(spark, d, "a1", "string_args", "link_ts", "link_g"), table(spark, d, "regions").distinct()
     own = ev.where("link_ts is not null").select("trace_id", "rec_offset", "link_ts", "link_g")
     return K.overlapping_durations(ev.drop("link_ts", "link_g"), K.tasks(ev, reg), reg, own)
 
 
 def related_goroutines(spark, d):
-    ev = _stored(spark, d)
+    ev = _stored(spark, d, "a1", "string_args")
     return K.related_goroutines(ev, K.tasks(ev, table(spark, d, "regions")), 2)
 
 
 def mu_contributions(spark, d):
-    return U.contributions(_stored(spark, d))
+    return U.contributions(_stored(spark, d, "string_args"))
 
 
 def mu_raw(spark, d):
-    return U.raw_utilisation(_stored(spark, d)).select("trace_id", "ord", "rec_offset", "time", F.round("util", 9).alias("util"))
+    return U.raw_utilisation(_stored(spark, d, "string_args")).select("trace_id", "ord", "rec_offset", "time", F.round("util", 9).alias("util"))
 
 
 def mu_series(spark, d):
-    return U.mutator_utilisation(_stored(spark, d))
+    return U.mutator_utilisation(_stored(spark, d, "string_args"))
 
 
 def mu_series_stw(spark, d):
     """Stops of the world alone."""
-    return U.mutator_utilisation(_stored(spark, d), stw=True)
+    return U.mutator_utilisation(_stored(spark, d, "string_args"), stw=True)
 
 
 def mu_series_sweep(spark, d):
-    return U.mutator_utilisation(_stored(spark, d), sweep=True)
+    return U.mutator_utilisation(_stored(spark, d, "string_args"), sweep=True)
 
 
 def mu_series_assist(spark, d):
-    return U.mutator_utilisation(_stored(spark, d), assist=True)
+    return U.mutator_utilisation(_stored(spark, d, "string_args"), assist=True)
 
 
 def mu_series_background(spark, d):
-    return U.mutator_utilisation(_stored(spark, d), background=True)
+    return U.mutator_utilisation(_stored(spark, d, "string_args"), background=True)
 
 
 def mu_series_per_proc(spark, d):
-    return U.mutator_utilisation(_stored(spark, d), per_proc=True)
+    return U.mutator_utilisation(_stored(spark, d, "string_args"), per_proc=True)
 
 
 def _steps(spark, d):
     """Utilisation with one value, the least, per time."""
-    return U.raw_utilisation(_stored(spark, d)).groupBy("trace_id", F.lit(0).alias("series"), "time").agg(F.min("util").alias("util"))
+    return U.raw_utilisation(_stored(spark, d, "string_args")).groupBy("trace_id", F.lit(0).alias("series"), "time").agg(F.min("util").alias("util"))
 
 
 def mmu(spark, d):
