@@ -60,7 +60,7 @@ def read_trace(spark: SparkSession, path: str, mode: str = "FAILFAST", strict: b
     exits = ordering.exit_repair(ordered).where("rule_id is not null").select("trace_id", "rec_offset", "rule_id", F.lit("system call exit").alias("message"))
     bad = bad.unionByName(exits)
     if strict or sequences:
-        bad = bad.unionByName(ordering.sequence_violations(ordered))
+        bad = bad.unionByName(ordering.sequence_violations(ordered)).unionByName(ordering.tie_violations(projected))
     if strict:
         one = bad.orderBy("trace_id", F.col("rec_offset").asc_nulls_first()).first()
         if one is not None:

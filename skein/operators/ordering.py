@@ -48,7 +48,9 @@ def _untie(t: pa.Table) -> pa.Table:
     """Orders events of one time: per processor as they stand, across processors as the needed states and numbers allow.
 
     The state before the tie is not known here; a goroutine's first event in the tie is taken to be the one with the
-    smallest sequence number that needs no state another event of the tie would leave.
+    smallest sequence number that needs no state another event of the tie would leave. An event is ready when its goroutine
+    is in the state it needs and its number, if it has one, follows the last one of the goroutine in the tie. Where none is
+    ready the next one is ``_forced``.
     """
     rows = sorted(t.to_pylist(), key=lambda r: (r["p"], r["rec_offset"]))
     queues: dict[int, list[dict]] = {}
@@ -63,18 +65,38 @@ def _untie(t: pa.Table) -> pa.Table:
         leaves = {_steps(r["type_id"], r["seq_no"])[2] for r in group}
         first = [r for r in group if _steps(r["type_id"], r["seq_no"])[0] not in leaves] or sorted(group, key=lambda r: (r["seq_no"] is None, r["seq_no"] or 0))[:1]
         state[s] = _steps(first[0]["type_id"], first[0]["seq_no"])[0]
-    out = []
+    out, due = [], {}
+
+    def ready(r: dict) -> bool:
+        subject = r["subject"]
+        if subject is None:
+            return True
+        fits = _steps(r["type_id"], None)[0] == state[subject]
+        return fits and (r["seq_no"] is None or due.get(subject, r["seq_no"]) == r["seq_no"])
+
     while queues:
-        ready = [p for p in sorted(queues) if queues[p][0]["subject"] is None or _steps(queues[p][0]["type_id"], None)[0] == state[queues[p][0]["subject"]]]
+        fit = [p for p in sorted(queues) if ready(queues[p][0])]
         # among events that are ready, the smaller sequence number of a goroutine goes first
-        p = min(ready or sorted(queues), key=lambda q: (queues[q][0]["seq_no"] or 0, q))
+        p = min(fit or sorted(queues), key=lambda q: (queues[q][0]["seq_no"] or 0, q))
         r = queues[p].pop(0)
         if not queues[p]:
             del queues[p]
         if r["subject"] is not None:
             state[r["subject"]] = _steps(r["type_id"], None)[2]
-        out.append(r)
-    return pa.table({"trace_id": pa.array([r["trace_id"] for r in out], pa.string()), "rec_offset": pa.array([r["rec_offset"] for r in out], pa.int64()), "_tie": pa.array(range(len(out)), pa.int64())})
+            if r["seq_no"] is not None:
+                due[r["subject"]] = r["seq_no"] + 1
+        out.append((r["trace_id"], r["rec_offset"], len(out), not fit))
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.Table.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["trace_id", "rec_offset", "_tie", "_forced"])
+
+
+def _ties(base: DataFrame) -> DataFrame:
+    """``trace_id, rec_offset, _tie, _forced``: the places of events of one time on several processors, where a goroutine has more than one of them."""
+    timed = base.where((F.col("version") >= 1007) & F.col("ts").isNotNull())
+    ties = timed.groupBy("trace_id", "ts").agg(F.countDistinct("p").alias("_ps"), F.count("subject").alias("_n"), F.countDistinct("subject").alias("_d")).where("_ps > 1 and _n > _d").select("trace_id", "ts")
+    tied = timed.join(ties, ["trace_id", "ts"], "left_semi").select("trace_id", "ts", "p", "rec_offset", "type_id", "subject", "seq_no")
+    kinds = [("trace_id", T.StringType()), ("rec_offset", T.LongType()), ("_tie", T.LongType()), ("_forced", T.BooleanType())]
+    return tied.groupBy("trace_id", "ts").applyInArrow(_untie, T.StructType([T.StructField(*k) for k in kinds]))
 
 
 def _with_subject(ev: DataFrame) -> DataFrame:
@@ -93,9 +115,7 @@ def ordered(ev: DataFrame) -> DataFrame:
     """
     old = F.col("version") < 1007
     base = _with_subject(ev)
-    ties = base.where(~old & F.col("ts").isNotNull()).groupBy("trace_id", "ts").agg(F.countDistinct("p").alias("_ps"), F.count("subject").alias("_n"), F.countDistinct("subject").alias("_d")).where("_ps > 1 and _n > _d").select("trace_id", "ts")
-    tied = base.join(ties, ["trace_id", "ts"], "left_semi").select("trace_id", "ts", "p", "rec_offset", "type_id", "subject", "seq_no")
-    places = tied.groupBy("trace_id", "ts").applyInArrow(_untie, T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("rec_offset", T.LongType()), T.StructField("_tie", T.LongType())]))
+    places = _ties(base).drop("_forced")
     exits = F.col("type_id") == ID["GoSysExit"]
     local = F.col("raw_type_id") == ID["GoSysExitLocal"]
     given = F.when(local, F.col("a1")).otherwise(F.col("a2"))
@@ -115,6 +135,12 @@ def order_violations(ev: DataFrame, keys: tuple[str, ...] = ("trace_id",), order
     return was.where(F.col("ts") < F.col("_was.ts")).select("trace_id", "rec_offset", F.lit("time order").alias("rule_id"), F.lit("time stamps out of order").alias("message"))
 
 
+def tie_violations(ev: DataFrame) -> DataFrame:
+    """``trace_id, rec_offset, rule_id, message``: events of one time on several processors that no state and sequence number of their goroutine allows in any order."""
+    forced = _ties(_with_subject(ev)).where("_forced")
+    return forced.select("trace_id", "rec_offset", F.lit("tie").alias("rule_id"), F.lit("no consistent ordering of events possible").alias("message"))
+
+
 def sequence_violations(ev: DataFrame) -> DataFrame:
     """``trace_id, rec_offset, rule_id, message``: events whose sequence number is not how many numbered events their goroutine, or the collector, had before.
 

@@ -273,9 +273,22 @@ def test_exit_repair(spark):
     ],
 )
 def test_bracket_violations(spark, rows, rule):
-    assert [r.rule_id for r in linking.bracket_violations(table(spark, rows)).collect()] == [rule]
+    assert [r.rule_id for r in linking.bracket_violations(table(spark, rows), meta(spark)).collect()] == [rule]
 
 
+def test_stops_of_the_world_by_processor_before_1010(spark):
+    rows = [e(1, "GcStwStart", p=0), e(2, "GcStwStart", p=1), e(3, "GcStwDone", p=0), e(4, "GcStwDone", p=1)]
+    got = lambda version: [r.rec_offset for r in linking.bracket_violations(table(spark, rows), meta(spark, version=version)).collect()]
+    assert got(1009) == [] and sorted(got(1010)) == [11, 13]
+
+
+def test_region_frames(spark):
+    rows = [e(5, "UserRegion", g=1, a=(1, 0), s=["b"], stack=3), e(6, "UserRegion", g=1, a=(1, 1), s=["b"]), e(7, "UserRegion", g=1, a=(1, 1), s=["x"]), e(9, "UserRegion", g=1, a=(1, 0), s=["c"], stack=9)]
+    ev = table(spark, rows)
+    stacks = spark.createDataFrame([("t0", 3, [(16, "f", "a.go", 1)])], "trace_id string, stack_id long, frames array<struct<pc:long,fn:string,file:string,line:int>>")
+    got = sorted(tuple(r)[2:] for r in G.region_frames(G.user_regions(ev), ev, stacks).collect() if r.start_offset)
+    assert got == [(10, 2, "f", 16), (13, 3, None, None)] and G.region_frames(G.user_regions(ev), ev, stacks).where("start_offset is null and place = 1").count() == 1
+
 def test_state_violations(spark):
     bad = {
         "exists": [e(1, "GoCreate", a=(1,)), e(2, "GoCreate", a=(1,))], "start": [e(1, "GoStart", g=1)], "wait": [e(1, "GoWaiting", g=1)], "unblock": [e(1, "GoCreate", a=(1,)), e(2, "GoUnblock", a=(1,))],
@@ -316,3 +329,16 @@ def test_dictionaries_and_pseudo_processors(spark):
     assert spark.range(1).select(unsigned_text(F.lit(-1).cast("long")).alias("x")).first().x == str(2**64 - 1)
     blocked = table(spark, [e(1, "GoBlockNet", g=1), e(2, "GoUnblock", a=(1,)), e(3, "GoBlock", g=1), e(4, "GoUnblock", a=(1,))])
     assert [r.rec_offset for r in linking.netpoll_unblocks(blocked).collect()] == [11]
+
+
+def test_ties_that_nothing_orders(spark):
+    made = [e(0, "GoCreate", p=0, a=(1, 0)), e(5, "GoStart", p=0, g=1, a=(1, 1))]
+    fits = [*made, e(9, "GoSched", p=0, g=1), e(9, "GoStart", p=1, g=1, a=(1, 2))]
+    twice = [*made, e(9, "GoSched", p=0, g=1), e(9, "GoStart", p=1, g=1, a=(1, 2)), e(9, "GoStart", p=2, g=1, a=(1, 3)), e(9, "GoStart", p=3, g=1, a=(1, 4))]
+    number = [*made, e(9, "GoSched", p=0, g=1), e(9, "GoStart", p=1, g=1, a=(1, 2)), e(9, "GoSched", p=2, g=1), e(9, "GoStart", p=3, g=1, a=(1, 7))]
+    ev = table(spark, fits, twice, number)
+    got = [(r.trace_id, r.rec_offset - 10) for r in ordering.tie_violations(ev).collect()]
+    # three starts with one stop between them; a number that no other event of the tie leads to, and the stop that waits for it
+    assert sorted(got) == [("t1", 5), ("t2", 4), ("t2", 5)]
+    assert ordering.tie_violations(ev.where("false")).count() == 0
+    assert ordering.ordered(ev.drop("ord")).count() == ev.count()
