@@ -29,7 +29,8 @@ LEVELS = BITS - EXACT  # resolutions with a sketch; the next one is the table of
 PAGE_BITS = 10  # counters of a page
 HEAVY = 16  # counters of a row that are taken for heavy nodes
 SIGMAS = 1.6  # three standard deviations of a median of five, in those of one row
-HELD_CODES = 50_000  # codes sketched at once
+HELD_CODES = 200_000  # codes sketched at once
+HEAVY_PER = 256  # a group with more than one in so many of all values is spread over several tasks
 _ZERO = 1 << BITS - 1
 
 
@@ -176,12 +177,29 @@ def sketch(df: DataFrame, group: Sequence[str], value: str, weight: Column | Non
     Null values are left out; null is a group like any other. ``weight`` is 1 by default; a negative weight takes a value out again.
     """
     w = F.lit(1) if weight is None else weight
-    codes = df.where(F.col(value).isNotNull()).select(*group, encode(F.col(value).cast("bigint")).alias("_code"), w.cast("bigint").alias("_w"))
-    codes = codes.groupBy(*group, "_code").agg(F.sum("_w").alias("_w")).where("_w <> 0")
+    values = df.where(F.col(value).isNotNull())
+    codes = values.select(*group, encode(F.col(value).cast("bigint")).alias("_code"), w.cast("bigint").alias("_w"))
+    # a group is sketched in one task, a heavy one in as many as its share asks for, so the number of sketches does not grow with the data
+    if group:
+        heavy = heavy_groups(values, group).select(*(F.col(c).alias(f"_h{i}") for i, c in enumerate(group)), "_salts")
+        same = [codes[c].eqNullSafe(heavy[f"_h{i}"]) for i, c in enumerate(group)]
+        spread = codes.join(F.broadcast(heavy), same, "left")  # fewer than HEAVY_PER rows
+    else:
+        spread = codes.withColumn("_salts", F.lit(HEAVY_PER))
+    salt = F.coalesce(F.pmod(F.xxhash64("_code", F.spark_partition_id()), F.col("_salts")), F.lit(0))
+    spread = spread.select(*group, "_code", "_w", salt.alias("_salt")).repartition(*group, "_salt")
+    codes = spread.groupBy(*group, "_salt", "_code").agg(F.sum("_w").alias("_w")).where("_w <> 0").drop("_salt")
     out = _schema(codes, group)
     return merge(codes.mapInArrow(_Sketch(group, out.names), out), group)
 
 
+def heavy_groups(values: DataFrame, group: Sequence[str], per: int = HEAVY_PER) -> DataFrame:
+    """``group..., _salts``: groups of more than one in ``per`` of all rows, fewer than ``per``, and over how many tasks each is spread."""
+    counts = values.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    total = values.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counts.where(F.col("_n") * per > total).select(*group, F.ceil(F.col("_n") * per / total).cast("int").alias("_salts"))
+
+
 def merge(pages: DataFrame, group: Sequence[str]) -> DataFrame:
     """Sketches added up per ``group``: of united sketches, or of finer groups such as days. Each task holds one page at a time."""
     out = _schema(pages, group)

@@ -74,12 +74,12 @@ def _durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.sketch(_durations(spark, d), ["name"], "duration"), ["name"], QUANTILES)
+    return quantiles.percentiles(quantiles.sketch(durable(_durations(spark, d)), ["name"], "duration"), ["name"], QUANTILES)
 
 
 def p5_merged_days(spark: SparkSession, d: str) -> DataFrame:
     """The same from one sketch per name and day, added up."""
-    days = quantiles.sketch(_durations(spark, d), ["name", "day"], "duration")
+    days = quantiles.sketch(durable(_durations(spark, d)), ["name", "day"], "duration")
     return quantiles.percentiles(quantiles.merge(days, ["name"]), ["name"], QUANTILES)
 
 

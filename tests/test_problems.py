@@ -274,6 +274,17 @@ def test_percentiles(spark):
     assert quantiles.percentiles(quantiles.sketch(df.where("false"), ["name"], "v"), ["name"], qs).count() == 0
 
 
+def test_a_heavy_group_is_sketched_in_several_tasks(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("g"), F.col("id").cast("string"))).otherwise("hot").alias("name"), (F.col("id") % 5).alias("_code"), (F.col("id") * 7919 % 20_011).alias("v"))
+    assert [(r.name, r._salts) for r in quantiles.heavy_groups(df, ["name"]).collect()] == [("hot", 231)]
+    got = quantiles.percentiles(quantiles.sketch(df, ["name"], "v"), ["name"], [0.5])
+    assert got.count() == 2001
+    found = got.where("name = 'hot'").first()
+    assert found.n == 18_000 and found.rank_error <= 0.01 and abs(found.value - 10_005) <= 0.01 * 20_011
+    whole = quantiles.percentiles(quantiles.sketch(df, [], "v"), [], [0.25, 0.5]).collect()
+    assert [r.n for r in whole] == [20_000] * 2 and all(abs(r.value - r.q * 20_011) <= 200 for r in whole)
+
+
 def test_codes_keep_order_and_decode(spark):
     values = sorted({0, 1, -1, 1023, 1024, 1025, 2047, 2048, 2**31, 2**62, 2**63 - 1, -(2**63), -(2**63) + 1, *(s * int(1.7**k) for k in range(1, 80) for s in (1, -1))})
     codes = [r.c for r in spark.createDataFrame([(v,) for v in values], "v long").select(quantiles.encode(F.col("v")).alias("c"), "v").orderBy("v").collect()]
