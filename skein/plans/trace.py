@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skein.functions import catalog, scalars
-from skein.functions.catalog import ID, STARTS, STOPS, SYNC_BLOCKS, YIELDS
+from skein.functions.catalog import ID
 from skein.functions.tables import durable, table
 from skein.functions.windows import number_over
 from skein.operators import events as E, futile, goroutines as G, linking, mmu as M, mutator as U, ordering, projection, tasks as K
@@ -213,13 +213,8 @@ def mu_series_per_proc(spark, d):
     return U.mutator_utilisation(_stored(spark, d, "string_args"), per_proc=True)
 
 
-def _steps(spark, d):
-    """Utilisation with one value, the least, per time."""
-    return U.raw_utilisation(_stored(spark, d, "string_args")).groupBy("trace_id", F.lit(0).alias("series"), "time").agg(F.min("util").alias("util"))
-
-
 def mmu(spark, d):
-    return M.mmu(_steps(spark, d), WINDOWS).select("trace_id", "window", F.round("mmu", 6).alias("mmu"))
+    return M.mmu(mu_series(spark, d), WINDOWS).select("trace_id", "window", F.round("mmu", 6).alias("mmu"))
 
 
 def mmu_per_proc(spark, d):
@@ -227,7 +222,7 @@ def mmu_per_proc(spark, d):
 
 
 def mmu_windows(spark, d):
-    return M.windowed(_steps(spark, d), WINDOWS).groupBy("trace_id", "window").agg(F.count(F.lit(1)).alias("knots"), F.round(F.max("util"), 6).alias("best"))
+    return M.windowed(mu_series(spark, d), WINDOWS).groupBy("trace_id", "window").agg(F.count(F.lit(1)).alias("knots"), F.round(F.max("util"), 6).alias("best"))
 
 
 def worst_windows(spark, d):
@@ -284,24 +279,41 @@ def _in(types) -> str:
     return "(" + ", ".join(map(str, sorted(types))) + ")"
 
 
+def _ids(names: str) -> list[int]:
+    return [ID[x] for x in names.split()]
+
+
+# Fixed values of the SQL, apart from the operators' own: groups of event types, and the states they need and leave.
+_START, _YIELD, _END = _ids("GoStart GoStartLabel"), _ids("GoSched GoPreempt"), _ids("GoEnd GoStop")
+_SYNC = _ids("GoBlockSend GoBlockRecv GoBlockSelect GoBlockSync GoBlockCond")
+_BLOCK = [*_SYNC, *_ids("GoSleep GoBlock GoBlockGc GoBlockNet")]
+_STOP = [*_END, *_YIELD, *_BLOCK, ID["GoSysBlock"]]
+_WAIT = [*_ids("GoCreate GoUnblock GoSysExit"), *_YIELD]
+_NOTES = _ids("UserLog UserRegion UserTaskCreate UserTaskEnd")
+_FUTILE_INNER, _FUTILE_CLOSE = _ids("GoStart GoPreempt FutileWakeup"), _ids("GoBlock GoBlockRecv GoBlockSelect GoBlockSync GoBlockCond")
+_STATE_SETS = [
+    (_ids("GoCreate"), "dead", "runnable"), (_ids("GoWaiting GoInSyscall"), "runnable", "waiting"), (_START, "runnable", "running"), ([*_BLOCK, ID["GoSysBlock"]], "running", "waiting"),
+    (_YIELD, "running", "runnable"), (_ids("GoUnblock GoSysExit"), "waiting", "runnable"), (_END, "running", "dead"),
+]
+
+
 _EV = """ev AS (
   SELECT DISTINCT ON (trace_id, rec_offset) * FROM trace_events
   WHERE trace_id IS NOT NULL AND rec_offset IS NOT NULL AND ord IS NOT NULL AND type_id IS NOT NULL AND ts IS NOT NULL)"""
 _WITH = f"WITH {_EV}"
 _SUBJECT = f"CASE WHEN type_id IN {_in([ID['GoCreate'], ID['GoUnblock']])} THEN a0 ELSE g END"
-_CLEARS = _in(projection._CLEARS)
-_BLOCKS = linking.BLOCKS
+_CLEARS = _in(_STOP)
 _UP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 def _link_sql() -> str:
     """Union of one lead per kind of link."""
-    wake = [ID["GoCreate"], ID["GoUnblock"], *STARTS, *_BLOCKS, *YIELDS, *catalog.ENDS, ID["GoWaiting"], ID["GoInSyscall"], ID["GoSysCall"], ID["GoSysExit"]]
-    wake_fit = f"(type_id IN {_in([ID['GoCreate'], *YIELDS, ID['GoUnblock'], ID['GoSysExit']])} AND nt IN {_in(STARTS)}) OR (type_id IN {_in([ID['GoWaiting'], *_BLOCKS])} AND nt = {ID['GoUnblock']}) OR (type_id = {ID['GoSysCall']} AND nt = {ID['GoSysExit']})"
+    wake = [ID["GoCreate"], ID["GoUnblock"], *_START, *_BLOCK, *_YIELD, *_END, ID["GoWaiting"], ID["GoInSyscall"], ID["GoSysCall"], ID["GoSysExit"]]
+    wake_fit = f"(type_id IN {_in([ID['GoCreate'], *_YIELD, ID['GoUnblock'], ID['GoSysExit']])} AND nt IN {_in(_START)}) OR (type_id IN {_in([ID['GoWaiting'], *_BLOCK])} AND nt = {ID['GoUnblock']}) OR (type_id = {ID['GoSysCall']} AND nt = {ID['GoSysExit']})"
     pair = lambda a, b: f"type_id = {ID[a]} AND nt = {ID[b]}"
     kinds = [
-        ("run", "g", [*STARTS, *STOPS], f"type_id IN {_in(STARTS)} AND nt IN {_in(STOPS)}"),
+        ("run", "g", [*_START, *_STOP], f"type_id IN {_in(_START)} AND nt IN {_in(_STOP)}"),
         ("wake", _SUBJECT, wake, wake_fit),
         ("gc", "0", [ID["GcStart"], ID["GcDone"]], pair("GcStart", "GcDone")),
         ("stw", "(SELECT CASE WHEN max(version) < 1010 THEN ev.p ELSE -1 END FROM trace_meta m WHERE m.trace_id = ev.trace_id)", [ID["GcStwStart"], ID["GcStwDone"]], pair("GcStwStart", "GcStwDone")),
@@ -319,10 +331,10 @@ def _link_sql() -> str:
 
 def _state_sql() -> str:
     need, leave = [], []
-    for types, before, after in linking._states():
+    for types, before, after in _STATE_SETS:
         need.append(f"WHEN type_id IN {_in(types)} THEN '{before}'")
         leave.append(f"WHEN type_id IN {_in(types)} THEN '{after}'")
-    every = [t for types, *_ in linking._states() for t in types]
+    every = [t for types, *_ in _STATE_SETS for t in types]
     return f"""{_WITH},
 s AS (SELECT trace_id, rec_offset, ord, {_SUBJECT} AS k, CASE {' '.join(need)} END AS need, CASE {' '.join(leave)} END AS leave FROM ev WHERE type_id IN {_in(every)}),
 w AS (SELECT *, coalesce(lag(leave) OVER (PARTITION BY trace_id, k ORDER BY ord, rec_offset), CASE WHEN k = 0 THEN 'running' ELSE 'dead' END) AS was FROM s WHERE k IS NOT NULL)
@@ -338,18 +350,18 @@ def _bracket_sql() -> str:
     return _WITH + "\n" + "\nUNION ALL\n".join(parts)
 
 
-_WAITS = _in(G._WAITS)
+_WAITS = _in(_WAIT)
 _SPANS = f"""spans AS (
-  SELECT *, CASE WHEN nt IS NULL OR nt IN {_in(catalog.ENDS)} THEN state IS NOT NULL WHEN state = 'exec' THEN nt IN {_in(STOPS)} WHEN state = 'sched_wait' THEN nt IN {_in(STARTS)}
+  SELECT *, CASE WHEN nt IS NULL OR nt IN {_in(_END)} THEN state IS NOT NULL WHEN state = 'exec' THEN nt IN {_in(_STOP)} WHEN state = 'sched_wait' THEN nt IN {_in(_START)}
             WHEN state IN ('io', 'block') THEN nt = {ID['GoUnblock']} WHEN state = 'syscall' THEN nt = {ID['GoSysExit']} ELSE false END AS counted FROM (
     SELECT trace_id, k AS g, ord, rec_offset, type_id, ts, lead(type_id) OVER w AS nt, lead(ts) OVER w AS nts, lead(ord) OVER w AS no,
-           CASE WHEN type_id IN {_in(STARTS)} THEN 'exec' WHEN type_id IN {_WAITS} THEN 'sched_wait' WHEN type_id = {ID['GoBlockNet']} THEN 'io'
-                WHEN type_id IN {_in(SYNC_BLOCKS)} THEN 'block' WHEN type_id = {ID['GoSysBlock']} THEN 'syscall' END AS state
-    FROM (SELECT *, {_SUBJECT} AS k FROM ev WHERE type_id IN {_in(G._SUBJECTS)}) WHERE k IS NOT NULL
+           CASE WHEN type_id IN {_in(_START)} THEN 'exec' WHEN type_id IN {_WAITS} THEN 'sched_wait' WHEN type_id = {ID['GoBlockNet']} THEN 'io'
+                WHEN type_id IN {_in(_SYNC)} THEN 'block' WHEN type_id = {ID['GoSysBlock']} THEN 'syscall' END AS state
+    FROM (SELECT *, {_SUBJECT} AS k FROM ev WHERE type_id IN {_in({*_WAIT, *_START, *_STOP})}) WHERE k IS NOT NULL
     WINDOW w AS (PARTITION BY trace_id, k ORDER BY ord, rec_offset)))"""
 _WORLD = "world AS (SELECT trace_id, min(ts) AS w0, max(ts) AS w1, max(ord) AS wo FROM ev GROUP BY trace_id)"
 _LIVES = f"""made AS (SELECT trace_id, a0 AS g, min(ts) AS creation_ts, arg_min(a1, struct_pack(o := ord, r := rec_offset)) AS create_stack FROM ev WHERE type_id = {ID['GoCreate']} AND a0 IS NOT NULL GROUP BY ALL),
-went AS (SELECT trace_id, g, min(ts) FILTER (type_id IN {_in(STARTS)}) AS start_ts, max(ts) FILTER (type_id IN {_in(catalog.ENDS)}) AS end_ts FROM ev WHERE type_id IN {_in([*STARTS, *catalog.ENDS])} GROUP BY ALL),
+went AS (SELECT trace_id, g, min(ts) FILTER (type_id IN {_in(_START)}) AS start_ts, max(ts) FILTER (type_id IN {_in(_END)}) AS end_ts FROM ev WHERE type_id IN {_in([*_START, *_END])} GROUP BY ALL),
 lives AS (SELECT m.*, start_ts, end_ts FROM made m LEFT JOIN went w ON w.trace_id = m.trace_id AND w.g = m.g)"""
 _CYCLES = f"""cycles AS (SELECT trace_id, ts, nts AS done_ts FROM (
   SELECT *, lead(type_id) OVER w AS nt, lead(ts) OVER w AS nts FROM ev WHERE type_id IN ({ID['GcStart']}, {ID['GcDone']}) WINDOW w AS (PARTITION BY trace_id ORDER BY ord, rec_offset))
@@ -422,24 +434,24 @@ _GC_LABEL = "starts_with({0}, 'GC ') AND {0} NOT IN ({1})"
 
 
 def _going_sql(sweep: bool = True, assist: bool = True, background: bool = True, idle: str = "'GC (idle)'") -> str:
-    at = f"CASE WHEN type_id IN {_in(STOPS)} THEN run.p ELSE p END"
+    at = f"CASE WHEN type_id IN {_in(_STOP)} THEN run.p ELSE p END"
     own, held = _GC_LABEL.format("string_args[1]", idle), _GC_LABEL.format("run.label", idle)
     parts = ["SELECT trace_id, ord, rec_offset, ts, p, NULL::INTEGER AS d FROM ev WHERE false"]
     if sweep:
         parts.append(f"SELECT trace_id, ord, rec_offset, ts, p, CASE type_id WHEN {ID['GcSweepStart']} THEN 1 WHEN {ID['GcSweepDone']} THEN -1 END FROM ev")
     if assist:
         parts.append(f"""SELECT trace_id, ord, rec_offset, ts, {at},
-    CASE WHEN type_id IN {_in(STARTS)} AND depth > 0 THEN 1 WHEN type_id IN {_in(STOPS)} AND depth > 0 AND run.running THEN -1 WHEN type_id = {ID['GcMarkAssistStart']} THEN 1 WHEN type_id = {ID['GcMarkAssistDone']} THEN -1 END FROM going""")
+    CASE WHEN type_id IN {_in(_START)} AND depth > 0 THEN 1 WHEN type_id IN {_in(_STOP)} AND depth > 0 AND run.running THEN -1 WHEN type_id = {ID['GcMarkAssistStart']} THEN 1 WHEN type_id = {ID['GcMarkAssistDone']} THEN -1 END FROM going""")
     if background:
         parts.append(f"""SELECT trace_id, ord, rec_offset, ts, {at},
     CASE WHEN type_id = {ID['GoStartLabel']} AND {own} THEN 1
-         WHEN type_id IN {_in(STOPS)} AND run.running AND run.type_id = {ID['GoStartLabel']} AND {held} THEN -1 END FROM going""")
+         WHEN type_id IN {_in(_STOP)} AND run.running AND run.type_id = {ID['GoStartLabel']} AND {held} THEN -1 END FROM going""")
     union = "\n  UNION ALL ".join(parts)
     return f"""going AS (
-  SELECT *, last_value(CASE WHEN type_id IN {_in(STARTS)} THEN struct_pack(running := true, p := p, label := string_args[1], type_id := type_id)
-                            WHEN type_id IN {_in(STOPS)} THEN struct_pack(running := false, p := p, label := NULL, type_id := type_id) END IGNORE NULLS) OVER w AS run,
+  SELECT *, last_value(CASE WHEN type_id IN {_in(_START)} THEN struct_pack(running := true, p := p, label := string_args[1], type_id := type_id)
+                            WHEN type_id IN {_in(_STOP)} THEN struct_pack(running := false, p := p, label := NULL, type_id := type_id) END IGNORE NULLS) OVER w AS run,
     coalesce(sum(CASE WHEN type_id = {ID['GcMarkAssistStart']} THEN 1 WHEN type_id = {ID['GcMarkAssistDone']} THEN -1 END) OVER w, 0) AS depth
-  FROM ev WHERE type_id IN {_in([*STARTS, *STOPS, ID['GcMarkAssistStart'], ID['GcMarkAssistDone']])} AND g IS NOT NULL
+  FROM ev WHERE type_id IN {_in([*_START, *_STOP, ID['GcMarkAssistStart'], ID['GcMarkAssistDone']])} AND g IS NOT NULL
   WINDOW w AS (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_BEFORE})),
 parts AS (
   {union}),
@@ -576,7 +588,7 @@ chn AS (SELECT trace_id, task_id, parent_id AS at, [parent_id] AS seen FROM lst
 rch AS (SELECT trace_id, task_id, arg_max(seen, len(seen)) AS seen FROM chn GROUP BY ALL)
 SELECT trace_id, a AS ancestor_id, task_id, n - i AS distance FROM (SELECT trace_id, task_id, len(path) AS n, unnest(path) AS a, unnest(range(1, len(path) + 1)) AS i FROM tre)"""
 
-_COUNTED = _in([ID["GoCreate"], *STARTS, ID["GoUnblock"], ID["GoSysExit"], ID["GcStart"], ID["GoWaiting"], ID["GoInSyscall"]])
+_COUNTED = _in([ID["GoCreate"], *_START, ID["GoUnblock"], ID["GoSysExit"], ID["GcStart"], ID["GoWaiting"], ID["GoInSyscall"]])
 
 SQL = {
     "mu_series_stw": _series_sql(stw=True),
@@ -597,13 +609,13 @@ num AS (SELECT ev.trace_id, rec_offset, ord, CASE WHEN type_id IN {_in([ID['GoCr
   FROM ev JOIN (SELECT trace_id, max(version) AS v FROM trace_meta GROUP BY trace_id) m ON m.trace_id = ev.trace_id WHERE v >= 1007 AND type_id IN {_COUNTED})
 SELECT trace_id, rec_offset, 'sequence' AS rule_id FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, k ORDER BY ord, rec_offset) - 1 AS had FROM num WHERE k IS NOT NULL) WHERE need <> had""",
     "mu_series": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED} SELECT trace_id, 0 AS series, time, util FROM folded",
-    "mud_quantiles": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_WINDOWED.replace('SELECT trace_id, time, min(util) AS util FROM raw GROUP BY ALL', 'SELECT * FROM folded')}, {_MUD}",
+    "mud_quantiles": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_FOLDED_WINDOWS}, {_MUD}",
     "event_catalog": f"{_WITH} SELECT type_id, t.type AS type_name, min_version, has_stack, count(*) AS n FROM ev LEFT JOIN event_types t USING (type_id) GROUP BY ALL",
     "catalog_table": "SELECT type_id, type, min_version, has_stack, array_to_string(args, ',') AS args, coalesce(array_to_string(string_args, ','), '') AS string_args FROM event_types",
     "ts_rescale": f"{_WITH}, f AS (SELECT trace_id, max(frequency) AS freq FROM trace_meta WHERE frequency > 0 GROUP BY trace_id) SELECT trace_id, rec_offset, CAST(trunc((1e9 / freq) * (ts - min(ts) OVER (PARTITION BY trace_id))) AS BIGINT) AS ns FROM ev LEFT JOIN f USING (trace_id)",
     "delta_decode": f"{_WITH} SELECT trace_id, p, rec_offset, ts - coalesce(lag(ts) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset), 0) AS delta, ts AS restored FROM ev WHERE p IS NOT NULL",
-    "carry_forward_g": f"""{_WITH}, c AS (SELECT *, last_value(CASE WHEN type_id IN {_in(STARTS)} THEN a0 WHEN type_id IN {_CLEARS} THEN 0 END IGNORE NULLS) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_BEFORE}) AS was FROM ev WHERE p IS NOT NULL)
-SELECT trace_id, rec_offset, CASE WHEN type_id IN {_in([*STARTS, ID['GoSysExit'], ID['GoWaiting'], ID['GoInSyscall']])} THEN a0 WHEN type_id IN {_in([ID['GcStart'], ID['GcDone'], ID['GcStwStart'], ID['GcStwDone']])} THEN 0 ELSE coalesce(was, 0) END AS running FROM c""",
+    "carry_forward_g": f"""{_WITH}, c AS (SELECT *, last_value(CASE WHEN type_id IN {_in(_START)} THEN a0 WHEN type_id IN {_CLEARS} THEN 0 END IGNORE NULLS) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_BEFORE}) AS was FROM ev WHERE p IS NOT NULL)
+SELECT trace_id, rec_offset, CASE WHEN type_id IN {_in([*_START, ID['GoSysExit'], ID['GoWaiting'], ID['GoInSyscall']])} THEN a0 WHEN type_id IN {_in([ID['GcStart'], ID['GcDone'], ID['GcStwStart'], ID['GcStwDone']])} THEN 0 ELSE coalesce(was, 0) END AS running FROM c""",
     "pseudo_processors": f"""{_WITH}, t AS (SELECT DISTINCT trace_id, unnest(timers) AS g FROM trace_meta)
 SELECT ev.trace_id, CASE WHEN type_id = {ID['GoUnblock']} AND t.g IS NOT NULL THEN 1000001 WHEN type_id = {ID['GoSysExit']} THEN 1000003 WHEN type_id = {ID['GcStart']} THEN 1000004 ELSE p END AS pseudo_p, count(*) AS n
 FROM ev LEFT JOIN t ON t.trace_id = ev.trace_id AND t.g = ev.g GROUP BY ALL""",
@@ -614,15 +626,15 @@ FROM ev LEFT JOIN t ON t.trace_id = ev.trace_id AND t.g = ev.g GROUP BY ALL""",
   CASE WHEN a2 <> 0 THEN a2 ELSE ts END AS repaired_ts FROM ev WHERE type_id IN {_in([ID['GoSysBlock'], ID['GoInSyscall'], ID['GoSysExit']])} AND g IS NOT NULL)
 SELECT trace_id, rec_offset, ts, blocked_ts, repaired_ts, CASE WHEN blocked_ts IS NULL THEN 'stray exit' WHEN repaired_ts < blocked_ts THEN 'exit before block' END AS rule_id FROM b WHERE type_id = {ID['GoSysExit']}""",
     "links": _link_sql(),
-    "netpoll_unblocks": f"""{_WITH}, s AS (SELECT *, {_SUBJECT} AS k FROM ev WHERE type_id IN {_in([*_BLOCKS, ID['GoUnblock'], ID['GoWaiting']])})
+    "netpoll_unblocks": f"""{_WITH}, s AS (SELECT *, {_SUBJECT} AS k FROM ev WHERE type_id IN {_in([*_BLOCK, ID['GoUnblock'], ID['GoWaiting']])})
 SELECT trace_id, rec_offset FROM (SELECT *, lag(type_id) OVER (PARTITION BY trace_id, k ORDER BY ord, rec_offset) AS was FROM s WHERE k IS NOT NULL) WHERE type_id = {ID['GoUnblock']} AND was = {ID['GoBlockNet']} AND p IS DISTINCT FROM 1000001""",
     "state_violations": _state_sql(),
     "bracket_violations": _bracket_sql(),
     "processor_violations": f"""{_WITH},
-w AS (SELECT *, coalesce(last_value(CASE WHEN type_id IN {_in(STARTS)} THEN g WHEN type_id IN {_in(STOPS)} THEN 0 END IGNORE NULLS) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_BEFORE}), 0) AS was
-      FROM ev WHERE type_id IN {_in([*STARTS, *STOPS, ID['GoCreate'], ID['GoSysCall'], ID['GoUnblock'], ID['ProcStop']])} AND p IS NOT NULL AND g IS NOT NULL AND p < 1000000)
-SELECT * FROM (SELECT trace_id, rec_offset, 'processor' AS rule_id, CASE WHEN type_id IN {_in([*STARTS, ID['ProcStop']])} AND was <> 0 THEN 'processor is busy'
-  WHEN type_id IN {_in([*STOPS, ID['GoCreate'], ID['GoSysCall'], ID['GoUnblock']])} AND was <> g THEN 'goroutine does not run here' WHEN type_id IN {_in([*STOPS, ID['GoSysCall']])} AND g = 0 THEN 'goroutine 0 did this' END AS message FROM w) WHERE message IS NOT NULL""",
+w AS (SELECT *, coalesce(last_value(CASE WHEN type_id IN {_in(_START)} THEN g WHEN type_id IN {_in(_STOP)} THEN 0 END IGNORE NULLS) OVER (PARTITION BY trace_id, p ORDER BY ord, rec_offset {_BEFORE}), 0) AS was
+      FROM ev WHERE type_id IN {_in([*_START, *_STOP, ID['GoCreate'], ID['GoSysCall'], ID['GoUnblock'], ID['ProcStop']])} AND p IS NOT NULL AND g IS NOT NULL AND p < 1000000)
+SELECT * FROM (SELECT trace_id, rec_offset, 'processor' AS rule_id, CASE WHEN type_id IN {_in([*_START, ID['ProcStop']])} AND was <> 0 THEN 'processor is busy'
+  WHEN type_id IN {_in([*_STOP, ID['GoCreate'], ID['GoSysCall'], ID['GoUnblock']])} AND was <> g THEN 'goroutine does not run here' WHEN type_id IN {_in([*_STOP, ID['GoSysCall']])} AND g = 0 THEN 'goroutine 0 did this' END AS message FROM w) WHERE message IS NOT NULL""",
     "region_violations": f"""{_WITH},
 m AS (SELECT *, sum(CASE WHEN a1 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_UP}) AS s FROM ev WHERE type_id = {ID['UserRegion']} AND a1 IN (0, 1) AND g IS NOT NULL),
 l AS (SELECT *, least(0, min(s) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_UP})) AS low, least(0, coalesce(min(s) OVER (PARTITION BY trace_id, g ORDER BY ord, rec_offset {_BEFORE}), 0)) AS was FROM m),
@@ -648,9 +660,9 @@ FROM ev LEFT JOIN known USING (trace_id, stack_id)""",
 spn AS (SELECT r.trace_id, g, task_id, coalesce(start_ts, w0) AS a, coalesce(end_ts, w1) AS b FROM regions r JOIN world USING (trace_id) WHERE task_id <> 0),
 hit AS (
   SELECT DISTINCT e.trace_id, e.rec_offset, t.task_id FROM ev e JOIN spn s ON s.trace_id = e.trace_id AND s.g = e.g AND e.ts BETWEEN a AND b JOIN task t ON t.trace_id = s.trace_id AND t.task_id = s.task_id
-  WHERE e.p IS DISTINCT FROM 1000004 AND e.ts BETWEEN first_ts AND end_or_world_ts AND (type_id NOT IN {_in(K.ANNOTATIONS)} OR a0 = t.task_id)
+  WHERE e.p IS DISTINCT FROM 1000004 AND e.ts BETWEEN first_ts AND end_or_world_ts AND (type_id NOT IN {_in(_NOTES)} OR a0 = t.task_id)
   UNION ALL
-  SELECT e.trace_id, e.rec_offset, t.task_id FROM ev e JOIN task t ON t.trace_id = e.trace_id AND e.ts BETWEEN first_ts AND end_or_world_ts WHERE e.p = 1000004 AND (type_id NOT IN {_in(K.ANNOTATIONS)} OR a0 = t.task_id))
+  SELECT e.trace_id, e.rec_offset, t.task_id FROM ev e JOIN task t ON t.trace_id = e.trace_id AND e.ts BETWEEN first_ts AND end_or_world_ts WHERE e.p = 1000004 AND (type_id NOT IN {_in(_NOTES)} OR a0 = t.task_id))
 SELECT trace_id, task_id, count(*) AS n FROM hit GROUP BY ALL""",
     "overlap_durations": f"""{_WITH}, {_TASKS},
 spn AS (SELECT *, row_number() OVER (PARTITION BY trace_id, task_id ORDER BY a, b, coalesce(start_offset, -1), coalesce(end_offset, -1)) AS place FROM (
@@ -668,8 +680,8 @@ g1 AS (SELECT * FROM g0 UNION SELECT s.trace_id, s.task_id, w.g FROM g0 s JOIN t
 SELECT * FROM g1 UNION SELECT s.trace_id, s.task_id, w.g FROM g1 s JOIN task t USING (trace_id, task_id) JOIN wk w ON w.trace_id = s.trace_id AND w.a0 = s.g AND w.ts BETWEEN first_ts AND end_or_world_ts""",
     "mu_contributions": f"{_WITH}, {_GOING} SELECT * FROM contrib",
     "mu_raw": f"{_WITH}, {_GOING}, {_RAW} SELECT trace_id, ord, rec_offset, time, round(util, 9) AS util FROM raw",
-    "mmu": f"{_WITH}, {_GOING}, {_RAW}, {_WINDOWED} SELECT trace_id, CAST(w AS BIGINT) AS window, round(min(util), 6) AS mmu FROM win GROUP BY ALL",
-    "mmu_windows": f"{_WITH}, {_GOING}, {_RAW}, {_WINDOWED} SELECT trace_id, CAST(w AS BIGINT) AS window, count(*) AS knots, round(max(util), 6) AS best FROM win GROUP BY ALL",
+    "mmu": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_FOLDED_WINDOWS} SELECT trace_id, CAST(w AS BIGINT) AS window, round(min(util), 6) AS mmu FROM win GROUP BY ALL",
+    "mmu_windows": f"{_RECURSIVE}, {_GOING}, {_RAW}, {_FOLDED}, {_FOLDED_WINDOWS} SELECT trace_id, CAST(w AS BIGINT) AS window, count(*) AS knots, round(max(util), 6) AS best FROM win GROUP BY ALL",
     "longest_tasks": "SELECT trace_id, task_id, duration, place FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY duration DESC NULLS LAST, task_id, loaded_at NULLS LAST) AS place FROM (SELECT DISTINCT trace_id, task_id, duration, loaded_at FROM tasks)) WHERE place <= 3",
     "named_goroutines": "SELECT trace_id, g FROM trace_events UNION SELECT trace_id, g FROM regions UNION SELECT trace_id, unnest(goroutines) FROM tasks",
     "unused_strings": "SELECT DISTINCT trace_id, string_id FROM strings s ANTI JOIN (SELECT trace_id, a2 AS k FROM trace_events WHERE type_id IN (41, 45, 47) UNION SELECT trace_id, a1 FROM trace_events WHERE type_id = 48) u ON u.trace_id = s.trace_id AND u.k = s.string_id",
@@ -679,9 +691,9 @@ SELECT * FROM g1 UNION SELECT s.trace_id, s.task_id, w.g FROM g1 s JOIN task t U
 
 
 def _futile_sql(select: str) -> str:
-    inner, close = _in(futile._INNER), _in(futile._CLOSE)
+    inner, close = _in(_FUTILE_INNER), _in(_FUTILE_CLOSE)
     return f"""{_WITH},
-act AS (SELECT trace_id, rec_offset, ord, type_id, CASE WHEN type_id = {ID['GoUnblock']} THEN a0 ELSE g END AS s FROM ev WHERE type_id IN {_in([ID['GoUnblock'], *futile._INNER, *futile._CLOSE])}),
+act AS (SELECT trace_id, rec_offset, ord, type_id, CASE WHEN type_id = {ID['GoUnblock']} THEN a0 ELSE g END AS s FROM ev WHERE type_id IN {_in([ID['GoUnblock'], *_FUTILE_INNER, *_FUTILE_CLOSE])}),
 blk AS (SELECT *, coalesce(sum(CASE WHEN type_id IN {close} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, s ORDER BY ord, rec_offset {_BEFORE}), 0) AS b FROM act WHERE s IS NOT NULL),
 wak AS (SELECT *, sum(CASE WHEN type_id = {ID['GoUnblock']} THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, s, b ORDER BY ord, rec_offset {_UP}) AS w FROM blk),
 epi AS (SELECT trace_id, s, b, arg_max(type_id, struct_pack(o := ord, r := rec_offset)) FILTER (type_id IN {inner}) AS lst, bool_or(type_id IN {close}) AS fin, max(w) AS mw FROM wak GROUP BY ALL),
