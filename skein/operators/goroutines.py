@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from skein.functions.catalog import ENDS, ID, STARTS, STOPS, SYNC_BLOCKS, YIELDS
 from skein.functions.stepfn import as_of, integral_at
 from skein.functions.tables import durable
-from skein.functions.windows import EVENT_BITS, TIME_BITS, last_over, lead_over, running, sum_over
+from skein.functions.windows import EVENT_BITS, TIME_BITS, last_over, lead_over, number_over, running, sum_over
 from skein.operators.brackets import match
 from skein.operators.events import latest, world
 from skein.operators.hierarchy import hierarchy
@@ -148,8 +148,8 @@ def region_frames(regions: DataFrame, ev: DataFrame, stacks: DataFrame) -> DataF
 
     Places go by the start's time, regions without a start first, then by offsets. Frame and pc are null where start, stack or frame are missing.
     """
-    rank = F.row_number().over(Window.partitionBy("trace_id", "g").orderBy(F.col("start_ts").asc_nulls_first(), "start_offset", "end_offset"))
-    placed = regions.select("trace_id", "g", "start_offset", rank.cast("bigint").alias("place"))
+    timed = durable(regions.select("trace_id", "g", F.coalesce("start_ts", F.lit(-1)).alias("_at"), "start_offset", "end_offset"))
+    placed = number_over(timed, ["trace_id", "g"], ["_at", "start_offset", "end_offset"], "place", bits=TIME_BITS).select("trace_id", "g", "start_offset", "place")
     starts = ev.where(F.col("type_id") == ID["UserRegion"]).select("trace_id", F.col("rec_offset").alias("start_offset"), "stack_id")
     top = latest(stacks, "stack_id", "frames").where("stack_id <> 0").select("trace_id", "stack_id", F.try_element_at("frames", F.lit(1)).alias("_top"))
     framed = starts.join(top, ["trace_id", "stack_id"]).select("trace_id", "start_offset", "_top.fn", "_top.pc")
@@ -166,8 +166,8 @@ def _inherited(ev: DataFrame, own: DataFrame) -> DataFrame:
     """
     rows = own.where("start_ord is not null")
     marks = rows.select("trace_id", "g", F.col("start_ord").alias("ord"), F.col("depth").alias("level"), F.col("task_id").alias("_task"), F.lit(True).alias("_on")).unionByName(rows.where("end_ord is not null").select("trace_id", "g", F.col("end_ord").alias("ord"), (F.col("depth") - 1).alias("level"), F.lit(None).cast("bigint").alias("_task"), F.lit(False).alias("_on")))
-    top = Window.partitionBy("trace_id", "g", "level").orderBy("ord", "_on").rowsBetween(Window.unboundedPreceding, 0)
-    tops = marks.withColumn("_top", F.when(F.col("level") > 0, F.last(F.when(F.col("_on"), F.struct("_task")), ignorenulls=True).over(top))).groupBy("trace_id", "g", "ord").agg(F.min_by("_top", "level").alias("_top"), F.min("level").alias("level"))
+    began = last_over(marks, ["trace_id", "g", "level"], ["ord", "_on"], F.when(F.col("_on"), F.struct("_task")), "_began", inclusive=True, bits=EVENT_BITS)
+    tops = began.withColumn("_top", F.when(F.col("level") > 0, F.col("_began"))).groupBy("trace_id", "g", "ord").agg(F.min_by("_top", "level").alias("_top"), F.min("level").alias("level"))
     made = ev.where((F.col("type_id") == ID["GoCreate"]) & F.col("g").isNotNull() & F.col("a0").isNotNull()).select("trace_id", "g", F.col("a0").alias("child"), "ord", "rec_offset", "ts")
     seen = as_of(tops, made, ["trace_id", "g"], "ord", F.struct("level", "_top"), "_at", strict=True, bits=EVENT_BITS)
     first = durable(seen.groupBy("trace_id", "child").agg(F.min_by(F.struct(F.col("g"), F.col("ord"), F.col("rec_offset"), F.col("ts"), F.col("_at")), F.struct("ord", "rec_offset")).alias("x")))
