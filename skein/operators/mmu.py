@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from skein.functions.tables import durable
 from skein.functions.stepfn import as_of, prefix_integral
@@ -54,24 +53,20 @@ def worst_windows(series: DataFrame, window: int, n: int) -> DataFrame:
     """``trace_id, series, window, time, util``: per trace ``n`` windows of least utilisation that do not overlap in their series.
 
     Knots are taken in ascending order of utilisation (to nine digits), then time, then series, skipping those that overlap one taken
-    before. Windows that only touch do not overlap.
+    before. Windows that only touch do not overlap. Each of the ``n`` is the least of what is left, by one aggregation over all
+    knots, so no task sorts a trace.
     """
-    out = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("series", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("time", T.LongType()), T.StructField("util", T.DoubleType())])
-
-    def pick(batches):
-        trace, taken = None, []
-        for b in batches:
-            rows = []
-            for t, s, w, at, u in zip(*(b.column(c).to_pylist() for c in ("trace_id", "series", "window", "time", "util"))):
-                if t != trace:
-                    trace, taken = t, []
-                if len(taken) < n and all(s != x or abs(at - y) >= w for x, y in taken):
-                    taken.append((s, at))
-                    rows.append((t, s, w, at, u))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()))], [f.name for f in out])
-
-    ranked = windowed(series, [window]).select("trace_id", F.col("series").cast("int").alias("series"), "window", "time", "util")
-    return ranked.repartition("trace_id").sortWithinPartitions("trace_id", F.round("util", 9), "time", "series").mapInArrow(pick, out)
+    means = durable(windowed(series, [window]).select("trace_id", F.col("series").cast("int").alias("series"), "window", "time", "util"))
+    taken = means.where("false")
+    for _ in range(n):
+        t = taken.select(F.col("trace_id").alias("_t"), F.col("series").alias("_s"), F.col("time").alias("_at"))
+        free = means.join(t, (means.trace_id == t._t) & (means.series == t._s) & (F.abs(means.time - t._at) < means.window), "left_anti")
+        least = F.min(F.struct(F.round("util", 9).alias("_u"), "time", "series", "window", "util")).alias("_x")
+        best = durable(free.groupBy("trace_id").agg(least).select("trace_id", "_x.series", "_x.window", "_x.time", "_x.util"))
+        if best.isEmpty():
+            break
+        taken = taken.unionByName(best)
+    return taken
 
 
 def mud(series: DataFrame, window: int, quantiles: Sequence[float], compat: bool = False) -> DataFrame:
