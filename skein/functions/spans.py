@@ -13,14 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 STEP = 4
-FINE = 5  # the narrowest blocks are 2**FINE to 2**(FINE + 1) times narrower than spans on average
+FINE = 5  # the narrowest blocks are 2**FINE to 2**(FINE + 1) times narrower than spans on average; 0 where there are more spans than points
 
 
-def widths(spans: DataFrame, lo: str, hi: str) -> list[int]:
+def widths(spans: DataFrame, lo: str, hi: str, fine: int = FINE) -> list[int]:
     """Block widths in bits, ascending; the widest ones are about as wide as the longest span."""
     length = F.greatest(F.col(hi) - F.col(lo), F.lit(0)).cast("double")
     mean, most = spans.agg(F.avg(length), F.max(length)).first()
-    first = max(0, int(mean or 0).bit_length() - 1 - FINE)
+    first = max(0, int(mean or 0).bit_length() - 1 - fine)
     top = max(first, int(most or 0).bit_length() - 1)
     return list(range(first, top + STEP, STEP))
 
@@ -51,13 +51,14 @@ def _cover(lo: Column, hi: Column, bits: Sequence[int]) -> Column:
     return F.concat(*(F.coalesce(p, empty) for p in parts))
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, lo: str, hi: str) -> DataFrame:
+def points_in_spans(points: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, lo: str, hi: str, fine: int = FINE) -> DataFrame:
     """``points`` with each span of the same keys whose ``lo`` and ``hi`` hold ``time``, both included.
 
     Columns: those of ``points``, then those of ``spans`` without the keys; no other names may be shared. Rows with a null key or time, and
-    spans that end before they start, give nothing. ``spans`` is read twice, for the widths first.
+    spans that end before they start, give nothing. ``spans`` is read twice, for the widths first. Coarser blocks (a smaller ``fine``) lay spans
+    out in fewer rows and let more points meet them that they do not hold, still about as many as they do.
     """
-    bits = widths(spans, lo, hi)
+    bits = widths(spans, lo, hi, fine)
     blocks = F.explode(F.array(*(F.struct(F.lit(i).alias("level"), F.shiftright(time, b).alias("block")) for i, b in enumerate(bits))))
     p = points.where(F.col(time).isNotNull()).select("*", blocks.alias("_b")).select(*points.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
     s = spans.select("*", F.explode(_cover(F.col(lo), F.col(hi), bits)).alias("_b")).select(*spans.columns, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))

@@ -95,7 +95,7 @@ def overlapping_instants(ev: DataFrame, task_table: DataFrame, regions: DataFram
 
 def _meeting(events: DataFrame, spans: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
     """``events`` (``ts`` to ``link_ts``) with the ``spans`` of the same keys that share time with them: those that start during the event, and those during which it starts."""
-    starting = points_in_spans(spans, events.withColumn("_last", F.col("link_ts") - 1), keys, lo, "ts", "_last")
+    starting = points_in_spans(spans, events.withColumn("_last", F.col("link_ts") - 1), keys, lo, "ts", "_last", fine=0)
     inner = spans.withColumn("_after", F.col(lo) + 1).withColumn("_before", F.col(hi) - 1)
     running = points_in_spans(events, inner, keys, "ts", "_after", "_before")
     return running.drop("_after", "_before").unionByName(starting.drop("_last"))
@@ -133,7 +133,7 @@ def related_goroutines(ev: DataFrame, task_table: DataFrame, depth: int) -> Data
     front = found
     for _ in range(depth):
         seeds = durable(front.select("trace_id", "task_id", F.col("g").alias("_woken")).join(lives, ["trace_id", "task_id"]))
-        more = points_in_spans(wakes, seeds, ["trace_id", "_woken"], "ts", "first_ts", "end_or_world_ts").select("trace_id", "task_id", F.col("_by").alias("g")).distinct()
+        more = points_in_spans(wakes, seeds, ["trace_id", "_woken"], "ts", "first_ts", "end_or_world_ts", fine=0).select("trace_id", "task_id", F.col("_by").alias("g")).distinct()
         front = durable(more.join(found, ["trace_id", "task_id", "g"], "left_anti"))
         found = found.unionByName(front)
     return found

@@ -235,4 +235,6 @@ SELECT field, key_id FROM (
 WHERE key_id IS NOT NULL AND n * 50 >= (SELECT count(*) FROM trace_events)""",
     "p6_by_goroutine": _LOAD.format(key="g"),
     "p6_by_processor": _LOAD.format(key="p"),
+    "p6_by_trace_goroutine": _LOAD.format(key="trace_id, g"),
+    "p6_by_trace_processor": _LOAD.format(key="trace_id, p"),
 }

@@ -42,6 +42,7 @@ def test_points_in_spans(spark, longest):
     made = [(rng.choice(["a", "b", None]), s, s + rng.choice([-1, 0, rng.randint(0, longest), rng.randint(0, longest)]), 1000 + i) for i, s in enumerate(rng.randint(-3000, 6000) for _ in range(150))]
     p, s = spark.createDataFrame(points, "k string, t long, i long"), spark.createDataFrame(made, "k string, a long, b long, j long")
     got = [(r.i, r.j) for r in spans.points_in_spans(p, s, ["k"], "t", "a", "b").collect()]
+    assert sorted(got) == sorted((r.i, r.j) for r in spans.points_in_spans(p, s, ["k"], "t", "a", "b", fine=0).collect())
     want = {(i, j) for k, t, i in points for m, a, b, j in made if k == m and k is not None and t is not None and a <= t <= b}
     assert len(got) == len(set(got)) and set(got) == want
     assert spans.points_in_spans(p.where("false"), s, ["k"], "t", "a", "b").count() == spans.points_in_spans(p, s.where("false"), ["k"], "t", "a", "b").count() == 0
