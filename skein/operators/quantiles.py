@@ -213,6 +213,19 @@ def _estimated(counters: np.ndarray, nodes: np.ndarray, level: int) -> np.ndarra
     return np.median([sign * counters[row * WIDTH + cell] for row, (cell, sign) in enumerate(placed)], axis=0)
 
 
+def _light(table: np.ndarray, level: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The sum of the squares of each row's counters in each sketch, without its ``HEAVY`` largest."""
+    own = level < LEVELS
+    if own.sum() > table.size // 10:
+        return np.sort(table.reshape(LEVELS, DEPTH, WIDTH).astype(float) ** 2, axis=2)[:, :, :-HEAVY].sum(axis=2)
+    # few counters are not 0: only these are sorted
+    row, square = level[own] * DEPTH + at[own] // WIDTH, count[own].astype(float) ** 2
+    order = np.lexsort((-square, row))
+    row, square = row[order], square[order]
+    light = np.arange(len(row)) - np.searchsorted(row, row) >= HEAVY
+    return np.bincount(row[light], square[light], LEVELS * DEPTH).reshape(LEVELS, DEPTH)
+
+
 def _answers(level: np.ndarray, at: np.ndarray, count: np.ndarray, wanted: Sequence[float]) -> tuple[list[int], int, float]:
     """Codes of the wanted percentiles, the number of values, and the stated error, from a group's counters."""
     exact, table = np.zeros(1 << EXACT, np.int64), np.zeros((LEVELS, DEPTH * WIDTH), np.int64)
@@ -221,8 +234,7 @@ def _answers(level: np.ndarray, at: np.ndarray, count: np.ndarray, wanted: Seque
     n = int(exact.sum())
     if n <= 0:
         return [], n, 0.0
-    squares = np.sort(table.reshape(LEVELS, DEPTH, WIDTH).astype(float) ** 2, axis=2)[:, :, :-HEAVY].sum(axis=2)
-    variance = float(np.median(squares, axis=1).sum()) / (WIDTH - HEAVY)
+    variance = float(np.median(_light(table, level, at, count), axis=1).sum()) / (WIDTH - HEAVY)
     upto = np.cumsum(np.maximum(exact, 0))
     rank = np.maximum(1, np.ceil(np.array(wanted) * n)).astype(np.int64)
     node = np.minimum(np.searchsorted(upto, rank, "left"), len(upto) - 1)
